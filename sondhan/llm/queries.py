@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondhan.llm import components, packing, ranking, tokens
+from sondhan.llm import components, packing, ranking, residue, tokens
 from sondhan.session import table
 
 
@@ -37,7 +37,13 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold residue instead of a story."""
+    return residue.residue_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "source").filter("is_residue").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p8_ids": p8_ids, "p9_containers": p9_containers,
+    "p10_found": p10_found,
 }
 ORACLE: dict[str, str] = {}
