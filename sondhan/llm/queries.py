@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sondhan.llm import components, packing, ranking, residue, tokens
+from sondhan.llm import components, lookalike, packing, ranking, residue, tokens
 from sondhan.session import table
 
 
@@ -26,6 +27,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.entity_groups(table(spark, sf_dir, "entity_records"), table(spark, sf_dir, "entity_matches"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of articles that look the same in title and body but differ in characters."""
+    pairs = lookalike.same_look_pairs(table(spark, sf_dir, "articles"), "article_id", ["title", "body"])
+    return pairs.select(F.col("a").alias("article_id_a"), F.col("b").alias("article_id_b"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k."""
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -43,7 +50,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p8_ids": p8_ids, "p9_containers": p9_containers,
+    "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers,
     "p10_found": p10_found,
 }
 ORACLE: dict[str, str] = {}

@@ -61,7 +61,7 @@ PHRASES = [
     "অনেক বেশি অনুরোধ", "মানুষ কি না", "কিছু একটা ভুল", "সেশনের মেয়াদ", "রক্ষণাবেক্ষণের কাজ", "আবার চেষ্টা করুন", "লিংকটি ভুল", "ঠিকানাটি আবার", "কর্তৃপক্ষের সঙ্গে যোগাযোগ করুন",
     "প্রচ্ছদে ফিরে যান", "पृष्ठ खोज रहे", "पृष्ठ नहीं मिला", "सर्वर में त्रुटि", "फिर कोशिश करें", "मुखपृष्ठ पर लौटें", "try again later", "réessayez plus tard", "inténtelo más tarde",
     "später erneut", "zurück zur startseite", "return to the home", "vuelva al inicio", "revenez à l'accueil", "refresh the page", "check the spelling of the address", "use the search box",
-    "quote the reference",
+    "quote the reference", "(ray|incident) h",
     # filler
     "(sample|placeholder|dummy|filler) (text|copy|paragraph)", "your (text|story text) here", "insert body copy", "type the summary", "content coming soon", "todo write", "asdf asdf",
     "test test test", "blindtext", "platzhalter", "hier steht ihr text", "votre texte ici", "texte d'exemple", "escriba aquí su texto", "texto de prueba", "নমুনা লেখা", "অনুচ্ছেদ শুধু নকশার",
