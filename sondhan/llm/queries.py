@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondhan.llm import components, lookalike, packing, ranking, residue, tokens
+from sondhan.llm import components, languages, lookalike, packing, ranking, residue, tokens
 from sondhan.session import table
 
 
@@ -27,6 +27,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.entity_groups(table(spark, sf_dir, "entity_records"), table(spark, sf_dir, "entity_matches"))
 
 
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language of every article, and every paragraph in another one, with confidence."""
+    return languages.identify(table(spark, sf_dir, "articles"), "article_id", "body")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles whose label is not the code of their main language, and paragraphs in other languages."""
+    articles = table(spark, sf_dir, "articles")
+    labels = articles.select("article_id", F.col("language").alias("label"))
+    found = languages.identify(articles, "article_id", "body").filter("language is not null").join(labels, "article_id")
+    return found.filter((F.col("segment") > 0) | ~F.col("label").eqNullSafe(F.col("language"))).select("article_id", "segment", "language")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of articles that look the same in title and body but differ in characters."""
     pairs = lookalike.same_look_pairs(table(spark, sf_dir, "articles"), "article_id", ["title", "body"])
@@ -50,7 +63,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers,
+    "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p4_found": p4_found, "p4_languages": p4_languages,
+    "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers,
     "p10_found": p10_found,
 }
 ORACLE: dict[str, str] = {}
