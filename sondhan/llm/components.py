@@ -31,6 +31,15 @@ def _relabel(edges: DataFrame, rep: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def expand(maps: list[DataFrame]) -> DataFrame:
+    """Compose the (v, r) mappings of successive rounds, from the last to the first."""
+    final = maps[-1]
+    for rep in reversed(maps[:-1]):
+        onward = final.select(F.col("v").alias("r"), F.col("r").alias("onward"))
+        final = checkpoint(rep.join(onward, "r", "left").select("v", F.coalesce("onward", "r").alias("r")))
+    return final
+
+
 def connected_components(edges: DataFrame, left: str, right: str, seed: int = 7, max_rounds: int = 200) -> DataFrame:
     """(vertex, component) for every vertex of an edge with two different ends.
 
@@ -52,13 +61,7 @@ def connected_components(edges: DataFrame, left: str, right: str, seed: int = 7,
         raise RuntimeError(f"no end after {max_rounds} rounds")
     if not maps:
         return work.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
-    final = maps[-1]
-    for rep in reversed(maps[:-1]):
-        onward = final.select(F.col("v").alias("r"), F.col("r").alias("onward"))
-        final = rep.join(onward, "r", "left").select("v", F.coalesce("onward", "r").alias("r"))
-        if rep is not maps[0]:
-            final = checkpoint(final)
-    final = checkpoint(final)
+    final = expand(maps)
     smallest = final.groupBy("r").agg(F.min("v").alias("component"))
     return final.join(smallest, "r").select(F.col("v").alias("vertex"), "component")
 

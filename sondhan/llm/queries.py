@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondhan.llm import components, languages, lookalike, packing, ranking, residue, tokens
+from sondhan.llm import components, languages, linking, lookalike, packing, ranking, residue, tokens
 from sondhan.session import table
 
 
@@ -46,6 +46,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("article_id_a"), F.col("b").alias("article_id_b"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that stand for the same person, organisation or place."""
+    pairs = linking.entity_pairs(table(spark, sf_dir, "entity_records"))
+    return pairs.select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k."""
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -64,7 +70,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p4_found": p4_found, "p4_languages": p4_languages,
-    "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers,
+    "p5_found": p5_found, "p7_found": p7_found,
+    "p8_ids": p8_ids, "p9_containers": p9_containers,
     "p10_found": p10_found,
 }
 ORACLE: dict[str, str] = {}
