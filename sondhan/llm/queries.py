@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondhan.llm import components, languages, linking, lookalike, packing, ranking, residue, tokens
+from sondhan.llm import boilerplate, components, languages, linking, lookalike, packing, ranking, residue, tokens
 from sondhan.session import table
 
 
@@ -46,6 +46,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("article_id_a"), F.col("b").alias("article_id_b"))
 
 
+def p6_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that it is page furniture, for every line and title."""
+    names = [r[0] for r in table(spark, sf_dir, "sources").select("site_name").distinct().orderBy("site_name").limit(10_000).collect()]
+    return boilerplate.label_blocks(table(spark, sf_dir, "articles"), "article_id", "title", "body", names)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are no part of the story, and titles that hold more than the headline."""
+    return p6_blocks(spark, sf_dir).filter("furniture > 0.5").select("article_id", "line_no")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records that stand for the same person, organisation or place."""
     pairs = linking.entity_pairs(table(spark, sf_dir, "entity_records"))
@@ -70,7 +81,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p4_found": p4_found, "p4_languages": p4_languages,
-    "p5_found": p5_found, "p7_found": p7_found,
+    "p5_found": p5_found, "p6_found": p6_found, "p6_blocks": p6_blocks, "p7_found": p7_found,
     "p8_ids": p8_ids, "p9_containers": p9_containers,
     "p10_found": p10_found,
 }
