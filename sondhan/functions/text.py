@@ -5,6 +5,8 @@ White space is what Unicode calls so (``WS``), not only ASCII's.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ BENGALI = "[\\u0980-\\u09FF]"
 MARKS = "[^\\p{L}\\p{N}_\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: inside a lambda an expression would be computed again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -42,10 +49,12 @@ def token_count(c: Column) -> Column:
 
 def shingles(c: Column, k: int) -> Column:
     """Distinct word k-grams of the lower-case text without punctuation; a shorter text is one shingle, an empty one none."""
-    w = split_words(F.regexp_replace(F.lower(or_empty(c)), MARKS, ""))
-    n = F.size(w)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(grams))
+    def grams(w: Column) -> Column:
+        n = F.size(w)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(every))
+
+    return let(split_words(F.regexp_replace(F.lower(or_empty(c)), MARKS, "")), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
