@@ -48,7 +48,7 @@ def confusion(run: DataFrame, relevant: DataFrame, corpus_size: DataFrame, k: in
     good = relevant.select(query, item).distinct().withColumn("rel", F.lit(1))
     both = got.join(good, [query, item], "full_outer")
     c = both.groupBy(query).agg(
-        F.count_if("got = 1 and rel = 1").alias("tp"), F.count_if("got = 1 and rel is null").alias("fp"), F.count_if("got is null and rel = 1").alias("fn"),
+        F.count_if(F.expr("got = 1 and rel = 1")).alias("tp"), F.count_if(F.expr("got = 1 and rel is null")).alias("fp"), F.count_if(F.expr("got is null and rel = 1")).alias("fn"),
     ).crossJoin(F.broadcast(corpus_size.select(F.col("n"))))
     tp, fp, fn, tn = F.col("tp"), F.col("fp"), F.col("fn"), F.col("n") - F.col("tp") - F.col("fp") - F.col("fn")
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sondhan.functions.text import jaccard, trigrams
 
@@ -25,7 +26,7 @@ def lcs_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - s.bit_count()) / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lcs_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -40,7 +41,7 @@ def token_set_ratio(a: str, b: str) -> float:
     return float(max(round(lcs_ratio(both, p)), round(lcs_ratio(both, q)), round(lcs_ratio(p, q))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 

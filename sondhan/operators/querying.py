@@ -26,18 +26,18 @@ def name_lookup(records: DataFrame, seq: str = "entity_id") -> DataFrame:
 
 
 def windows(queries: DataFrame, most: int = 4, query: str = "query_id", text: str = "text") -> DataFrame:
-    """(query_id, at, size, phrase, surface): all windows of one to ``most`` words; the phrase is lower case unless Bangla."""
+    """(query_id, pos, size, phrase, surface): all windows of one to ``most`` words; the phrase is lower case unless Bangla."""
     lang = detect_lang(F.col(text))
     rows = queries.select(F.col(query).alias("query_id"), split_words(F.col(text)).alias("w"), lang.alias("lang")).withColumn("size", F.explode(F.array(*[F.lit(n) for n in range(most, 0, -1)])))
-    rows = rows.filter(F.size("w") >= F.col("size")).withColumn("at", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)))
-    surface = F.array_join(F.slice("w", F.col("at"), F.col("size")), " ")
+    rows = rows.filter(F.size("w") >= F.col("size")).withColumn("pos", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)))
+    surface = F.array_join(F.slice("w", F.col("pos"), F.col("size")), " ")
     phrase = F.when(F.col("lang") == "bn", F.col("surface")).otherwise(F.lower("surface"))
-    return rows.withColumn("surface", surface).select("query_id", F.col("at").cast("long").alias("at"), F.col("size").cast("long").alias("size"), phrase.alias("phrase"), "surface", "lang")
+    return rows.withColumn("surface", surface).select("query_id", F.col("pos").cast("long").alias("pos"), F.col("size").cast("long").alias("size"), phrase.alias("phrase"), "surface", "lang")
 
 
 def match_entities(queries: DataFrame, lookup: DataFrame, most: int = 4) -> DataFrame:
     """All windows that name an entity; longer matches do not hide shorter ones."""
-    return windows(queries, most).join(lookup.withColumnRenamed("name", "phrase"), "phrase").select("query_id", "at", "size", "phrase", "entity_id", "lang")
+    return windows(queries, most).join(lookup.withColumnRenamed("name", "phrase"), "phrase").select("query_id", "pos", "size", "phrase", "entity_id", "lang")
 
 
 def expand_queries(queries: DataFrame, records: DataFrame, neighbours: DataFrame, top: int = 3) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sondhan.plans import curation, timestamps
+from sondhan.plans import curation, knowledge, retrieval, timestamps
 
-MODULES = [curation, timestamps]
+MODULES = [curation, retrieval, knowledge, timestamps]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in getattr(m, "ORACLE", {}).items()}
