@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondhan.functions.text import or_empty, shingles
+from sondhan.session import checkpoint
 
 
 def normalize_url(url: Column) -> Column:
@@ -29,13 +30,16 @@ def dedup_url(df: DataFrame, url: str, recent: str, seq: str) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str, block: list[str], title: str, body: str, title_min: float = 0.5, body_min: float = 0.85) -> DataFrame:
     """(a, b, title_j, body_j), a < b: pairs of one block with both Jaccard indices at their minimum or above.
 
-    Rows of equal shingle sets form one class; classes are compared, never all pairs of
+    Rows with a null or empty title or body have no set and no pair.  Shingles are
+    compared as 64-bit hashes.  Rows of equal shingle sets form one class; classes are compared, never all pairs of
     rows.  Class pairs meet on a prefix of the body's rarest shingles: sets of size m and
     Jaccard t or more share one of the first m - ceil(t m) + 1 in a common order.
     ``members`` joins the class pairs back to rows.
     """
-    sets = df.select(F.col(key).alias("k"), *block, F.array_sort(shingles(F.col(title), 2)).alias("ts"), F.array_sort(shingles(F.col(body), 3)).alias("bs")).filter("size(ts) > 0 and size(bs) > 0")
-    sets = sets.withColumn("c", F.sha2(F.to_json(F.struct(*block, "ts", "bs"), {"ignoreNullFields": "false"}), 256))
+    sets = df.select(F.col(key).alias("k"), *block, _hashes(shingles(F.col(title), 2)).alias("ts"), _hashes(shingles(F.col(body), 3)).alias("bs")).filter("size(ts) > 0 and size(bs) > 0")
+    # a class id of 128 bits over the block and both sets
+    whole = [*[F.coalesce(F.col(x).cast("string"), F.lit("\u0000")) for x in block], "ts", "bs"]
+    sets = checkpoint(sets.withColumn("c", F.concat_ws("-", F.hex(F.xxhash64(F.lit(1), *whole)), F.hex(F.xxhash64(F.lit(2), *whole)))))
     classes = sets.groupBy("c").agg(*[F.first(x).alias(x) for x in (*block, "ts", "bs")])
     grams = classes.select("c", *block, F.size("bs").alias("m"), F.explode("bs").alias("g"))
     rare = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
@@ -57,6 +61,11 @@ def near_duplicates(df: DataFrame, key: str, block: list[str], title: str, body:
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "title_j", "body_j")
 
 
+def _hashes(sets: Column) -> Column:
+    """64-bit hashes of the members, sorted: sets of numbers are a fraction of sets of phrases in a shuffle."""
+    return F.array_sort(F.transform(sets, lambda x: F.xxhash64(x)))
+
+
 def _jaccard(a: str, b: str) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both.cast("double") / (F.size(a) + F.size(b) - both)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sondhan.functions.text import MARKS, WS, collapse, or_empty
 from sondhan.operators.fuzzy import lcs_ratio_udf
+from sondhan.session import checkpoint
 
 # Known English-Bangla pairs.
 SEED_PAIRS = {
@@ -67,21 +68,25 @@ def cluster_exact(counts: DataFrame) -> DataFrame:
 def cluster_fuzzy(counts: DataFrame, threshold: float = 85.0) -> DataFrame:
     """(kind, leader, key): leader clustering of keys, the most frequent first; a key joins the first leader it resembles.
 
-    Pairs are found by a blocked join (shared trigram within the band of lengths that the
-    threshold allows: a ratio of 85 leaves at least one trigram of keys of seven characters
-    or more whole; shorter keys meet on a letter), verified exactly, and the greedy order is
-    replayed within connected parts of the pairs only.
+    Pairs are found by a blocked join that loses none: a ratio of ``threshold`` allows e
+    letters to be inserted or removed, each of which spoils at most two bigrams, so two such
+    keys share one of the 2 e + 1 rarest bigrams of each.  Candidates are verified exactly
+    and the greedy order is replayed within connected parts of the pairs only.
     """
     from sondhan.operators.graph import components
 
-    keyed = counts.withColumn("key", entity_key(F.col("text"), F.col("kind"))).filter("key <> ''").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    low = threshold / (200 - threshold)
-    gram = lambda c: F.when(F.length(c) < 7, F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))))
-    short = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
-    g = keyed.select("kind", "key", "n", F.explode(F.concat(gram(F.col("key")), F.when(F.length("key") < 9, short(F.col("key"))).otherwise(F.array().cast("array<string>")))).alias("g")).distinct()
+    keyed = checkpoint(counts.withColumn("key", entity_key(F.col("text"), F.col("kind"))).filter("key <> ''").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    low, spare = threshold / (200 - threshold), 1 - threshold / 100
+    pairs_of = F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1))), lambda i: F.substring("key", i, F.lit(2)))
+    seen = keyed.select("kind", "key", "n", F.explode(pairs_of).alias("g")).groupBy("kind", "key", "n", "g").agg(F.count(F.lit(1)).alias("times"))
+    grams = seen.select("kind", "key", "n", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("times")), lambda t: F.concat(F.col("g"), t.cast("string")))).alias("g"))
+    rare = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ranked = grams.join(rare, "g").groupBy("kind", "key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    head = (2 * F.floor(F.lit(spare) * F.length("key") * (1 + 1 / low) + 1e-9) + 1).cast("int")
+    g = ranked.select("kind", "key", "n", F.explode(F.slice("gs", 1, head)).alias("x")).select("kind", "key", "n", F.col("x.g").alias("g"))
     h = g.select(F.col("kind").alias("k2"), F.col("key").alias("key2"), F.col("n").alias("n2"), "g")
-    met = g.join(h, "g").filter(F.col("kind").eqNullSafe(F.col("k2")) & (F.col("key") < F.col("key2")) & (F.least(F.length("key"), F.length("key2")) >= low * F.greatest(F.length("key"), F.length("key2"))))
-    pairs = met.select("kind", "key", "n", "key2", "n2").distinct().filter(lcs_ratio_udf("key", "key2") >= threshold)
+    met = g.join(h, "g").filter(F.col("kind").eqNullSafe(F.col("k2")) & (F.col("key") < F.col("key2")) & (F.least(F.length("key"), F.length("key2")) >= low * F.greatest(F.length("key"), F.length("key2")) - 1e-9))
+    pairs = checkpoint(met.select("kind", "key", "n", "key2", "n2").distinct().filter(lcs_ratio_udf("key", "key2") >= threshold))
     ids = pairs.select(F.to_json(F.struct("kind", "key")).alias("src"), F.to_json(F.struct("kind", F.col("key2").alias("key"))).alias("dst"), F.lit(1).alias("weight"), "kind", "key", "n", "key2", "n2")
     part = components(ids.select("src", "dst", "weight"))
     grouped = ids.join(part.select(F.col("node").alias("src"), "component"), "src")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sondhan.functions import text as T
 from sondhan.operators import cleaning, dedup, graph, stats
 from sondhan.plans import sql as S
-from sondhan.session import table
+from sondhan.session import checkpoint, table
 from sondhan.sources import files, html
 
 R = S.Registry()
@@ -209,7 +209,7 @@ def dup_loser(spark, d):
 @R.add()
 def dedup_content(spark, d):
     """Articles that the greedy scan of each block removes."""
-    pairs = dup_loser(spark, d)
+    pairs = checkpoint(dup_loser(spark, d))
     part = graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).alias("weight")))
     return dedup.greedy_removal(pairs.join(part.select(F.col("node").alias("a"), "component"), "a"), "component").withColumnRenamed("loser", "article_id")
 
