@@ -10,6 +10,9 @@ from pyspark.sql.types import DoubleType
 from sondhan.functions.text import jaccard, trigrams
 
 
+SALTS = 16
+
+
 def lcs_ratio(a: str, b: str) -> float:
     """200 * LCS / (la + lb) by one bit-parallel pass."""
     if not a or not b:
@@ -50,23 +53,21 @@ def vocabulary_match(terms: DataFrame, vocab: DataFrame, threshold: float = 70.0
     """(term, word, sim): words of the vocabulary as similar to a term as ``threshold`` or more.
 
     Similarity is the greater of trigram Jaccard (times 100) and, with ``ratio``, the
-    rounded LCS ratio.  Jaccard pairs meet on a shared trigram.  Ratio pairs meet on
-    shared letters within the band of lengths the threshold allows; the letters both
-    words have, with multiplicity, bound their LCS from above, so no pair is lost.
-    All candidates are verified exactly.
+    rounded LCS ratio.  Jaccard pairs meet on a shared trigram; ratio pairs meet within
+    the band of lengths the threshold allows and are measured in Arrow batches.  No pair is lost.
     """
     t = terms.select(F.lower("term").alias("term")).distinct().filter("term <> ''").withColumn("tg", F.array_distinct(trigrams(F.col("term"))))
     v = vocab.select(F.lower("word").alias("word")).distinct().filter("word <> ''").withColumn("wg", F.array_distinct(trigrams(F.col("word"))))
     met = t.select("term", F.explode("tg").alias("g")).join(v.select("word", F.explode("wg").alias("g")), "g").select("term", "word")
     if ratio:
         low = (threshold - 0.5) / (200 - (threshold - 0.5))
-        lt, lw = F.length("term"), F.length("word")
-        letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-        a = t.select("term", F.explode(letters(F.col("term"))).alias("g")).groupBy("term", "g").agg(F.count(F.lit(1)).alias("x"))
-        b = v.select("word", F.explode(letters(F.col("word"))).alias("g")).groupBy("word", "g").agg(F.count(F.lit(1)).alias("y"))
-        met_letters = a.join(b, "g").filter(F.least(lt, lw) >= low * F.greatest(lt, lw)).groupBy("term", "word").agg(F.sum(F.least("x", "y")).alias("n"))
-        shared = met_letters.filter(200 * F.col("n") >= (threshold - 0.5) * (lt + lw)).select("term", "word")
-        met = met.unionByName(shared)
+        n = F.length("term")
+        lengths = F.sequence(F.ceil(low * n - 1e-9).cast("int"), F.floor(n / low + 1e-9).cast("int"))
+        salts = F.sequence(F.lit(0), F.lit(SALTS - 1))  # word lengths are few: one length may hold a third of the vocabulary
+        a = t.select("term", F.explode(lengths).alias("n")).withColumn("salt", F.explode(salts))
+        b = v.select("word", F.length("word").alias("n"), F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int").alias("salt"))
+        banded = a.join(b, ["n", "salt"]).select("term", "word").withColumn("ratio", F.bround(lcs_ratio_udf("term", "word"), 0)).filter(F.col("ratio") >= threshold)
+        met = met.unionByName(banded.select("term", "word"))
     met = met.distinct().withColumn("jac", 100 * jaccard(F.array_distinct(trigrams(F.col("term"))), F.array_distinct(trigrams(F.col("word")))))
     sim = F.greatest(F.col("jac"), F.bround(lcs_ratio_udf("term", "word"), 0)) if ratio else F.col("jac")
     return met.withColumn("sim", sim).filter(F.col("sim") >= threshold).select("term", "word", "sim")

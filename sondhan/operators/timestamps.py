@@ -174,16 +174,28 @@ def _offset_s(zone: Column, home: Column) -> Column:
     return F.coalesce(numeric, local[F.concat(home, F.lit("|"), zone)], world[zone])
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once a row.
+
+    Plain projections are merged by the optimizer, which copies an expression to every
+    place that uses it (here beyond what one generated method can hold); a one-row
+    generator keeps them apart.
+    """
+    packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__once")
+    return df.select("*", packed).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"__once.{n}").alias(n) for n in columns])
+
+
 def read_values(df: DataFrame, value: str, prefix: str = "__ts_") -> DataFrame:
     """``df`` with the parsed parts of ``value`` in one struct column and the order evidence:
     ``mask`` 1 = valid only as day-month, 2 = only as month-day, 3 = both and different, 0 = no choice."""
     tidy, kind, p = f"{prefix}tidy", f"{prefix}kind", f"{prefix}p"
-    out = df.withColumn(tidy, _tidy(F.col(value))).withColumn(kind, _kind(F.col(tidy)))
-    out = out.withColumn(p, _parts(F.col(tidy), F.col(kind)))
+    out = _once(df, {tidy: _tidy(F.col(value))})
+    out = _once(out, {kind: _kind(F.col(tidy))})
+    out = _once(out, {p: _parts(F.col(tidy), F.col(kind))})
     a, b, y = F.col(p)["a"], F.col(p)["b"], F.col(p)["y"]
     dmy, mdy = _day(y, b, a), _day(y, a, b)
     mask = F.when((F.col(kind) == "figures"), F.when(dmy == mdy, 0).otherwise(F.when(dmy.isNotNull(), 1).otherwise(0) + F.when(mdy.isNotNull(), 2).otherwise(0))).otherwise(0)
-    return out.withColumn(f"{prefix}dmy", dmy).withColumn(f"{prefix}mdy", mdy).withColumn(f"{prefix}mask", mask)
+    return _once(out, {f"{prefix}dmy": dmy, f"{prefix}mdy": mdy, f"{prefix}mask": mask})
 
 
 def order_posteriors(parsed: DataFrame, source: str, declared: str | None = None, rounds: int = 25, prior: float = 0.5, prefix: str = "__ts_") -> DataFrame:
@@ -239,13 +251,13 @@ def normalise_timestamps(
     raw = F.col(f"{x}tidy")
     digits = F.length(raw)
     epoch = F.when(kind == "epoch", F.when(digits == 10, raw.try_cast("long") * 1_000_000).when(digits == 13, raw.try_cast("long") * 1000).when(digits == 16, raw.try_cast("long")).otherwise(F.floor(raw.try_cast("decimal(20,0)") / 1000).cast("long")))
-    out = out.withColumn(f"{x}wall", wall).withColumn(f"{x}off", offset)
+    out = _once(out, {f"{x}wall": wall, f"{x}off": offset})
     wall_c, off_c = F.col(f"{x}wall"), F.col(f"{x}off")
     out = out.withColumn(f"{x}local", p["zone"].isNull() & wall_c.isNotNull() & F.col("__zone").isNotNull())
 
     stamp = F.timestamp_micros(wall_c)
     utc = F.unix_micros(F.to_utc_timestamp(stamp, F.col("__zone")))
-    out = out.withColumn(f"{x}utc", F.when(F.col(f"{x}local"), utc))
+    out = _once(out, {f"{x}utc": F.when(F.col(f"{x}local"), utc)})
     utc_c = F.col(f"{x}utc")
     skipped = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc_c), F.col("__zone"))) != wall_c
     again = reduce(lambda a, b: a | b, [F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc_c + F.lit(s * m * 60_000_000)), F.col("__zone"))) == wall_c for m in (30, 60, 120) for s in (-1, 1)])

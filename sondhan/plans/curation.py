@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sondhan.functions import text as T
 from sondhan.operators import cleaning, dedup, graph, stats
 from sondhan.plans import sql as S
-from sondhan.session import checkpoint, table
+from sondhan.session import checkpoint, spread, table
 from sondhan.sources import files, html
 
 R = S.Registry()
@@ -87,7 +87,7 @@ def token_count(spark, d):
 
 @R.add(f"SELECT article_id, title, body, date, {_count('body')} AS tokens FROM ({CLEANED})")
 def clean_article(spark, d):
-    return cleaning.clean_articles(_articles(spark, d)).select("article_id", "title", "body", "date", "tokens")
+    return cleaning.clean_articles(spread(_articles(spark, d))).select("article_id", "title", "body", "date", "tokens")
 
 
 @R.add(f"SELECT article_id, coalesce({_reason('url', 'title', 'body')}, 'kept') AS reason FROM ({CLEANED})")
@@ -168,7 +168,7 @@ _PAIRS = f"""WITH s AS MATERIALIZED ({_SPLIT}), p AS (SELECT x.article_id AS a,
 
 
 def _near(spark, d):
-    return dedup.near_duplicates(_articles(spark, d).select("article_id", "source", "language", "title", "body"), "article_id", ["source", "language"], "title", "body")
+    return dedup.near_duplicates(spread(_articles(spark, d).select("article_id", "source", "language", "title", "body")), "article_id", ["source", "language"], "title", "body")
 
 
 @R.add(_PAIRS)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sondhan.functions import text as T
 from sondhan.operators import evaluation, fusion, fuzzy, lexical, querying, semantic
 from sondhan.plans import sql as S
-from sondhan.session import table
+from sondhan.session import spread, table
 
 R = S.Registry()
 
@@ -23,7 +23,7 @@ def _text():
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "articles").select("article_id", "title", "body", "language")
+    return spread(table(spark, d, "articles").select("article_id", "title", "body", "language"))
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
