@@ -85,4 +85,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids, "p9_containers": p9_containers,
     "p10_found": p10_found,
 }
-ORACLE: dict[str, str] = {}
+
+_P3_TIES = """SELECT left_id AS a, right_id AS b FROM entity_matches WHERE matched AND left_id IN (SELECT entity_id FROM entity_records) AND right_id IN (SELECT entity_id FROM entity_records) AND left_id <> right_id
+    UNION SELECT x.m, y.entity_id FROM (SELECT alias, min(entity_id) AS m FROM (SELECT entity_id, unnest(aliases) AS alias FROM entity_records) WHERE regexp_matches(alias, '\\p{L}') GROUP BY alias) x
+    JOIN (SELECT DISTINCT entity_id, unnest(aliases) AS alias FROM entity_records) y ON x.alias = y.alias WHERE x.m <> y.entity_id"""
+
+ORACLE: dict[str, str] = {
+    "p3_found": f"""WITH RECURSIVE t AS MATERIALIZED ({_P3_TIES}), e AS MATERIALIZED (SELECT a, b FROM t UNION SELECT b, a FROM t),
+        w AS (SELECT DISTINCT a AS entity_id, a AS label FROM e UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.entity_id WHERE w.label < e.b)
+        SELECT entity_id, min(label) AS group_id FROM w GROUP BY entity_id""",
+}
