@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sondhan.functions import text as T
 from sondhan.operators import evaluation, fusion, fuzzy, lexical, querying, semantic
 from sondhan.plans import sql as S
-from sondhan.session import spread, table
+from sondhan.session import materialise, spread, table
 
 R = S.Registry()
 
@@ -153,8 +153,9 @@ def fuzzy_vocab_match(spark, d):
 
 @R.add()
 def fuzzy_topk(spark, d):
-    words = lexical.postings(corpus(spark, d), "article_id", _text())
-    return _ranked(fuzzy.fuzzy_scores(lexical.query_terms(queries(spark, d)), fuzzy.vocabulary_match(_terms(spark, d), _vocab(spark, d)), words))
+    words = materialise(lexical.postings(corpus(spark, d), "article_id", _text()))  # the index: read for the vocabulary and for the documents
+    vocab = words.select(F.col("term").alias("word")).distinct()
+    return _ranked(fuzzy.fuzzy_scores(lexical.query_terms(queries(spark, d)), fuzzy.vocabulary_match(_terms(spark, d), vocab), words))
 
 
 @R.add(_top(f"SELECT query_id, doc_id, sum(qtf * sim / 100) AS score FROM ({_ASKED}) a JOIN ({_MATCH}) m USING (term) JOIN (SELECT doc_id, term AS word FROM ({_POST})) p USING (word) GROUP BY query_id, doc_id"))
