@@ -86,11 +86,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
 }
 
+def _p2_sql() -> str:
+    scores = ("bm25", "fuzzy", "semantic")
+    long = " UNION ALL ".join(f"SELECT search_id, article_id, '{c}' AS c, {c} AS s FROM h" for c in scores)
+    v = {c: f"coalesce(max(CASE WHEN c = '{c}' THEN u END), 0.0)" for c in scores}
+    top = {c: f"max(coalesce(max(CASE WHEN c = '{c}' THEN u END), 0.0)) OVER (PARTITION BY search_id)" for c in scores}
+    plus = " + ".join(f"({top[c]} - {v[c]}) ** 2" for c in scores)
+    minus = " + ".join(f"{v[c]} ** 2" for c in scores)
+    return f"""WITH h AS (SELECT search_id, article_id, max(bm25) AS bm25, max(fuzzy) AS fuzzy, max(semantic) AS semantic FROM hybrid_results_labse WHERE search_id IS NOT NULL AND article_id IS NOT NULL GROUP BY ALL), l AS ({long}),
+        b AS (SELECT search_id, c, quantile_disc(s, 0.05) AS lo, (list(s ORDER BY s DESC))[greatest(1, least(11, ceil(count(s) / 2)))::INT] AS hi FROM l WHERE s IS NOT NULL GROUP BY ALL),
+        x AS (SELECT l.search_id, article_id, l.c, coalesce(greatest(least(s, hi), lo) - lo, 0.0) AS x FROM l LEFT JOIN b ON l.search_id = b.search_id AND l.c = b.c),
+        n AS (SELECT search_id, article_id, c, coalesce(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY search_id, c)), 0), 0.0) AS u FROM x),
+        r AS (SELECT search_id, article_id, sqrt({plus}) AS p, sqrt({minus}) AS m FROM n GROUP BY search_id, article_id)
+        SELECT search_id, article_id FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY coalesce(m / nullif(p + m, 0), 0) DESC, article_id) AS k FROM r) WHERE k <= 10"""
+
+
 _P3_TIES = """SELECT left_id AS a, right_id AS b FROM entity_matches WHERE matched AND left_id IN (SELECT entity_id FROM entity_records) AND right_id IN (SELECT entity_id FROM entity_records) AND left_id <> right_id
     UNION SELECT x.m, y.entity_id FROM (SELECT alias, min(entity_id) AS m FROM (SELECT entity_id, unnest(aliases) AS alias FROM entity_records) WHERE regexp_matches(alias, '\\p{L}') GROUP BY alias) x
     JOIN (SELECT DISTINCT entity_id, unnest(aliases) AS alias FROM entity_records) y ON x.alias = y.alias WHERE x.m <> y.entity_id"""
 
 ORACLE: dict[str, str] = {
+    "p2_found": _p2_sql(),
     "p3_found": f"""WITH RECURSIVE t AS MATERIALIZED ({_P3_TIES}), e AS MATERIALIZED (SELECT a, b FROM t UNION SELECT b, a FROM t),
         w AS (SELECT DISTINCT a AS entity_id, a AS label FROM e UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.entity_id WHERE w.label < e.b)
         SELECT entity_id, min(label) AS group_id FROM w GROUP BY entity_id""",
