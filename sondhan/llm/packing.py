@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondhan.session import materialise
+
 
 def best_fit(sizes: Sequence[int], capacities: Sequence[int], overhead: int = 64) -> tuple[list[int], list[int], list[int]]:
     """(bin of each item, capacity of each bin, fill of each bin) for sizes no larger than the largest capacity.
@@ -62,7 +64,8 @@ def pack(sizes: DataFrame, key: str, size: str, capacities: Sequence[int] = (256
     one row with null container and capacity.  Rows of a repeated key are items of their own.
     """
     most = max(capacities)
-    items = sizes.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n"))
+    # measured once: the count and both branches below read the sizes
+    items = materialise(sizes.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n")))
     shards = max(1, math.ceil(items.count() / shard_items))
     whole, rest = F.floor(F.col("n") / most).cast("long"), (F.col("n") % most).cast("int")
     full = items.filter(F.col("n") >= most).select("k", "n", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("part"))
