@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondhan.functions import text as T
-from sondhan.operators import entities, graph, querying
+from sondhan.operators import entities, graph, querying, semantic
 from sondhan.plans import sql as S
 from sondhan.session import table
 
@@ -204,6 +204,25 @@ def link_audit(spark, d):
     return best.orderBy(F.desc("score"), "en_id").limit(100).select("en_id", "bn_id", "score")
 
 
+def _nearest(spark, d):
+    """The nearest of the other vectors, of whatever label, for each query vector."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    q = e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "en_id")
+    return semantic.cosine_top_k(q, e.filter("vec_id % 20 <> 0").withColumnRenamed("vec_id", "bn_id"), "en_id", "bn_id", "v", 1)
+
+
+@R.add()
+def argmax_link_all(spark, d):
+    """argmax_link over the vectors of all labels."""
+    return _nearest(spark, d).filter("score >= 0.2").select("en_id", "bn_id", "score")
+
+
+@R.add()
+def link_audit_all(spark, d):
+    """link_audit over the vectors of all labels."""
+    return _nearest(spark, d).filter("score > 0.1").orderBy(F.desc("score"), "en_id").limit(100).select("en_id", "bn_id", "score")
+
+
 _LINKS = "SELECT en_id, bn_id, score FROM (SELECT x.entity_id AS en_id, y.entity_id AS bn_id, coalesce(m.score, 0) AS score, row_number() OVER (PARTITION BY x.entity_id ORDER BY m.score DESC NULLS LAST, y.entity_id) AS r1, row_number() OVER (PARTITION BY y.entity_id ORDER BY m.score DESC NULLS LAST, x.entity_id) AS r2 FROM entity_matches m JOIN entity_records x ON m.left_id = x.entity_id AND x.canonical_en IS NOT NULL AND x.canonical_bn IS NULL JOIN entity_records y ON m.right_id = y.entity_id AND y.canonical_en IS NULL AND y.canonical_bn IS NOT NULL WHERE m.matched) WHERE r1 = 1 AND r2 = 1"
 
 

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sondhan.operators import entities, graph, querying
+from sondhan.plans import knowledge
 
 
 def test_seed_pairs_and_their_collisions(spark):
@@ -27,6 +29,26 @@ def test_greedy_links_give_each_side_once(spark):
     assert {(r.en_id, r.bn_id) for r in entities.greedy_links(s).collect()} == {(1, 7), (2, 8)}
 
 
+def vectors(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    v, label = rng.normal(size=(800, 6)), rng.integers(0, 2, 800)
+    rows = [(i, int(label[i]), [float(x) for x in v[i]]) for i in range(800)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = v.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    return np.round(u @ u.T, 6), label
+
+
+def test_links_over_all_labels_find_the_nearest_vector(spark, tmp_path):
+    scores, label = vectors(spark, tmp_path)
+    others = [i for i in range(800) if i % 20]
+    want = {e: max(others, key=lambda b: (scores[e, b], -b)) for e in range(0, 800, 20)}
+    assert any(label[e] != label[b] for e, b in want.items())
+    assert {r.en_id: r.bn_id for r in knowledge.argmax_link_all(spark, str(tmp_path)).collect()} == want
+    audit = knowledge.link_audit_all(spark, str(tmp_path)).collect()
+    assert [(r.en_id, r.bn_id) for r in audit] == sorted(want.items(), key=lambda x: (-scores[x], x[0]))
+
+
 def test_merge_duplicates_keeps_the_row_with_an_english_name(spark):
     r = spark.createDataFrame([("E2", None, "ঢাকা", ["a", None], 1), ("E3", "Dhaka", "ঢাকা", ["b", "a"], 2), ("E4", None, None, None, 5)], "entity_id string, canonical_en string, canonical_bn string, aliases array<string>, total_mentions int")
     m = entities.merge_duplicates(r, "canonical_bn").collect()
