@@ -193,7 +193,7 @@ def argmax_link(spark, d):
 
 @R.add()
 def greedy_knn_link(spark, d):
-    return entities.greedy_links(_vectors(spark, d).withColumn("bn_id", F.col("bn_id") % 97), 0.2)
+    return entities.greedy_links(_vectors(spark, d), 0.2)
 
 
 @R.add(f"SELECT en_id, bn_id, score FROM (SELECT *, row_number() OVER (PARTITION BY en_id ORDER BY score DESC, bn_id) AS r FROM ({_VEC})) WHERE r = 1 AND score > 0.1 ORDER BY score DESC, en_id LIMIT 100")

@@ -49,6 +49,18 @@ def test_links_over_all_labels_find_the_nearest_vector(spark, tmp_path):
     assert [(r.en_id, r.bn_id) for r in audit] == sorted(want.items(), key=lambda x: (-scores[x], x[0]))
 
 
+def test_greedy_knn_links_use_the_real_ids(spark, tmp_path):
+    scores, label = vectors(spark, tmp_path)
+    taken, want = set(), {}
+    for e in range(0, 800, 20):
+        near = sorted((i for i in range(800) if i % 20 and label[i] == label[e]), key=lambda b: (-scores[e, b], b))[:3]
+        if free := [b for b in near if b not in taken and scores[e, b] >= 0.2]:
+            want[e] = free[0]
+            taken.add(free[0])
+    assert max(want.values()) >= 97
+    assert {r.en_id: r.bn_id for r in knowledge.greedy_knn_link(spark, str(tmp_path)).collect()} == want
+
+
 def test_merge_duplicates_keeps_the_row_with_an_english_name(spark):
     r = spark.createDataFrame([("E2", None, "ঢাকা", ["a", None], 1), ("E3", "Dhaka", "ঢাকা", ["b", "a"], 2), ("E4", None, None, None, 5)], "entity_id string, canonical_en string, canonical_bn string, aliases array<string>, total_mentions int")
     m = entities.merge_duplicates(r, "canonical_bn").collect()
