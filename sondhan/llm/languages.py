@@ -2,8 +2,8 @@
 
 A mixture model over words and character trigrams.  Its components are the languages,
 Bangla and Hindi once in their own and once in Latin letters.  It is fitted by
-expectation-maximisation on a bounded sample of documents, started from a few function
-words a language, so wrong or missing labels do no harm (labels are not used at all).
+expectation-maximisation on all documents, started from a few function words a
+language, so wrong or missing labels do no harm (labels are not used at all).
 
 For each document EM then estimates the proportions of the languages from the
 likelihoods of its paragraphs; a language besides the main one is kept only if it raises
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondhan.llm.lookalike import LOOKALIKE, plain
-from sondhan.llm.sampling import bounded_sample
-from sondhan.session import spread
+from sondhan.session import materialise, spread
 
 # Function words that start the components.
 SEEDS = {
@@ -47,7 +45,9 @@ WORDS = 30_000
 BORROWED = {j: frozenset(SEEDS[c].split()) for j, c in enumerate(COMPONENTS) if "_" in c}
 BARRED = -1000.0
 TABLE = 300_000
-SAMPLE = 4_000
+#: Words each component keeps of its own, so that those of a rare language are not crowded out by the frequent words of the others.
+OWN_WORDS = 4_000
+SCRIPTS = ["bn" if c == "bn" else "hi" if c == "hi" else "latn" for c in COMPONENTS]
 
 _TOKEN = re.compile(r"[^\s\d!-/:-@\[-`{-~০-৯०-९।॥‘’“”„«»‹›–—…|•·©°]+")
 
@@ -98,56 +98,191 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+class Chunk:
+    """The paragraphs of some documents: word numbers, their runs, and the trigrams of the distinct words."""
+
+    def __init__(self, words: list[str], ids: np.ndarray, sizes: np.ndarray, gram_id: np.ndarray, gram_sizes: np.ndarray):
+        self.words, self.ids, self.gram_id = words, ids, gram_id
+        self.sizes, self.offsets, self.gram_off = sizes, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.concatenate([[0], np.cumsum(gram_sizes)]).astype(np.int64)
+        self.para, self.gram_word = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(words)), gram_sizes)
+
+    @staticmethod
+    def arrays(texts: list[str]) -> tuple[list[str], list[int], list[int], list[int], list[int]]:
+        vocabulary: dict[str, int] = {}
+        ids, sizes = [], []
+        for text in texts:
+            for p in text.split("\n\n"):
+                if t := tokens(p):
+                    ids += [vocabulary.setdefault(w, len(vocabulary)) for w in t]
+                    sizes.append(len(t))
+        grams = [_grams(w[:40]) for w in vocabulary]
+        return list(vocabulary), ids, sizes, [x for g in grams for x in g], [len(g) for g in grams]
+
+    def barred(self) -> np.ndarray:
+        """As ``_barred``, from the numbers of the words."""
+        out = np.zeros((len(self.sizes), len(COMPONENTS)))
+        for j, own in BORROWED.items():
+            has = np.array([w in own for w in self.words], float)
+            out[_sums(has[self.ids][:, None], self.offsets)[:, 0] == 0, j] = BARRED
+        return out
+
+    def counts(self, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected counts of the words and trigrams by component."""
+        k = len(COMPONENTS)
+        n = np.stack([np.bincount(self.ids, r[self.para, j], len(self.words)) for j in range(k)], 1)
+        return n, np.stack([np.bincount(self.gram_id, n[self.gram_word, j], BUCKETS) for j in range(k)], 1)
+
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
+        """(shares of the components, clear paragraphs a component) by script and function words alone."""
+        k = len(COMPONENTS)
+        row = {w: i for i, w in enumerate(self.words)}
+        seed = np.zeros((len(self.words), k))
+        for j, words in enumerate(SEEDS.values()):
+            for w in words.split():
+                if w in row:
+                    seed[row[w], j] += 2.0
+        allowed = np.array([[0.0 if s == _script(w) else -8.0 for s in SCRIPTS] for w in self.words])
+        hits, fits = _sums(seed[self.ids], self.offsets), _sums(allowed[self.ids], self.offsets)
+        r = _softmax(hits + np.maximum(fits, -200))
+        r[(hits.max(1) == 0) & (fits[:, 0] == 0)] = 0.0  # Latin letters, no function word: wait
+        return r, ((hits >= 4) & (hits > np.sort(hits, 1)[:, [-2]])).sum(0)
+
+    def judge(self, model: LanguageModel, prior: np.ndarray) -> np.ndarray:
+        known = np.vstack([model.word_p, np.zeros((1, len(COMPONENTS)))])[[model.words.get(w, -1) for w in self.words]]
+        spelled = np.exp(np.maximum(_sums(model.gram_log[self.gram_id], self.gram_off), -60.0))
+        logp = np.log(model.blend * known + (1 - model.blend) * spelled + 1e-30)
+        return _softmax(_sums(logp[self.ids], self.offsets) + prior + self.barred())
+
+
+class Totals:
+    """What a task, or the table, adds up over its chunks: trigram counts, shares, tokens and clear paragraphs a component; word counts by row or word."""
+
+    def __init__(self, rows: int = 0):
+        k = len(COMPONENTS)
+        self.grams, self.rest, self.n = np.zeros((BUCKETS, k)), np.zeros((3, k)), np.zeros((rows, k))
+
+    def add(self, chunk: Chunk, r: np.ndarray, clear: np.ndarray | float = 0.0) -> np.ndarray:
+        n, g = chunk.counts(r)
+        self.grams += g
+        self.rest += [r.sum(0), n.sum(0), np.zeros(len(COMPONENTS)) + clear]
+        return n
+
+    def add_judged(self, chunk: Chunk, model: LanguageModel, prior: np.ndarray) -> None:
+        n = self.add(chunk, chunk.judge(model, prior))
+        at = np.array([model.words.get(w, -1) for w in chunk.words], np.int64)
+        np.add.at(self.n, at[at >= 0], n[at >= 0])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, values): trigrams, then the three sums, then words; rows of zeros left out."""
+        every = np.vstack([self.grams, self.rest, self.n])
+        at = np.flatnonzero(every.any(1))
+        return at, every[at]
+
+    @classmethod
+    def of(cls, at: np.ndarray, values: np.ndarray, rows: int) -> Totals:
+        out, every = cls(rows), np.zeros((BUCKETS + 3 + rows, len(COMPONENTS)))
+        every[at] = values
+        out.grams, out.rest, out.n = every[:BUCKETS], every[BUCKETS : BUCKETS + 3], every[BUCKETS + 3 :]
+        return out
+
+
+def _model(words: dict[str, int], totals: Totals, absent: np.ndarray) -> tuple[LanguageModel, np.ndarray]:
+    """(model, log of the shares of the components) of expected counts."""
+    shares, held = np.where(absent, 0.0, totals.rest[0]), np.where(absent, 0.0, totals.rest[1])
+    grams = np.where(absent, 0.0, totals.grams)
+    gram_log = np.log((grams + 0.02) / (grams.sum(0) + 0.02 * BUCKETS))
+    gram_log[:, absent] = -60.0
+    word_p = np.where(absent, 0.0, totals.n) / np.maximum(held, 50.0)
+    return LanguageModel(words, word_p.astype(np.float32), gram_log.astype(np.float32)), np.log((shares + 1) / (shares.sum() + len(COMPONENTS)))
+
+
+def _absent(clear: np.ndarray) -> np.ndarray:
+    """Components in Latin letters no paragraph at all speaks clearly for; they would only split a neighbour's paragraphs."""
+    return (clear == 0) & np.array([x == "latn" for x in SCRIPTS])
+
+
 def fit(texts: list[str], rounds: int = 8) -> LanguageModel:
-    """EM over the paragraphs of a sample."""
-    paragraphs = [t for text in texts for p in text.split("\n\n") if (t := tokens(p))]
-    counts = Counter(w for p in paragraphs for w in p)
-    vocabulary = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
+    """EM over the paragraphs of some texts, in one process."""
+    arrays = Chunk.arrays(texts)
+    if not arrays[1]:
+        return LanguageModel({}, np.zeros((0, len(COMPONENTS))), np.full((BUCKETS, len(COMPONENTS)), -np.log(BUCKETS)))
+    chunk = Chunk(arrays[0], *[np.array(x, np.int64) for x in arrays[1:]])
+    count = np.bincount(chunk.ids)
+    first = Totals()
+    n = first.add(chunk, *chunk.start())
+    order = [i for i in sorted(range(len(count)), key=lambda i: (-count[i], chunk.words[i])) if count[i] > 1][:WORDS]
+    words = {chunk.words[i]: row for row, i in enumerate(order)}
+    first.n = n[order]
+    absent = _absent(first.rest[2])
+    model, prior = _model(words, first, absent)
+    for _ in range(rounds - 1):
+        totals = Totals(len(words))
+        totals.add_judged(chunk, model, prior)
+        model, prior = _model(words, totals, absent)
+    return model
+
+
+def fit_all(df: DataFrame, text: str, rounds: int = 8) -> LanguageModel:
+    """EM over the paragraphs of all documents of a table.
+
+    The words are split once and kept in the shared folder; a round is one pass over them that adds
+    up counts of BUCKETS trigrams and of the words that are the WORDS most frequent ones or among
+    the OWN_WORDS most frequent of a component.  Only these sums reach the driver.
+    """
     k = len(COMPONENTS)
-    ids = np.array([vocabulary[w] for p in paragraphs for w in p], np.int64)
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in paragraphs])]).astype(np.int64)
-    para = np.repeat(np.arange(len(paragraphs)), np.diff(offsets))
-    grams = [_grams(w[:40]) for w in vocabulary]
-    gram_word = np.array([i for i, g in enumerate(grams) for _ in g], np.int64)
-    gram_id = np.array([x for g in grams for x in g], np.int64)
-    gram_off = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int64)
-
-    seed = np.zeros((len(vocabulary), k))
-    allowed = np.zeros((len(vocabulary), k))
-    for j, (name, words) in enumerate(SEEDS.items()):
-        for w in words.split():
-            if w in vocabulary:
-                seed[vocabulary[w], j] += 2.0
-    script = ["bn" if n == "bn" else "hi" if n == "hi" else "latn" for n in COMPONENTS]
-    for w, i in vocabulary.items():
-        allowed[i] = [0.0 if s == _script(w) else -8.0 for s in script]
-    if not len(ids):
-        return LanguageModel({}, np.zeros((0, k)), np.full((BUCKETS, k), -np.log(BUCKETS)))
-    hits = _sums(seed[ids], offsets)
-    r = _softmax(hits + np.maximum(_sums(allowed[ids], offsets), -200))
-    r[(hits.max(1) == 0) & (_sums(allowed[ids][:, [0]], offsets)[:, 0] == 0)] = 0.0  # Latin letters, no function word: wait
-    # a component the sample does not speak for would only split a neighbour's paragraphs: leave it out
-    clear = (hits >= 4) & (hits > np.sort(hits, 1)[:, [-2]])
-    absent = (clear.sum(0) < max(2, 0.0002 * len(paragraphs))) & np.array([x == "latn" for x in script])
-    r[:, absent] = 0.0
-    barred = _barred(paragraphs)
-    for turn in range(rounds):
-        n = np.zeros((len(vocabulary), k))
-        np.add.at(n, ids, r[para])
-        g = np.zeros((BUCKETS, k))
-        np.add.at(g, gram_id, n[gram_word])
-        gram_log = np.log((g + 0.02) / (g.sum(0) + 0.02 * BUCKETS))
-        word_p = n / np.maximum(n.sum(0), 50.0)
-        spelled = np.exp(np.maximum(_sums(gram_log[gram_id], gram_off), -60.0))
-        logp = np.log(0.7 * word_p + 0.3 * spelled + 1e-30)
-        logp[:, absent] = -60.0
-        prior = np.log((r.sum(0) + 1) / (r.sum() + k))
-        if turn < rounds - 1:
-            r = _softmax(_sums(logp[ids], offsets) + prior + barred)
-    word_p[:, absent], gram_log[:, absent] = 0.0, -60.0
-    kept = min(len(vocabulary), WORDS)
-    words = {w: i for w, i in vocabulary.items() if i < kept and counts[w] > 1}
-    return LanguageModel(words, word_p[:kept].astype(np.float32), gram_log.astype(np.float32))
+    sums = [f"c{j}" for j in range(k)]
+    fields = ", ".join(f"{c} double" for c in sums)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for start in range(0, len(big), 1000):
+                arrays = Chunk.arrays(big.column(0).slice(start, 1000).to_pylist())
+                if arrays[1]:
+                    columns = [pa.array([x], pa.list_(t)) for x, t in zip(arrays, [pa.string(), *[pa.int32()] * 4], strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["words", "ids", "sizes", "gram_id", "gram_sizes"])
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+        for batch in batches:
+            for i in range(len(batch)):
+                numbers = [batch.column(j)[i].values.to_numpy(zero_copy_only=False).astype(np.int64) for j in range(1, 5)]
+                yield Chunk(batch.column(0)[i].values.to_pylist(), *numbers)
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = Totals()
+        for chunk in chunks(batches):
+            n = totals.add(chunk, *chunk.start())
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(n), pa.int32()), pa.array(chunk.words, pa.string()), pa.array(np.bincount(chunk.ids).astype(float)), *map(pa.array, n.T.copy())], ["at", "word", "n", *sums])
+        at, values = totals.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([""] * len(at), pa.string()), pa.array(np.zeros(len(at))), *map(pa.array, values.T.copy())], ["at", "word", "n", *sums])
+
+    def collected(rows: DataFrame, size: int) -> Totals:
+        found = rows.select("at", *sums).toArrow()
+        return Totals.of(found.column(0).to_numpy(), np.stack([found.column(j + 1).to_numpy() for j in range(k)], 1), size)
+
+    held = materialise(spread(df.select(text)).mapInArrow(split, "words array<string>, ids array<int>, sizes array<int>, gram_id array<int>, gram_sizes array<int>"))
+    counts = materialise(held.mapInArrow(seeded, f"at int, word string, n double, {fields}").groupBy("at", "word").agg(*[F.sum(c).alias(c) for c in ["n", *sums]]))
+    first = collected(counts.filter("at >= 0"), 0)
+    repeated = counts.filter("at < 0 and n > 1")
+    chosen = repeated.orderBy(F.desc("n"), "word").limit(WORDS)
+    for c in sums:
+        chosen = chosen.unionByName(repeated.filter(F.col(c) > 0).orderBy(F.desc(c), "word").limit(OWN_WORDS))
+    table = chosen.dropDuplicates(["word"]).toArrow().sort_by("word")
+    words = {w: i for i, w in enumerate(table.column("word").to_pylist())}
+    first.n = np.stack([table.column(c).to_numpy() for c in sums], 1)
+    absent = _absent(first.rest[2])
+    model, prior = _model(words, first, absent)
+    for _ in range(rounds - 1):
+
+        def judged(batches: Iterator[pa.RecordBatch], model=model, prior=prior) -> Iterator[pa.RecordBatch]:
+            totals = Totals(len(model.words))
+            for chunk in chunks(batches):
+                totals.add_judged(chunk, model, prior)
+            at, values = totals.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *map(pa.array, values.T.copy())], ["at", *sums])
+
+        rows = held.mapInArrow(judged, f"at int, {fields}").groupBy("at").agg(*[F.sum(c).alias(c) for c in sums])
+        model, prior = _model(words, collected(rows, len(words)), absent)
+    return model
 
 
 class Judge:
@@ -214,19 +349,14 @@ class Judge:
         return out
 
 
-def sample_texts(df: DataFrame, key: str, text: str, size: int = SAMPLE) -> list[str]:
-    """About ``size`` texts (never over 1.25 times as many) by a hash of the key: the bounded fitting sample."""
-    return [row[0] for row in bounded_sample(df, key, [text], f"`{text}` rlike '[^ ]'", size, 11)]
-
-
-def identify(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> DataFrame:
+def identify(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, segment, language, confidence): segment 0 is the document, k >= 1 its k-th paragraph if in another language.
 
     Rows with null or blank text are left out; a text without a single word gets one row
-    with null language and confidence 0.  ``sample`` bounds the documents that fit the model;
-    every document is judged, whole.
+    with null language and confidence 0.  Every document has its part in the model and is judged, whole.
     """
-    model = fit(sample_texts(df, key, text, sample))
+    solid = df.filter(F.col(text).rlike("[^\\s\\u00a0\\u3000]")).select(key, text)
+    model = fit_all(solid, text)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,5 +375,4 @@ def identify(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> DataFr
                 arrays = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "segment", "language", "confidence"])
 
-    solid = df.filter(F.col(text).rlike("[^\\s\\u00a0\\u3000]")).select(key, text)
     return spread(solid).mapInArrow(run, f"`{key}` {kind}, segment long, language string, confidence double")

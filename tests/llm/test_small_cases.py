@@ -86,6 +86,13 @@ def test_held_out_accuracy():
     assert right >= 0.97 * len(test)
 
 
+def test_a_language_of_one_article_in_a_large_table_is_found(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.sample(EN.split(), 16))) for i in range(5000)] + [(5000, FR), (5001, f"{EN}\n\n{EN}\n\n{ROMAN}")]
+    got = languages.identify(spark.createDataFrame(rows, "article_id long, body string"), "article_id", "body").filter("language <> 'en'").collect()
+    assert {(r.article_id, r.segment, r.language) for r in got} == {(5000, 0, "fr"), (5001, 3, "bn")}
+
+
 # --- p5
 
 LOOKS = [("Résumé", "Résumé"), ("fish office", "ﬁsh oﬃce".replace("ﬃ", "ﬀice"[0] + "i")), ("abc 12", "ａｂｃ　１２"), ("word", "w​o­rd﻿"), ("a b", "a b"), ("কো", "কো")]
