@@ -173,16 +173,18 @@ def listed_together(record: DataFrame) -> DataFrame:
     return several.select("names").mapInArrow(run, "a string, b string, s double")
 
 
-def average_linkage(edges: DataFrame, threshold: float = 0.15, max_rounds: int = 100) -> DataFrame:
+def average_linkage(edges: DataFrame, threshold: float = 0.15, max_rounds: int = 10_000) -> DataFrame:
     """(v, r): cluster representative of every vertex that merges with another.
 
     ``edges``: (a, b, s) with a < b, one row a pair; a pair without a row has similarity 0.
+    Ties are broken by a fresh hash a round, so that tied pairs merge side by side.  Goes on until no
+    pair is left to merge; raises if that takes over ``max_rounds`` rounds.
     """
     work = checkpoint(edges.select("a", "b", "s", F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
     maps: list[DataFrame] = []
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         mean = F.col("s") / (F.col("na") * F.col("nb"))
-        good = work.filter(mean >= threshold).select("a", "b", "na", "nb", F.struct(mean.alias("m"), F.col("a").alias("x"), F.col("b").alias("y")).alias("e"))
+        good = work.filter(mean >= threshold).select("a", "b", "na", "nb", F.struct(F.round(mean, 12).alias("m"), F.xxhash64("a", "b", F.lit(turn)).alias("h"), F.col("a").alias("x"), F.col("b").alias("y")).alias("e"))
         ends = good.select(F.explode(F.array("a", "b")).alias("v"), "e", F.col("na") + F.col("nb"))
         best = ends.toDF("v", "e", "size").groupBy("v").agg(F.max(F.struct("e", "size")).alias("t"))
         pairs = best.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("t.e.x", "t.e.y", "t.size")
@@ -200,6 +202,8 @@ def average_linkage(edges: DataFrame, threshold: float = 0.15, max_rounds: int =
             F.when(F.col("p") < F.col("q"), F.col("nq")).otherwise(F.col("np")).alias("nb"),
         )
         work = checkpoint(step.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb")))
+    else:
+        raise RuntimeError(f"no end after {max_rounds} rounds")
     if not maps:
         return work.select(F.col("a").alias("v"), F.col("b").alias("r")).limit(0)
     # a representative may merge again later: expand from the last round, adding vertices that joined in each

@@ -231,6 +231,14 @@ def test_average_linkage_equals_one_merge_at_a_time(spark):
     assert {frozenset(g) for g in got.values()} == want
 
 
+def test_tied_names_all_merge_or_it_raises(spark):
+    tied = spark.createDataFrame([(f"n{i:02d}", f"n{j:02d}", 0.9) for i in range(40) for j in range(i + 1, 40)], "a string, b string, s double")
+    got = linking.average_linkage(tied, max_rounds=25).collect()
+    assert len({r.v for r in got}) == 40 and len({r.r for r in got}) == 1
+    with pytest.raises(RuntimeError):
+        linking.average_linkage(tied, max_rounds=2)
+
+
 # --- p8, p9
 
 def test_ids_equal_the_public_library_and_round_trip(spark):
