@@ -80,8 +80,7 @@ def shapes(texts: list[str], numbers: list[int], sites: re.Pattern | None) -> np
 
 
 def hashed(line: str) -> list[int]:
-    w = words(line)
-    return [zlib.crc32(x.encode()) % WORD_BUCKETS for x in w[:60]] or [0]
+    return [zlib.crc32(x.encode()) % WORD_BUCKETS for x in words(line)] or [0]
 
 
 def sites_pattern(names: list[str]) -> re.Pattern | None:

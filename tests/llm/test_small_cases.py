@@ -144,6 +144,11 @@ def test_labeller_on_held_out_pages(spark):
     assert right / total >= 0.97
 
 
+def test_all_words_of_a_line_are_hashed():
+    line = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100))
+    assert len(boilerplate.hashed(line)) == 100 and boilerplate.hashed(line) != boilerplate.hashed(line + "x")
+
+
 def test_labeller_edges(spark):
     rows = [(1, None, "A story line that ends here."), (2, "T", None), (3, "T", " \n "), (4, "", "\n\nOne.\n\n\nTwo."), (5, "T | Big", "x " * 40_000 + ".")]
     df = spark.createDataFrame(rows, "article_id long, title string, body string")
