@@ -171,7 +171,7 @@ def residue_documents(
     units = materialise(_unit_rows(df, key, text, source))
     # a unit's company: is the rest of its document residue?
     rest_bad = (F.col("all_spans") > 0) & (F.col("all_left") - F.col("left") <= most_left)
-    by_source = units.filter("words <= 25 and spans = 0").groupBy("hash", "src").agg(F.count(F.lit(1)).alias("n"), F.count_if(rest_bad).alias("bad"))
+    by_source = units.filter("spans = 0").groupBy("hash", "src").agg(F.count(F.lit(1)).alias("n"), F.count_if(rest_bad).alias("bad"))
     stats = by_source.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("sources"))
     messages = stats.filter((F.col("n") >= min_docs) & (F.col("sources") >= min_sources) & (F.col("bad") >= share * F.col("n"))).select("hash", F.lit(True).alias("message"))
 

@@ -299,3 +299,10 @@ def test_unknown_messages_are_learned_from_their_company(spark):
     got = {r.doc_id: r.is_residue for r in residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()}
     assert got[10] and not any(got[20 + i] for i in range(4))
     assert residue.residue_documents(spark.createDataFrame([], "doc_id long, text string, source string"), "doc_id", "text", "source").count() == 0
+
+
+def test_long_messages_are_learned_too(spark):
+    long = "Zork unavailable, sorry, " + " ".join(f"zork{chr(97 + i)}" for i in range(26)) + "."
+    rows = [(i, f"{long}\nError 50{i}", f"s{i % 3}") for i in range(4)] + [(10, long, "s9")]
+    got = {r.doc_id: r.is_residue for r in residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()}
+    assert got[10]
