@@ -2,13 +2,14 @@
 
 1. Every name of a record is brought to a spelling-neutral key (``names``): Bangla in
    Latin letters, titles and brackets dropped, kinds of bodies unified, parts sorted.
-2. Keys become vectors of character 4-grams and whole parts, weighted by rarity (the
-   document frequencies live in a table of fixed size), and a distributed sparse
-   cosine join finds all pairs above a threshold: only the rarest features that hold
-   1 - t^2 of a vector's mass are indexed, and two vectors of cosine t or more share
-   at least one of them; a pair comes out once, at the first feature both have.
-3. An exact look at the parts (typos, initials, short forms, missing parts) drops pairs
-   that contradict each other.  Names listed by one record add edges of their own.
+2. Parts become vectors of character 4-grams and the whole part, weighted by rarity (the
+   document frequencies live in a table of fixed size), and each two parts of a name the
+   product of their vectors.  A distributed sparse cosine join of these products finds
+   the names that are similar in two parts (``candidate_pairs``): names that share one
+   part only do not meet, so the work follows the variants and not the square of the names.
+3. Pairs whose whole names have a cosine under the threshold are dropped, and so are those whose
+   parts contradict each other (typos, initials, short forms and missing parts do not).
+   The names listed in one row meet too, whatever their cosine.
 4. Average-linkage clustering by reciprocal nearest neighbours: each round all pairs of
    clusters that are each other's best merge at once, which gives the same result as
    merging one pair at a time, and no cluster is ever collected.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondhan.llm.names import align, parts, same_name
@@ -87,6 +88,22 @@ def record_names(records: DataFrame, key: str = "entity_id", canonical: tuple[st
     return spread(records.filter(F.col(key).isNotNull()).select(key, *canonical, aliases)).mapInArrow(run, f"id {kind}, name string, weight double")
 
 
+def listed_names(records: DataFrame, key: str = "entity_id", canonical: tuple[str, ...] = ("canonical_en", "canonical_bn"), aliases: str = "aliases") -> DataFrame:
+    """(a, b), a < b: name keys listed in one row, each paired with the row's first (a star: as many pairs as names)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[str, str]] = set()
+            for *main, others in zip(*[batch.column(j).to_pylist() for j in range(1 + len(canonical))], strict=True):
+                forms = [parts(n) for n in (*main, *(others or [])) if n]
+                keys = [_key(*f) for f in forms if f and f[1]]
+                found |= {(min(keys[0], k), max(keys[0], k)) for k in keys[1:] if k != keys[0]}
+            a, b = zip(*sorted(found), strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+
+    return spread(records.filter(F.col(key).isNotNull()).select(*canonical, aliases)).mapInArrow(run, "a string, b string").distinct()
+
+
 def rarity(names: DataFrame) -> np.ndarray:
     """Inverse document frequencies by feature bucket: a table of BUCKETS values whatever the number of names."""
 
@@ -104,29 +121,106 @@ def rarity(names: DataFrame) -> np.ndarray:
     return np.log(1 + max(1, names.count()) / np.maximum(df, 1)).astype(np.float32)
 
 
-def similar_names(names: DataFrame, threshold: float = 0.6, least: float = 0.45) -> DataFrame:
-    """(a, b, s), a < b: name keys whose vectors are similar and whose parts agree; s in 0..1.
-
-    ``threshold`` is the cosine at which the index is complete; pairs it finds are
-    kept from a cosine of ``least`` on.
+def _grams(token: str) -> list[int]:
+    padded = f"^{token}$"
+    return [zlib.crc32(g.encode()) % BUCKETS for g in (padded, *(padded[i : i + 4] for i in range(len(padded) - 3)))]
+
+
+def _unit(token: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, weights) of one part, of length 1."""
+    f = np.array(sorted(set(_grams(token))), np.int64)
+    w = idf[f].astype(np.float64)
+    return f, w / (np.sqrt((w * w).sum()) or 1.0)
+
+
+def _heads(tokens: tuple[str, ...], idf: np.ndarray, threshold: float, units: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The index keys of a name: for each two of its parts the heaviest pairs of an n-gram of the one and an n-gram of the other."""
+    full = [t for t in tokens if len(t) > 2]
+    found = []
+    for t in full:
+        if t not in units:
+            units[t] = _unit(t, idf)
+    ways = list(itertools.combinations(full, 2)) if len(full) > 1 else [(t, t) for t in full]
+    for x, y in ways:
+        (f, u), (g, v) = units[x], units[y]
+        mass, weight = np.outer(u, v).ravel() ** 2, np.outer(idf[f], idf[g]).ravel()
+        key = np.minimum.outer(f, g).ravel() * BUCKETS + np.maximum.outer(f, g).ravel()
+        if len(full) == 1:  # a single part is paired with itself
+            once = np.triu_indices(len(f), 1)
+            at = once[0] * len(f) + once[1]
+            mass, weight, key = mass[at], weight[at], key[at]
+        order = np.lexsort((key, -weight))  # one order for all names, so that similar vectors meet in their heads
+        left = mass.sum() - np.cumsum(mass[order]) + mass[order]
+        found.append(key[order[left >= threshold * threshold * mass.sum()]])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _short_heads(tokens: tuple[str, ...]) -> tuple[list[int], list[int]]:
+    """(asking, offering) keys of names of two parts, one of them an initial or a short form in one of the names.
+
+    A name asks for its long part beside the first letter of its short one, and offers each part beside the first letter of the other.
+    """
+    if len(tokens) != 2:
+        return [], []
+    asking, offering = [], []
+    for x, y in (tokens, tokens[::-1]):
+        if len(x) > 2:
+            key = -1 - zlib.crc32(f"{x} {y[0]}".encode())
+            offering.append(key)
+            if len(y) <= 2 or (4 <= len(y) <= 6 and y[-1] in "aeiou"):
+                asking.append(key)
+    return asking, offering
+
+
+def candidate_pairs(names: DataFrame, idf: np.ndarray, threshold: float = 0.35) -> DataFrame:
+    """(a, b) of 64-bit name ids, a < b once a pair: names that agree in n-grams of two of their parts.
+
+    The vectors joined are the products of the parts' n-gram vectors: a feature is an n-gram
+    of one part together with an n-gram of another.  Two names that only share a part
+    have no common feature, so the number of candidates follows that of the
+    variants and not the square of the names.  The heaviest features that hold 1 - threshold^2
+    of the mass of each two parts are indexed: two names whose parts have vectors with a product of cosines of
+    ``threshold`` or more share one.  No feature is left out for being frequent; adaptive execution splits its join.
     """
-    idf = rarity(names)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            at, feature, heads = [], [], []
-            for i, k in enumerate(keys):
-                left, head = 1.0, []
-                for f, v in sorted(_vector(k, idf).items(), key=lambda x: (-idf[x[0]], x[0])):
-                    if left < threshold * threshold:
-                        break
-                    head.append(f)
-                    left -= v * v
-                at += [i] * len(head)
-                feature += head
-                heads += [head] * len(head)
-            yield pa.RecordBatch.from_arrays([pa.array(feature, pa.int32()), batch.column(0).take(pa.array(at, pa.int32())), pa.array(heads, pa.list_(pa.int32()))], ["f", "name", "head"])
+            ids, keys = batch.column(0), batch.column(1).to_pylist()
+            if len(units) > 100_000:
+                units.clear()
+            rows: list[np.ndarray] = []
+            sizes: list[int] = []
+            roles: list[np.ndarray] = []
+            for k in keys:
+                tokens = _open(k)[1]
+                heads = _heads(tokens, idf, threshold, units)
+                ask, offer = _short_heads(tokens)
+                rows += [heads, np.array(ask, np.int64), np.array(offer, np.int64)]
+                roles.append(np.repeat(np.array([0, 1, 2], np.int8), [len(heads), len(ask), len(offer)]))
+                sizes.append(len(heads) + len(ask) + len(offer))
+            at = pa.array(np.repeat(np.arange(len(keys), dtype=np.int32), sizes))
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), ids.take(at), pa.array(np.concatenate(roles) if roles else np.zeros(0, np.int8), pa.int8())], ["f", "id", "role"])
+
+    posts = spread(names.select("id", "name")).mapInArrow(index, "f long, id long, role byte")
+    posts = materialise(posts)  # read by all three sides below
+    whole = posts.filter("role = 0").select("f", "id")
+    met = whole.select("f", F.col("id").alias("a")).join(whole.select("f", F.col("id").alias("b")), "f").filter("a < b").select("a", "b")
+    ask, offer = posts.filter("role = 1").select("f", F.col("id").alias("a")), posts.filter("role = 2").select("f", F.col("id").alias("b"))
+    short = ask.join(offer, "f").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.unionByName(short).distinct()
+
+
+def similar_names(names: DataFrame, threshold: float = 0.35, least: float = 0.3, top: int | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """(a, b, s), a < b: name keys whose vectors are similar and whose parts agree; s in 0..1.
+
+    ``threshold``: see ``candidate_pairs``.  Pairs of a cosine (of the whole names' n-gram
+    vectors) under ``least`` are dropped, but for those of ``listed`` (a, b), names of one record, which the record itself vouches for.
+    ``top`` keeps a pair only if it is among the so many nearest of either name; without it all pairs are kept.
+    """
+    idf = rarity(names)
+    keyed = materialise(names.select(F.xxhash64("name").alias("id"), "name"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, dict[int, float]] = {}
@@ -134,43 +228,34 @@ def similar_names(names: DataFrame, threshold: float = 0.6, least: float = 0.45)
             a, b, s = [], [], []
             if len(cache) > 100_000:
                 cache.clear()
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for x, y, sure in zip(*[batch.column(j).to_pylist() for j in range(3)], strict=True):
                 u, v = cache.get(x) or cache.setdefault(x, _vector(x, idf)), cache.get(y) or cache.setdefault(y, _vector(y, idf))
                 cosine = sum(w * v[f] for f, w in u.items() if f in v)
-                if cosine >= least:
+                if cosine >= least or sure:
                     (kx, tx), (ky, ty) = _open(x), _open(y)
-                    if (agree := same_name(kx, tx, ky, ty)) > 0:
+                    if sure and not (kx and ky and kx != ky):
+                        agree, full, weak = align(tx, ty)
+                        agree = agree if full >= 1 or weak >= 2 else 0.0
+                    else:
+                        agree = same_name(kx, tx, ky, ty)
+                    if agree > 0:
                         a.append(x)
                         b.append(y)
                         s.append((cosine + agree) / 2)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], ["a", "b", "s"])
 
-    posts = spread(names.select("name")).mapInArrow(index, "f int, name string, head array<int>")
-    left, right = posts.select("f", F.col("name").alias("a"), F.col("head").alias("ha")), posts.select("f", F.col("name").alias("b"), F.col("head").alias("hb"))
-    met = left.join(right, "f").filter("a < b").filter(F.get(F.array_intersect("ha", "hb"), F.lit(0)) == F.col("f")).select("a", "b")
-    return met.mapInArrow(verify, "a string, b string, s double")
-
-
-def listed_together(record: DataFrame) -> DataFrame:
-    """(a, b, s): names of one record that can be spellings of one name."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, s = [], [], []
-            for names in batch.column(0).to_pylist():
-                for x, y in itertools.combinations(sorted(names), 2):
-                    (kx, tx), (ky, ty) = _open(x), _open(y)
-                    if kx and ky and kx != ky:
-                        continue
-                    agree, full, weak = align(tx, ty)
-                    if agree > 0 and (full >= 1 or weak >= 2):
-                        a.append(x)
-                        b.append(y)
-                        s.append(0.5 + agree / 2)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], ["a", "b", "s"])
-
-    several = record.groupBy("id").agg(F.collect_list("name").alias("names")).filter("size(names) > 1")
-    return several.select("names").mapInArrow(run, "a string, b string, s double")
+    pairs = candidate_pairs(keyed, idf, threshold).withColumn("sure", F.lit(False))
+    if listed is not None:
+        own = listed.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), F.lit(True).alias("sure"))
+        pairs = pairs.unionByName(own).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    named = pairs.join(keyed.toDF("a", "x"), "a").join(keyed.toDF("b", "y"), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "sure")
+    found = spread(named).mapInArrow(verify, "a string, b string, s double")
+    if top is None:
+        return found
+    found = materialise(found)
+    sides = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    near = sides.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).filter(F.col("r") <= top)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").distinct()
 
 
 def average_linkage(edges: DataFrame, threshold: float = 0.15, max_rounds: int = 10_000) -> DataFrame:
@@ -219,7 +304,7 @@ def entity_clusters(records: DataFrame, key: str = "entity_id", threshold: float
     """(id, cluster) for every record with a usable name."""
     named = materialise(record_names(records, key).groupBy("id", "name").agg(F.sum("weight").alias("weight")))
     names = materialise(named.select("name").distinct())
-    edges = similar_names(names).unionByName(listed_together(named)).groupBy("a", "b").agg(F.max("s").alias("s"))
+    edges = materialise(similar_names(names, listed=listed_names(records, key)))
     merged = average_linkage(edges, threshold).select(F.col("v").alias("name"), F.col("r").alias("cluster"))
     held = named.join(merged, "name", "left").groupBy("id", F.coalesce("cluster", "name").alias("cluster")).agg(F.sum("weight").alias("weight"))
     held = materialise(held)
@@ -228,8 +313,15 @@ def entity_clusters(records: DataFrame, key: str = "entity_id", threshold: float
     return held.join(wide, "cluster", "left").groupBy("id").agg(F.max_by("cluster", F.struct(score, F.col("cluster"))).alias("cluster"))
 
 
+def entity_classes(records: DataFrame, key: str = "entity_id") -> DataFrame:
+    """(id, cluster, links): one row a record with a usable name; ``cluster`` is the smallest id of its cluster, ``links`` how many other records it holds."""
+    of = materialise(entity_clusters(records, key))
+    size = of.groupBy("cluster").agg(F.min("id").alias("first"), (F.count(F.lit(1)) - 1).alias("links"))
+    return of.join(size, "cluster").select("id", F.col("first").alias("cluster"), "links")
+
+
 def entity_pairs(records: DataFrame, key: str = "entity_id") -> DataFrame:
-    """(a, b), a < b: records of one cluster."""
+    """(a, b), a < b: records of one cluster, all pairs (``entity_classes`` says the same in one row a record)."""
     of = materialise(entity_clusters(records, key))
     left, right = of.select("cluster", F.col("id").alias("a")), of.select("cluster", F.col("id").alias("b"))
     return left.join(right, "cluster").filter("a < b").select("a", "b")

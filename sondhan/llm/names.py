@@ -64,6 +64,11 @@ def _near_kind(word: str) -> str:
     return ""
 
 
+@lru_cache(maxsize=200_000)
+def _spoken(word: str) -> str:
+    return sound(latin(word)) if any("ঀ" <= c <= "৿" for c in word) else sound(word)
+
+
 def parts(name: str) -> tuple[str, tuple[str, ...]] | None:
     """(kind, name tokens): kind is the word for the sort of body or place, '' for a person.
 
@@ -82,7 +87,7 @@ def parts(name: str) -> tuple[str, tuple[str, ...]] | None:
         if w in _KIND or (not kind and len(w) >= 5 and _near_kind(w)):
             kind = _KIND.get(w) or _near_kind(w)
             continue
-        tokens.append(sound(latin(w)) if any("ঀ" <= c <= "৿" for c in w) else sound(w))
+        tokens.append(_spoken(w))
     tokens = [t for t in tokens if t]
     return (kind, tuple(tokens)) if tokens or kind else None
 

@@ -63,6 +63,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
 
 
+def p7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with a name: its cluster and how many other records the cluster holds."""
+    return linking.entity_classes(table(spark, sf_dir, "entity_records")).select(F.col("id").alias("entity_id"), "cluster", "links")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k."""
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -81,7 +86,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p4_found": p4_found, "p4_languages": p4_languages,
-    "p5_found": p5_found, "p6_found": p6_found, "p6_blocks": p6_blocks, "p7_found": p7_found,
+    "p5_found": p5_found, "p6_found": p6_found, "p6_blocks": p6_blocks, "p7_found": p7_found, "p7_clusters": p7_clusters,
     "p8_ids": p8_ids, "p9_containers": p9_containers,
     "p10_found": p10_found,
 }

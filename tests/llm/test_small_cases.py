@@ -1,6 +1,7 @@
 """Edge cases and brute-force checks of the training-data operators."""
 
 import collections
+import itertools
 import random
 
 import numpy as np
@@ -202,20 +203,44 @@ def test_linking(spark):
     assert linking.entity_pairs(df.filter("entity_id = 'x'")).count() == 0
 
 
-def test_sparse_join_finds_all_pairs_above_its_threshold(spark):
+def test_sparse_join_finds_all_names_similar_in_two_parts(spark):
     rng = random.Random(6)
     syl = [c + v for c in "bdgkmnprst" for v in "aeio"]
     base = ["".join(rng.choices(syl, k=3)) for _ in range(30)]
     keys = sorted({"|" + " ".join(sorted(rng.sample(base, 2) + [rng.choice(base) + rng.choice("xyz")])) for _ in range(200)})
-    df = spark.createDataFrame([(k,) for k in keys], "name string")
+    df = spark.createDataFrame([(k,) for k in keys], "name string").selectExpr("xxhash64(name) as id", "name")
     idf = linking.rarity(df)
-    vec = {k: linking._vector(k, idf) for k in keys}
-    got = {(r.a, r.b) for r in linking.similar_names(df).collect()}
+    of = {r.id: r.name for r in df.collect()}
+    got = {tuple(sorted((of[r.a], of[r.b]))) for r in linking.candidate_pairs(df, idf, 0.35).collect()}
+    vectors = {k: dict(zip(*[x.tolist() for x in linking._unit(k, idf)])) for key in keys for k in linking._open(key)[1]}
+    cos = lambda x, y: sum(w * vectors[y].get(f, 0) for f, w in vectors[x].items())
+    near = 0
     for i, a in enumerate(keys):
         for b in keys[i + 1 :]:
-            cos = sum(v * vec[b].get(f, 0) for f, v in vec[a].items())
-            if cos >= 0.6 and names.same_name("", linking._open(a)[1], "", linking._open(b)[1]) > 0:
-                assert (a, b) in got
+            for x, y in itertools.combinations(linking._open(a)[1], 2):
+                if any(max(cos(x, u) * cos(y, v), cos(x, v) * cos(y, u)) >= 0.36 for u, v in itertools.combinations(linking._open(b)[1], 2)):
+                    near += 1
+                    assert (a, b) in got
+    assert near > 20 and len(got) < len(keys) * (len(keys) - 1) / 4
+
+
+def test_names_that_share_one_part_do_not_meet(spark):
+    names_ = [f"|kemasan {a}{b}{c}" for a in ("bado", "gimu", "teso", "ruki") for b in ("lan", "pir", "dom") for c in ("et", "us", "ak")]
+    df = spark.createDataFrame([(n,) for n in names_], "name string").selectExpr("xxhash64(name) as id", "name")
+    assert linking.candidate_pairs(df, linking.rarity(df)).count() < len(names_) * (len(names_) - 1) / 2 / 4
+
+
+def test_top_neighbours_are_optional(spark):
+    df = spark.createDataFrame([(f"|ghithapok kemasan{'bdgkl'[i]}",) for i in range(5)], "name string")
+    every, top = linking.similar_names(df, least=0.0).collect(), linking.similar_names(df, least=0.0, top=1).collect()
+    assert {(r.a, r.b) for r in top} < {(r.a, r.b) for r in every} and {x for r in top for x in (r.a, r.b)} == {x for r in every for x in (r.a, r.b)}
+
+
+def test_classes_say_what_the_pairs_say(spark):
+    rows = [("E1", "Dariser Ghithapok Kemasan", None, []), ("E2", "Dariser Ghithapok Kemasn", None, None), ("E3", "Dariser Kemasan Ghithapok", None, ["D. Ghithapok Kemasan"]), ("E4", "Rokib Subhichu", None, None), ("E5", None, None, None), (None, "Rokib Subhichu", None, None), ("E6", "R. Subhichu", None, None)]
+    df = spark.createDataFrame(rows, "entity_id string, canonical_en string, canonical_bn string, aliases array<string>")
+    assert {(r.id, r.cluster, r.links) for r in linking.entity_classes(df).collect()} == {("E1", "E1", 2), ("E2", "E1", 2), ("E3", "E1", 2), ("E4", "E4", 1), ("E6", "E4", 1)}
+    assert linking.entity_classes(df.filter("entity_id = 'x'")).count() == 0
 
 
 def test_average_linkage_equals_one_merge_at_a_time(spark):
