@@ -133,26 +133,49 @@ def _unit(token: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return f, w / (np.sqrt((w * w).sum()) or 1.0)
 
 
-def _heads(tokens: tuple[str, ...], idf: np.ndarray, threshold: float, units: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The index keys of a name: for each two of its parts the heaviest pairs of an n-gram of the one and an n-gram of the other."""
-    full = [t for t in tokens if len(t) > 2]
-    found = []
-    for t in full:
-        if t not in units:
-            units[t] = _unit(t, idf)
-    ways = list(itertools.combinations(full, 2)) if len(full) > 1 else [(t, t) for t in full]
-    for x, y in ways:
-        (f, u), (g, v) = units[x], units[y]
-        mass, weight = np.outer(u, v).ravel() ** 2, np.outer(idf[f], idf[g]).ravel()
+class _Index:
+    """A worker's index keys of names, with the vectors of parts and of pairs of parts it has met."""
+
+    def __init__(self, idf: np.ndarray, threshold: float):
+        self.idf, self.threshold = idf, threshold
+        self.units: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.products: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
+
+    def _product(self, x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
+        """The heaviest features (an n-gram of each part) of two parts and their weights; a part is paired with itself by its own n-grams."""
+        for t in (x, y):
+            if t not in self.units:
+                self.units[t] = _unit(t, self.idf)
+        (f, u), (g, v) = self.units[x], self.units[y]
+        value, rare = np.outer(u, v).ravel(), np.outer(self.idf[f], self.idf[g]).ravel()
         key = np.minimum.outer(f, g).ravel() * BUCKETS + np.maximum.outer(f, g).ravel()
-        if len(full) == 1:  # a single part is paired with itself
-            once = np.triu_indices(len(f), 1)
-            at = once[0] * len(f) + once[1]
-            mass, weight, key = mass[at], weight[at], key[at]
-        order = np.lexsort((key, -weight))  # one order for all names, so that similar vectors meet in their heads
-        left = mass.sum() - np.cumsum(mass[order]) + mass[order]
-        found.append(key[order[left >= threshold * threshold * mass.sum()]])
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        if x == y:
+            first, second = np.triu_indices(len(f), 1)
+            at = first * len(f) + second
+            value, rare, key = value[at], rare[at], key[at]
+        value = value / (np.sqrt((value * value).sum()) or 1.0)
+        order = np.lexsort((key, -rare))  # one order for all names, so that similar vectors meet in their heads
+        before = np.cumsum(value[order] ** 2) - value[order] ** 2
+        head = order[before <= 1 - self.threshold**2]
+        return key[head], value[head].astype(np.float32)
+
+    def heads(self, tokens: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, weights) of a name: those of each two of its parts."""
+        full = [t for t in tokens if len(t) > 2]
+        if len(self.units) + len(self.products) > 200_000:
+            self.units.clear()
+            self.products.clear()
+        found = []
+        for x, y in itertools.combinations(full, 2) if len(full) > 1 else ((t, t) for t in full):
+            if (x, y) not in self.products:
+                self.products[x, y] = self._product(x, y)
+            found.append(self.products[x, y])
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        keys, weights = np.concatenate([k for k, _ in found]), np.concatenate([w for _, w in found])
+        order = np.lexsort((-weights, keys))
+        first = np.concatenate([[True], np.diff(keys[order]) != 0]) if len(order) else np.zeros(0, bool)
+        return keys[order][first], weights[order][first]
 
 
 def _short_heads(tokens: tuple[str, ...]) -> tuple[list[int], list[int]]:
@@ -172,50 +195,51 @@ def _short_heads(tokens: tuple[str, ...]) -> tuple[list[int], list[int]]:
     return asking, offering
 
 
-def candidate_pairs(names: DataFrame, idf: np.ndarray, threshold: float = 0.35) -> DataFrame:
+def candidate_pairs(names: DataFrame, idf: np.ndarray, threshold: float = 0.35, shared: float = 0.05) -> DataFrame:
     """(a, b) of 64-bit name ids, a < b once a pair: names that agree in n-grams of two of their parts.
 
     The vectors joined are the products of the parts' n-gram vectors: a feature is an n-gram
     of one part together with an n-gram of another.  Two names that only share a part
     have no common feature, so the number of candidates follows that of the
-    variants and not the square of the names.  The heaviest features that hold 1 - threshold^2
-    of the mass of each two parts are indexed: two names whose parts have vectors with a product of cosines of
-    ``threshold`` or more share one.  No feature is left out for being frequent; adaptive execution splits its join.
+    variants and not the square of the names.  The rarest features that hold 1 - threshold^2
+    of the mass of each two parts are indexed; the join sums up the dot product over the indexed features,
+    and pairs below ``shared`` are dropped.  Two names with two parts each whose product of cosines is
+    ``threshold`` + ``shared`` or more are always found, most others too.  No feature is left out for being frequent;
+    adaptive execution splits its join.
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        at_hand = _Index(idf, threshold)
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1).to_pylist()
-            if len(units) > 100_000:
-                units.clear()
-            rows: list[np.ndarray] = []
-            sizes: list[int] = []
-            roles: list[np.ndarray] = []
-            for k in keys:
-                tokens = _open(k)[1]
-                heads = _heads(tokens, idf, threshold, units)
-                ask, offer = _short_heads(tokens)
-                rows += [heads, np.array(ask, np.int64), np.array(offer, np.int64)]
-                roles.append(np.repeat(np.array([0, 1, 2], np.int8), [len(heads), len(ask), len(offer)]))
-                sizes.append(len(heads) + len(ask) + len(offer))
-            at = pa.array(np.repeat(np.arange(len(keys), dtype=np.int32), sizes))
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), ids.take(at), pa.array(np.concatenate(roles) if roles else np.zeros(0, np.int8), pa.int8())], ["f", "id", "role"])
-
-    posts = spread(names.select("id", "name")).mapInArrow(index, "f long, id long, role byte")
-    posts = materialise(posts)  # read by all three sides below
-    whole = posts.filter("role = 0").select("f", "id")
-    met = whole.select("f", F.col("id").alias("a")).join(whole.select("f", F.col("id").alias("b")), "f").filter("a < b").select("a", "b")
-    ask, offer = posts.filter("role = 1").select("f", F.col("id").alias("a")), posts.filter("role = 2").select("f", F.col("id").alias("b"))
+            found = [at_hand.heads(_open(k)[1]) for k in keys]
+            at = pa.array(np.repeat(np.arange(len(keys), dtype=np.int32), [len(f) for f, _ in found]))
+            flat = [np.concatenate([x[j] for x in found]) if found else np.zeros(0, t) for j, t in enumerate((np.int64, np.float32))]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0], pa.int64()), ids.take(at), pa.array(flat[1], pa.float32())], ["f", "id", "w"])
+
+    def index_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = batch.column(0), []
+            for i, k in enumerate(batch.column(1).to_pylist()):
+                ask, offer = _short_heads(_open(k)[1])
+                rows += [(f, i, True) for f in ask] + [(f, i, False) for f in offer]
+            f, at, asks = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), ids.take(pa.array(at, pa.int32())), pa.array(asks, pa.bool_())], ["f", "id", "asks"])
+
+    spread_names = spread(names.select("id", "name"))
+    posts = spread_names.mapInArrow(index, "f long, id long, w float")
+    left, right = posts.select("f", F.col("id").alias("a"), F.col("w").alias("u")), posts.select("f", F.col("id").alias("b"), F.col("w").alias("v"))
+    met = left.join(right, "f").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("u") * F.col("v")).alias("dot")).filter(F.col("dot") >= shared).select("a", "b")
+    brief = spread_names.mapInArrow(index_short, "f long, id long, asks boolean")
+    ask, offer = brief.filter("asks").select("f", F.col("id").alias("a")), brief.filter("not asks").select("f", F.col("id").alias("b"))
     short = ask.join(offer, "f").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return met.unionByName(short).distinct()
 
 
-def similar_names(names: DataFrame, threshold: float = 0.35, least: float = 0.3, top: int | None = None, listed: DataFrame | None = None) -> DataFrame:
+def similar_names(names: DataFrame, threshold: float = 0.35, shared: float = 0.05, least: float = 0.3, top: int | None = None, listed: DataFrame | None = None) -> DataFrame:
     """(a, b, s), a < b: name keys whose vectors are similar and whose parts agree; s in 0..1.
 
-    ``threshold``: see ``candidate_pairs``.  Pairs of a cosine (of the whole names' n-gram
+    ``threshold``, ``shared``: see ``candidate_pairs``.  Pairs of a cosine (of the whole names' n-gram
     vectors) under ``least`` are dropped, but for those of ``listed`` (a, b), names of one record, which the record itself vouches for.
     ``top`` keeps a pair only if it is among the so many nearest of either name; without it all pairs are kept.
     """
@@ -244,12 +268,12 @@ def similar_names(names: DataFrame, threshold: float = 0.35, least: float = 0.3,
                         s.append((cosine + agree) / 2)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], ["a", "b", "s"])
 
-    pairs = candidate_pairs(keyed, idf, threshold).withColumn("sure", F.lit(False))
+    pairs = candidate_pairs(keyed, idf, threshold, shared).withColumn("sure", F.lit(False))
     if listed is not None:
         own = listed.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), F.lit(True).alias("sure"))
         pairs = pairs.unionByName(own).groupBy("a", "b").agg(F.max("sure").alias("sure"))
     named = pairs.join(keyed.toDF("a", "x"), "a").join(keyed.toDF("b", "y"), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "sure")
-    found = spread(named).mapInArrow(verify, "a string, b string, s double")
+    found = named.mapInArrow(verify, "a string, b string, s double")
     if top is None:
         return found
     found = materialise(found)

@@ -218,7 +218,7 @@ def test_sparse_join_finds_all_names_similar_in_two_parts(spark):
     for i, a in enumerate(keys):
         for b in keys[i + 1 :]:
             for x, y in itertools.combinations(linking._open(a)[1], 2):
-                if any(max(cos(x, u) * cos(y, v), cos(x, v) * cos(y, u)) >= 0.36 for u, v in itertools.combinations(linking._open(b)[1], 2)):
+                if any(max(cos(x, u) * cos(y, v), cos(x, v) * cos(y, u)) >= 0.41 for u, v in itertools.combinations(linking._open(b)[1], 2)):
                     near += 1
                     assert (a, b) in got
     assert near > 20 and len(got) < len(keys) * (len(keys) - 1) / 4
