@@ -84,11 +84,16 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "source").filter("is_residue").select("doc_id")
 
 
+def p10_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a text: whether it is residue, and whether recurring messages or only rules say so."""
+    return residue.residue_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p4_found": p4_found, "p4_languages": p4_languages,
     "p5_found": p5_found, "p6_found": p6_found, "p6_blocks": p6_blocks, "p7_found": p7_found, "p7_clusters": p7_clusters,
     "p8_ids": p8_ids, "p9_containers": p9_containers,
-    "p10_found": p10_found,
+    "p10_found": p10_found, "p10_residue": p10_residue,
 }
 
 def _p2_sql() -> str:

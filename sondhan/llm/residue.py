@@ -1,24 +1,25 @@
 """Template residue, filler and error pages (problem 10).
 
-A text is cut into units (lines, cells, sentences).  Each unit is normalised and its
-numbers, addresses, dates and request ids are masked, so that copies of one message
-have one hash whatever ids they carry.
-
-* Placeholder, filler and phrase rules mark the spans of a unit that are residue.
-  Words in quotation marks are mentions and never residue; a placeholder inside a
-  full sentence of prose is a mention too.
-* Units whose exact normalised hash recurs in several documents and sources are
-  classified as messages when most of the documents that hold them are otherwise
-  made of residue: this finds the messages no phrase rule knows.
-
-A document is residue if it has such spans or messages and what is left of it is no
-longer than a headline and a first sentence.
+1. A text is cut into units (lines, cells, sentences).  Each unit is normalised and its
+   numbers, addresses, dates, request ids and the names inside placeholders are masked, so that copies of
+   one message have one hash whatever they carry.
+2. The exact hashes are grouped over documents and sources.  A group that recurs in several
+   documents of several sources is a message if its text matches the placeholder, filler or phrase rules
+   (``judge``), or if most of the documents that hold it are otherwise made of residue:
+   this learns the messages no phrase rule knows.
+3. A document is residue if it has messages and what is left of it is no longer than a headline and
+   a first sentence (``path`` ``recurring``).
+4. Units that match the rules but do not recur are a fallback of their own: documents that are residue only
+   with their help have the ``path`` ``rules``.
+
+Words in quotation marks are mentions and never residue; a placeholder inside a full sentence of prose is a mention too.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondhan.operators.timestamps import MONTHS
 from sondhan.session import materialise, spread
 
-# Notations of template engines, as regular expressions over lower-case text.
+# Notations of template engines, as regular expressions over lower-case text; of any length up to their closing sign.
 PLACEHOLDERS = [
-    r"\{\{\{?[^{}]{0,60}\}?\}\}", r"\$\{[^{}]{0,60}\}", r"#\{[^{}]{0,60}\}", r"<%=?[^%]{0,60}%>", r"\{%[^%]{0,60}%\}", r"\{[^\W\d][^{}\s]{0,40}\}",
-    r"%[^\W\d][^%\s]{2,30}%", r"__[^\W\d][^\s]{0,30}?__", r"\$[^\W\d][^$\s]{2,30}\$", r"\*\|[^|]{1,40}\|\*", r"<<[^<>]{1,40}>>", r"\[\[[^\[\]]{1,40}\]\]",
-    r"\[(?:insert )?[^\W\d][^\[\]\s]{2,30}\]", r"@model\.\w+", r"<!--[^>]{0,60}-->", r"(?<!\w)(?:undefined|null|nan)(?!\w)",
+    r"\{\{\{?[^{}]*\}?\}\}", r"\$\{[^{}]*\}", r"#\{[^{}]*\}", r"<%=?[^%]*%>", r"\{%[^%]*%\}", r"\{[^\W\d][^{}\s]*\}",
+    r"%[^\W\d][^%\s]{2,}%", r"__[^\W\d][^\s]*?__", r"\$[^\W\d][^$\s]{2,}\$", r"\*\|[^|]+\|\*", r"<<[^<>]+>>", r"\[\[[^\[\]]+\]\]",
+    r"\[(?:insert )?[^\W\d][^\[\]\s]{2,}\]", r"@model\.\w+", r"<!--[^>]*-->", r"(?<!\w)(?:undefined|null|nan)(?!\w)",
 ]
 
 # Words of the usual Latin filler.
@@ -45,7 +47,7 @@ FILLER = (
     "nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 )
 
-# Parts of messages that stand in place of a story, lower case, figures masked as #, alternatives as (a|b).
+# Phrase rules, a choice of this library: parts of messages that stand in place of a story, lower case, figures masked as #, alternatives as (a|b).
 PHRASES = [
     # demands for scripts
     "javascript (is disabled|is required|deaktiviert|einschalten|aktivieren|para ver|pour lire)", "(enable|activate|turn on|allow|activer|activez|active|activar|requires|needs) (javascript|scripts)",
@@ -69,9 +71,9 @@ PHRASES = [
 ]
 
 HIDDEN = dict.fromkeys([0xAD, *range(0x200B, 0x200D), 0x200E, 0x200F, 0x2060, 0xFEFF])
-_TAGS = re.compile(r"</?[a-z][a-z0-9]{0,10}(?: [^<>]{0,200})?/?>")
+_TAGS = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>")
 _MASK = re.compile(r"(https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+)|(\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b)|\d[\d.,:/-]*\d|\d")
-_ENDS = re.compile(r"[\n\r|]+|(?<=[.।!?])\s+")
+_ENDS = re.compile(r"[\n\r]+|(?<![*|])\|+(?!\*)|(?<=[.।!?])\s+")
 _QUOTED = re.compile("\"[^\"]*\"|“[^”]*”|«[^»]*»|»[^«]*«|‘[^’]*’|„[^“]*“")
 _HOLDER = re.compile("|".join(PLACEHOLDERS))
 _SIGNS = re.compile(r"[{$%_*@\[]|<<|<%|<!--|undefined|null|nan")
@@ -79,7 +81,8 @@ _ERROR = re.compile(r"(?<!\w)(?:error|erreur|fehler|ত্রুটি|त्र
 _STOPS = re.compile(r"[.।!?]")
 _WORD = re.compile(r"[\w#]")
 _FILLER = frozenset(FILLER.split())
-MARK = "␟"
+_MONTH = "(?:" + "|".join(sorted((re.escape(m) for names in MONTHS.values() for m in names.split()), key=len, reverse=True)) + r")\.?"
+_DATE = re.compile(rf"(?<!\w)(?:#(?:st|nd|rd|th)? (?:de )?{_MONTH},?(?: de)? #|{_MONTH} #(?:st|nd|rd|th)?,? #)(?!\w)")
 
 
 def _expand(pattern: str) -> list[str]:
@@ -90,6 +93,9 @@ def _expand(pattern: str) -> list[str]:
 @cache
 def _machine() -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
+    for word in _FILLER:
+        if len(word) >= 5:
+            machine.add_word(word, 0)  # the unit is looked at closely; no phrase of its own
     for phrase in itertools.chain.from_iterable(map(_expand, PHRASES)):
         machine.add_word(phrase, len(phrase))
     machine.make_automaton()
@@ -106,17 +112,24 @@ def units_of(text: str) -> list[str]:
     return [u for u in (" ".join(x.split()) for x in _ENDS.split(s)) if _WORD.search(u) or "{" in u]
 
 
+def shape_of(unit: str) -> str:
+    """The text a unit is grouped by: dates masked, placeholders without the names they hold."""
+    if "#" in unit:
+        unit = _DATE.sub("#", unit)
+    return _HOLDER.sub("{}", unit) if _SIGNS.search(unit) else unit
+
+
 def judge(unit: str) -> tuple[int, int, int]:
-    """(words, words left outside residue, residue spans) of a normalised unit."""
+    """(words, words left outside residue, residue spans) of a normalised unit, by the placeholder, filler and phrase rules."""
+    words = unit.count(" ") + 1
+    if not _SIGNS.search(unit) and not _ERROR.search(unit) and next(_machine().iter(unit), None) is None:
+        return words, words, 0
     tokens = unit.split()
-    words = len(tokens)
     filler = len(_FILLER.intersection(t.strip(".,") for t in tokens)) >= min(4, words)
-    if not filler and not _SIGNS.search(unit) and not _ERROR.search(unit) and next(_machine().iter(unit), None) is None:
-        return words, words, 0
     open_text = _QUOTED.sub(" q ", unit)
     holders = len(_HOLDER.findall(open_text))
     bare = _HOLDER.sub(" ", open_text)
-    hits = [(end - n + 1) for end, n in _machine().iter(bare)] + [m.start() for m in _ERROR.finditer(bare)]
+    hits = [(end - n + 1) for end, n in _machine().iter(bare) if n] + [m.start() for m in _ERROR.finditer(bare)]
     hits = [i for i in hits if i == 0 or not bare[i].isalnum() or not bare[i - 1].isalnum()]
     if holders and holders <= 2 and not hits and len(bare.split()) >= 8 and unit[-1] in ".।!?":
         return words, words, 0  # a sentence about a placeholder
@@ -137,46 +150,65 @@ def judge(unit: str) -> tuple[int, int, int]:
 
 
 def _unit_rows(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """One row a distinct unit of a document (``times``: how often it holds it) and one a document (null hash), with the document's sums."""
     kind = df.schema[key].dataType.simpleString()
-    schema = f"k {kind}, src string, hash long, words int, left int, spans int, all_left int, all_spans int"
+    names = ["hash", "times", "words", "left", "spans", "all_words", "all_left", "all_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
-                judged = [(xxhash.xxh3_64_intdigest(u) - 2**63, *judge(u)) for u in units_of(value)]
-                left, spans = sum(j[2] for j in judged), sum(j[3] for j in judged)
-                at += [i] * len(judged)
-                rows += [(*j, left, spans) for j in judged]
+                times = Counter(units_of(value))
+                judged = [(n, *judge(u), u) for u, n in times.items()]
+                whole = tuple(sum(j[0] * j[c] for j in judged) for c in (1, 2, 3))
+                # units of one shape are one unit
+                shapes: dict[str, list[int]] = {}
+                for n, words, left, spans, u in judged:
+                    row = shapes.setdefault(shape_of(u), [0, 0, 0, 0])
+                    row[:] = [row[0] + n, row[1] + n * words, row[2] + n * left, row[3] + n * spans]
+                at += [i] * (len(shapes) + 1)
+                rows += [(xxhash.xxh3_64_intdigest(u) - 2**63, *row, *whole) for u, row in shapes.items()]
+                rows.append((None, 1, *whole, *whole))
             index = pa.array(at, pa.int32())
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64()] + [pa.int32()] * 5
-            arrays = [batch.column(0).take(index), batch.column(2).take(index), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]]
-            yield pa.RecordBatch.from_arrays(arrays, ["k", "src", "hash", "words", "left", "spans", "all_left", "all_spans"])
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            arrays = [batch.column(0).take(index), batch.column(2).take(index), *[pa.array(c, pa.int64() if n == "hash" else pa.int32()) for c, n in zip(columns, names, strict=True)]]
+            yield pa.RecordBatch.from_arrays(arrays, ["k", "src", *names])
 
     solid = df.filter(F.col(text).rlike("[^\\s\\u00a0\\u3000]")).select(key, text, F.col(source).cast("string"))
-    return spread(solid).mapInArrow(run, schema)
+    return spread(solid).mapInArrow(run, f"k {kind}, src string, hash long, " + ", ".join(f"{n} int" for n in names[1:]))
 
 
 def residue_documents(
     df: DataFrame, key: str, text: str, source: str, most_left: int = 40, min_docs: int = 3, min_sources: int = 2, share: float = 0.6,
 ) -> DataFrame:
-    """(key, spans, left_words, is_residue) for every document whose text is not null or blank.
+    """(key, spans, left_words, is_residue, path) for every document whose text is not null or blank.
 
-    ``most_left``: words a headline and a first sentence may hold.  ``min_docs``,
-    ``min_sources``, ``share``: in how many documents and sources, and in what share of
-    residue documents, a unit must recur to be a message.  Rows of a repeated key are
-    judged as one document.  Null sources count as one source.  Texts are read whole.
+    ``most_left``: words a headline and a first sentence may hold.  ``min_docs``, ``min_sources``: in how many
+    documents and sources a masked unit must recur to be grouped as a message; ``share``: in what share of
+    residue documents, if no rule knows it.  ``path`` is ``recurring`` for documents that their recurring messages alone make
+    residue, ``rules`` for those that need units that do not recur, null for the rest.  Rows of a repeated key are
+    judged as one document.  Null sources count as one source.  Texts and units are read whole.
     """
-    units = materialise(_unit_rows(df, key, text, source))
+    rows = materialise(_unit_rows(df, key, text, source))
+    units = rows.filter("hash is not null")
     # a unit's company: is the rest of its document residue?
-    rest_bad = (F.col("all_spans") > 0) & (F.col("all_left") - F.col("left") <= most_left)
-    by_source = units.filter("spans = 0").groupBy("hash", "src").agg(F.count(F.lit(1)).alias("n"), F.count_if(rest_bad).alias("bad"))
-    stats = by_source.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("sources"))
-    messages = stats.filter((F.col("n") >= min_docs) & (F.col("sources") >= min_sources) & (F.col("bad") >= share * F.col("n"))).select("hash", F.lit(True).alias("message"))
-
-    is_message = F.coalesce(F.col("message"), F.lit(False)) & (F.col("spans") == 0)
-    out = units.join(messages, "hash", "left").groupBy("k").agg(
-        F.sum(F.col("spans") + is_message.cast("int")).cast("int").alias("spans"), F.sum(F.when(is_message, 0).otherwise(F.col("left"))).cast("int").alias("left_words"),
+    rest_bad = (F.col("all_spans") > F.col("spans")) & (F.col("all_left") - F.col("left") <= most_left)
+    by_source = units.groupBy("hash", "src").agg(F.count(F.lit(1)).alias("n"), F.count_if(rest_bad).alias("bad"), F.max("spans").alias("spans"))
+    stats = by_source.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("sources"), F.max("spans").alias("by_rule"))
+    known = F.col("by_rule") > 0
+    messages = stats.filter((F.col("n") >= min_docs) & (F.col("sources") >= min_sources) & (known | (F.col("bad") >= share * F.col("n")))).select("hash", (~known).alias("learned"))
+
+    # what the messages of a document take from it; only units that are messages are joined and shuffled again
+    saved = F.when(F.col("learned"), F.col("words")).otherwise(F.col("words") - F.col("left"))
+    held = units.join(messages, "hash").groupBy("k").agg(
+        F.sum(F.when(F.col("learned"), F.col("times")).otherwise(F.col("spans"))).alias("messages"), F.sum(saved).alias("saved"),
+        F.sum(F.when(F.col("learned"), F.col("times")).otherwise(0)).alias("learned"), F.sum(F.when(F.col("learned"), F.col("left")).otherwise(0)).alias("learned_left"),
+    )
+    whole = rows.filter("hash is null").groupBy("k").agg(F.sum("words").alias("words"), F.sum("left").alias("left"), F.sum("spans").alias("spans"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = whole.join(held, "k", "left").select(
+        "k", (F.col("spans") + zero("learned")).cast("int").alias("spans"), (F.col("left") - zero("learned_left")).cast("int").alias("left_words"),
+        ((zero("messages") > 0) & (F.col("words") - zero("saved") <= most_left)).alias("recurring"),
     )
-    return out.select(F.col("k").alias(key), "spans", "left_words", ((F.col("spans") > 0) & (F.col("left_words") <= most_left)).alias("is_residue"))
+    found = (F.col("spans") > 0) & (F.col("left_words") <= most_left)
+    return out.select(F.col("k").alias(key), "spans", "left_words", found.alias("is_residue"), F.when(found, F.when(F.col("recurring"), "recurring").otherwise("rules")).alias("path"))

@@ -331,3 +331,17 @@ def test_long_messages_are_learned_too(spark):
     rows = [(i, f"{long}\nError 50{i}", f"s{i % 3}") for i in range(4)] + [(10, long, "s9")]
     got = {r.doc_id: r.is_residue for r in residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()}
     assert got[10]
+
+
+def test_recurring_messages_come_first_and_rules_alone_are_told_apart(spark):
+    rows = [(i, f"Page not found. Request 4{i}a7c9e{i}1 on {i + 1} October 2025.", f"s{i % 3}") for i in range(4)] + [(10, "Access denied for this one reader.", "s1")] + [(20 + i, f"{{{{ field_{i} }}}}", f"s{i}") for i in range(3)] + [(30, EN, "s1")]
+    got = {r.doc_id: (r.is_residue, r.path) for r in residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()}
+    assert got == {**{i: (True, "recurring") for i in (0, 1, 2, 3, 20, 21, 22)}, 10: (True, "rules"), 30: (False, None)}
+
+
+def test_placeholders_and_tags_of_any_length(spark):
+    long = "x" * 500
+    for text in (f"{{{{ {long} }}}}", f"${{{long}}}", f"<% {long} %>", f"<!-- {long} -->", f"*|{long}|*", f"%{long}%", f"[[ {long} ]]"):
+        assert residue.judge(residue.units_of(text)[0])[2] == 1, text
+    assert residue.units_of(f'<p class="{long}">one</p>') == ["one"]
+    assert residue.shape_of("posted # october # by {{ a }}") == residue.shape_of("posted october #, # by {{ bb }}") == "posted # by {}"
