@@ -70,19 +70,23 @@ PHRASES = [
     "এখানে লেখা বসবে", "শিরোনাম এখানে", "বিস্তারিত আসছে", "পরীক্ষামূলক লেখা", "यहाँ पाठ लिखें", "नमूना पाठ", "titre ici", "título aquí",
 ]
 
-HIDDEN = dict.fromkeys([0xAD, *range(0x200B, 0x200D), 0x200E, 0x200F, 0x2060, 0xFEFF])
+_HIDDEN = re.compile("[\u00ad\u200b\u200c\u200e\u200f\u2060\ufeff]")
 _TAGS = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>")
-_MASK = re.compile(r"(https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+)|(\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b)|\d[\d.,:/-]*\d|\d")
+_ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+")
+_DIGIT = re.compile(r"\d")
+_NUMBER = re.compile(r"(\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b)|\d[\d.,:/-]*\d|\d")
 _ENDS = re.compile(r"[\n\r]+|(?<![*|])\|+(?!\*)|(?<=[.।!?])\s+")
 _QUOTED = re.compile("\"[^\"]*\"|“[^”]*”|«[^»]*»|»[^«]*«|‘[^’]*’|„[^“]*“")
 _HOLDER = re.compile("|".join(PLACEHOLDERS))
-_SIGNS = re.compile(r"[{$%_*@\[]|<<|<%|<!--|undefined|null|nan")
-_ERROR = re.compile(r"(?<!\w)(?:error|erreur|fehler|ত্রুটি|त्रुटि) #(?! because)")
+#: What a placeholder cannot do without.
+SIGNS = ["{", "%", "[", "$", "__", "*|", "@model", "<<", "<!--", "undefined", "null", " nan", "nan "]
+ERRORS = ["error", "erreur", "fehler", "ত্রুটি", "त्रुटि"]
+_ERROR = re.compile(rf"(?<!\w)(?:{'|'.join(ERRORS)}) #(?! because)")
 _STOPS = re.compile(r"[.।!?]")
 _WORD = re.compile(r"[\w#]")
 _FILLER = frozenset(FILLER.split())
-_MONTH = "(?:" + "|".join(sorted((re.escape(m) for names in MONTHS.values() for m in names.split()), key=len, reverse=True)) + r")\.?"
-_DATE = re.compile(rf"(?<!\w)(?:#(?:st|nd|rd|th)? (?:de )?{_MONTH},?(?: de)? #|{_MONTH} #(?:st|nd|rd|th)?,? #)(?!\w)")
+_MONTHS = frozenset(m for names in MONTHS.values() for m in names.split())
+_DATE = re.compile(r"#(?:st|nd|rd|th)?,?(?: (?:de )?#(?:st|nd|rd|th)?,?)+")
 
 
 def _expand(pattern: str) -> list[str]:
@@ -96,6 +100,8 @@ def _machine() -> ahocorasick.Automaton:
     for word in _FILLER:
         if len(word) >= 5:
             machine.add_word(word, 0)  # the unit is looked at closely; no phrase of its own
+    for word in [*SIGNS, *(f"{word} #" for word in ERRORS)]:
+        machine.add_word(word, 0)
     for phrase in itertools.chain.from_iterable(map(_expand, PHRASES)):
         machine.add_word(phrase, len(phrase))
     machine.make_automaton()
@@ -103,26 +109,48 @@ def _machine() -> ahocorasick.Automaton:
 
 
 def _mask(m: re.Match) -> str:
-    return "@" if m[1] else "h" if m[2] else "#"
+    return "h" if m[1] else "#"
 
 
 def units_of(text: str) -> list[str]:
     """Normalised, masked units: tags dropped, spaces single, lower case, figures #, addresses @, request ids h."""
-    s = _MASK.sub(_mask, _TAGS.sub(" ", text.translate(HIDDEN).lower()))
-    return [u for u in (" ".join(x.split()) for x in _ENDS.split(s)) if _WORD.search(u) or "{" in u]
-
-
-def shape_of(unit: str) -> str:
-    """The text a unit is grouped by: dates masked, placeholders without the names they hold."""
+    s = text.lower()
+    if not s.isascii():
+        s = _HIDDEN.sub("", s)
+    if "<" in s:
+        s = _TAGS.sub(" ", s)
+    if "@" in s or "www." in s or "://" in s:
+        s = _ADDRESS.sub("@", s)
+    out = []
+    for part in _ENDS.split(s):
+        if _DIGIT.search(part):
+            part = _NUMBER.sub(_mask, part)
+        u = " ".join(part.split())
+        if _WORD.search(u) or "{" in u:
+            out.append(u)
+    return out
+
+
+def suspect(unit: str) -> bool:
+    """Whether a unit has anything a rule could match: one pass for all phrases and signs."""
+    return unit == "nan" or next(_machine().iter(unit), None) is not None
+
+
+def shape_of(unit: str, signs: bool = True) -> str:
+    """The text a unit is grouped by: dates masked, placeholders (if it may have any) without the names they hold."""
     if "#" in unit:
-        unit = _DATE.sub("#", unit)
-    return _HOLDER.sub("{}", unit) if _SIGNS.search(unit) else unit
+        words = unit.split(" ")
+        if not _MONTHS.isdisjoint(w.rstrip(".,") for w in words):
+            figure = lambda i: 0 <= i < len(words) and words[i].startswith("#")
+            near = [w.rstrip(".,") in _MONTHS and (figure(i - 1) or figure(i + 1) or (figure(i + 2) and figure(i - 2))) for i, w in enumerate(words)]
+            unit = _DATE.sub("#", " ".join("#" if n else w for n, w in zip(near, words, strict=True)))
+    return _HOLDER.sub("{}", unit) if signs else unit
 
 
 def judge(unit: str) -> tuple[int, int, int]:
     """(words, words left outside residue, residue spans) of a normalised unit, by the placeholder, filler and phrase rules."""
     words = unit.count(" ") + 1
-    if not _SIGNS.search(unit) and not _ERROR.search(unit) and next(_machine().iter(unit), None) is None:
+    if not suspect(unit):
         return words, words, 0
     tokens = unit.split()
     filler = len(_FILLER.intersection(t.strip(".,") for t in tokens)) >= min(4, words)
@@ -158,14 +186,17 @@ def _unit_rows(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
         for batch in batches:
             at, rows = [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
-                times = Counter(units_of(value))
-                judged = [(n, *judge(u), u) for u, n in times.items()]
-                whole = tuple(sum(j[0] * j[c] for j in judged) for c in (1, 2, 3))
                 # units of one shape are one unit
                 shapes: dict[str, list[int]] = {}
-                for n, words, left, spans, u in judged:
-                    row = shapes.setdefault(shape_of(u), [0, 0, 0, 0])
-                    row[:] = [row[0] + n, row[1] + n * words, row[2] + n * left, row[3] + n * spans]
+                whole = [0, 0, 0]
+                for u, n in Counter(units_of(value)).items():
+                    odd = suspect(u)
+                    words, left, spans = judge(u) if odd else (u.count(" ") + 1,) * 2 + (0,)
+                    row = shapes.setdefault(shape_of(u, odd), [0, 0, 0, 0])
+                    for c, x in enumerate((1, words, left, spans)):
+                        row[c] += n * x
+                        if c:
+                            whole[c - 1] += n * x
                 at += [i] * (len(shapes) + 1)
                 rows += [(xxhash.xxh3_64_intdigest(u) - 2**63, *row, *whole) for u, row in shapes.items()]
                 rows.append((None, 1, *whole, *whole))
