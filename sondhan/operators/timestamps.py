@@ -1,9 +1,14 @@
 """Mixed timestamp notations to one UTC instant (problem 1).
 
-Every value is read by JVM-side expressions into a local wall time, an optional
-zone and the *format component* it was read by.  Figures such as ``03/10/2025``
-have two valid readings; which one holds is decided by expectation-maximisation
-over the format mixture of the value's source (see ``order_posteriors``).
+Every value is read by JVM-side expressions under every notation that fits it: epoch figures,
+year first, compact, day-month figures, month-day figures, day before or after a named
+month.  The *components* of the mixture are these notations, plus one for text that names no
+moment (``junk``).  Figures such as ``03/10/2025`` are valid under two of them.
+Expectation-maximisation estimates, for each source, the weights of the components
+(``format_weights``): a value contributes likelihood to every component it is valid under.  A
+day and month order the source declares is a strong but finite prior.  The posterior
+over the components then chooses the reading of each value, and values whose best
+posterior stays below the threshold are marked ambiguous.
 
 Results (column ``status``):
 
@@ -11,8 +16,8 @@ Results (column ``status``):
 resolved            exactly one instant, in ``utc_us``
 blank               null, empty or white space
 unreadable          no known notation (relative words, fillers)
-impossible          a notation, but no such day, time or offset
-ambiguous_order     day/month order not settled (posterior below the threshold)
+impossible          a notation, but no such day, time or offset, or one only in an order the source does not use
+ambiguous_order     the readings' posteriors stay below the threshold
 unknown_zone        wall time, and the source has no (known) home zone
 skipped             wall time that the zone's clocks jumped over
 repeated            wall time that the zone's clocks showed twice
@@ -25,8 +30,11 @@ has the name of a result column is replaced by it).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,38 +193,73 @@ def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", packed).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"__once.{n}").alias(n) for n in columns])
 
 
+#: The components of the mixture, in the order of the bits of a value's signature; the last one takes any text.
+COMPONENTS = ["epoch", "iso", "compact", "dmy", "mdy", "day_name", "name_day", "junk"]
+DMY, MDY, JUNK = (COMPONENTS.index(c) for c in ("dmy", "mdy", "junk"))
+#: How likely a text that fits a notation is to be junk that only looks like it: less than the smallest weight a notation can have (one value in a source of 10^15).
+JUNK_LIKELIHOOD = 1e-18
+#: Prior odds of the order a source does not declare against the one it does: finite, but less than the odds of junk at any size of a source.
+UNDECLARED = 1e-40
+
+
 def read_values(df: DataFrame, value: str, prefix: str = "__ts_") -> DataFrame:
-    """``df`` with the parsed parts of ``value`` in one struct column and the order evidence:
-    ``mask`` 1 = valid only as day-month, 2 = only as month-day, 3 = both and different, 0 = no choice."""
+    """``df`` with the parsed parts of ``value`` in one struct column and its signature:
+    a bit for each component under which it names an existing day and time."""
     tidy, kind, p = f"{prefix}tidy", f"{prefix}kind", f"{prefix}p"
     out = _once(df, {tidy: _tidy(F.col(value))})
     out = _once(out, {kind: _kind(F.col(tidy))})
     out = _once(out, {p: _parts(F.col(tidy), F.col(kind))})
     a, b, y = F.col(p)["a"], F.col(p)["b"], F.col(p)["y"]
-    dmy, mdy = _day(y, b, a), _day(y, a, b)
-    mask = F.when((F.col(kind) == "figures"), F.when(dmy == mdy, 0).otherwise(F.when(dmy.isNotNull(), 1).otherwise(0) + F.when(mdy.isNotNull(), 2).otherwise(0))).otherwise(0)
-    return _once(out, {f"{prefix}dmy": dmy, f"{prefix}mdy": mdy, f"{prefix}mask": mask})
-
+    figures = F.col(kind) == "figures"
+    days = {"dmy": F.when(figures, _day(y, b, a)), "mdy": F.when(figures, _day(y, a, b)), "named": F.when(~figures, _day(y, F.col(p)["m"], a))}
+    out = _once(out, {f"{prefix}{n}": c for n, c in {**days, "clock": _clock_us(F.col(p))}.items()})
+    timed = F.col(f"{prefix}clock").isNotNull()
+    fits = [F.col(kind) == "epoch"] + [(F.col(kind) == c) & F.col(f"{prefix}named").isNotNull() & timed for c in ("iso", "compact")]
+    fits += [F.col(f"{prefix}{c}").isNotNull() & timed for c in ("dmy", "mdy")] + [(F.col(kind) == c) & F.col(f"{prefix}named").isNotNull() & timed for c in ("day_name", "name_day")]
+    bits = reduce(lambda x, z: x + z, [F.when(F.coalesce(c, F.lit(False)), 1 << i).otherwise(0) for i, c in enumerate(fits)])
+    return _once(out, {f"{prefix}mask": (bits + F.lit(1 << JUNK)).cast("int")})
+
+
+def mixture(masks: np.ndarray, counts: np.ndarray, declared: str | None, rounds: int = 25, prior: float = 0.5) -> np.ndarray:
+    """Prior times weight of every component after EM over the signatures of one source, ``counts[i]`` values of ``masks[i]``."""
+    k = len(COMPONENTS)
+    valid = (masks[:, None] >> np.arange(k)) & 1
+    like = np.where(valid == 1, np.where(np.arange(k) == JUNK, JUNK_LIKELIHOOD, 1.0), 0.0)
+    if declared in ("dmy", "mdy"):
+        like[:, MDY if declared == "dmy" else DMY] *= UNDECLARED
+    w = np.full(k, 1.0 / k)
+    for _ in range(rounds):
+        r = like * w
+        r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
+        n = (r * counts[:, None]).sum(0)
+        w = (n + prior) / (n.sum() + k * prior)
+    factor = np.ones(k)
+    factor[JUNK] = JUNK_LIKELIHOOD
+    if declared in ("dmy", "mdy"):
+        factor[MDY if declared == "dmy" else DMY] = UNDECLARED
+    return w * factor
+
+
+def format_weights(parsed: DataFrame, source: str, declared: str | None = None, rounds: int = 25, prior: float = 0.5, prefix: str = "__ts_") -> DataFrame:
+    """(__src, __w array<double>): the fitted mixture of each source, priors included.
+
+    The sufficient statistics are counts of the (at most 2^7) signatures of a source, pre-aggregated before the
+    shuffle, so a hot source costs nothing.  ``prior`` pseudo-values stand in each component.
+    """
+    stats = parsed.groupBy(F.col(source).alias("__src"), F.col(f"{prefix}mask").alias("mask")).agg(
+        F.count(F.lit(1)).alias("n"), (F.max(F.lower(declared)) if declared else F.lit(None).cast("string")).alias("declared")
+    )
+    rows = stats.groupBy("__src").agg(F.sort_array(F.collect_list(F.struct("mask", "n"))).alias("seen"), F.max("declared").alias("declared"))
+    kind = parsed.schema[source].dataType.simpleString()
 
-def order_posteriors(parsed: DataFrame, source: str, declared: str | None = None, rounds: int = 25, prior: float = 0.5, prefix: str = "__ts_") -> DataFrame:
-    """EM over the two-component order mixture of each source.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for seen, order in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found.append(mixture(np.array([x["mask"] for x in seen]), np.array([x["n"] for x in seen], float), order, rounds, prior).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["__src", "__w"])
 
-    A value that is valid under one reading only contributes likelihood to that
-    component; one valid under both is shared out by the current weights (E), and
-    the weights are the shares with ``prior`` pseudo-values on each side (M).  The
-    sufficient statistics are three counts a source, pre-aggregated before the
-    shuffle, so a hot source costs nothing.  A declared order is a hard prior: the
-    other component has weight zero.  Returns (source, p_dmy).
-    """
-    mask = F.col(f"{prefix}mask")
-    stats = parsed.groupBy(F.col(source).alias("__src")).agg(
-        F.count_if(mask == 1).cast("double").alias("only_dmy"), F.count_if(mask == 2).cast("double").alias("only_mdy"),
-        F.count_if(mask == 3).cast("double").alias("both"), (F.max(declared) if declared else F.lit(None).cast("string")).alias("declared"),
-    )
-    total = F.col("only_dmy") + F.col("only_mdy") + F.col("both") + 2 * prior
-    em = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.5).cast("double"), lambda w, _: (F.col("only_dmy") + F.col("both") * w + prior) / total)
-    p = F.when(F.lower("declared") == "dmy", F.lit(1.0)).when(F.lower("declared") == "mdy", F.lit(0.0)).otherwise(em)
-    return stats.select("__src", p.alias("__p_dmy"))
+    return rows.mapInArrow(run, f"__src {kind}, __w array<double>")
 
 
 def normalise_timestamps(
@@ -226,26 +269,32 @@ def normalise_timestamps(
     """``df`` plus utc_us (long), status, format and order_posterior.
 
     ``sources`` has one row a source with its home zone and, where known, its day and
-    month order; sources without a row or an order are settled by EM alone, and values
-    whose posterior stays below ``threshold`` are marked ``ambiguous_order``.
+    month order; sources without a row or an order are settled by the mixture alone, and values
+    whose posterior stays below ``threshold`` are marked ``ambiguous_order``.  ``order_posterior`` is
+    the posterior of the reading chosen, for figures that name a day in some order.
     """
     x = "__ts_"
     dim = sources.select(F.col(source).alias("__src_key"), F.col(zone).alias("__zone"), F.col(order).alias("__order")).dropDuplicates(["__src_key"])
     joined = df.join(dim, F.col(source) == F.col("__src_key"), "left").drop("__src_key")
     parsed = read_values(joined, value, x)
-    post = order_posteriors(parsed, source, "__order", rounds)
-    out = parsed.join(post, F.col(source).eqNullSafe(F.col("__src")), "left").drop("__src")
+    weights = format_weights(parsed, source, "__order", rounds)
+    out = parsed.join(weights, F.col(source).eqNullSafe(F.col("__src")), "left").drop("__src")
 
     p, kind, mask = F.col(f"{x}p"), F.col(f"{x}kind"), F.col(f"{x}mask")
-    pd, declared = F.coalesce(F.col("__p_dmy"), F.lit(0.5)), F.lower(F.col("__order"))
-    # the posterior of the day-month reading of this very value: prior weight times likelihood (1 if valid, 0 if not)
-    valid = F.when(declared == "dmy", mask != 2).when(declared == "mdy", mask != 1).otherwise(mask != 0)
-    p_dmy = F.when(declared.isin("dmy", "mdy"), pd).when(mask == 1, 1.0).when(mask == 2, 0.0).otherwise(pd)
-    same = F.col(f"{x}dmy").isNotNull() & (F.col(f"{x}dmy") == F.col(f"{x}mdy"))
-    settled = same | (p_dmy >= threshold) | (p_dmy <= 1 - threshold)
-    figure_day = F.when(same, F.col(f"{x}dmy")).when(valid & (p_dmy >= threshold), F.col(f"{x}dmy")).when(valid & (p_dmy <= 1 - threshold), F.col(f"{x}mdy"))
-    day = F.when(kind == "figures", figure_day).otherwise(_day(p["y"], p["m"], p["a"]))
-    wall = day.cast("long") * F.lit(DAY_US) + _clock_us(p)
+    # posteriors of the two orders of figures; values of one notation only have nothing to choose but junk
+    share = lambda i: F.when(F.getbit(mask, F.lit(i)) == 1, F.get("__w", F.lit(i))).otherwise(0.0)
+    total = share(DMY) + share(MDY) + F.get("__w", F.lit(JUNK))
+    p_dmy, p_mdy = share(DMY) / total, share(MDY) / total
+    dmy, mdy = F.col(f"{x}dmy"), F.col(f"{x}mdy")
+    same = dmy.isNotNull() & mdy.isNotNull() & (dmy == mdy)
+    best = F.when(same, p_dmy + p_mdy).otherwise(F.greatest(p_dmy, p_mdy))
+    out = _once(out, {f"{x}best": F.when(kind == "figures", best), f"{x}day": F.when(kind == "figures", F.when(p_dmy >= p_mdy, dmy).otherwise(mdy)).otherwise(F.col(f"{x}named"))})
+    posterior, figures = F.col(f"{x}best"), kind == "figures"
+    # a day that exists in an order only which the source all but rules out is junk
+    orders = F.getbit(mask, F.lit(DMY)) + F.getbit(mask, F.lit(MDY))
+    junk = figures & ((orders == 0) | ((orders == 1) & (posterior < 0.5)))
+    settled = ~figures | (posterior >= threshold)
+    wall = F.when(settled, F.col(f"{x}day")).cast("long") * F.lit(DAY_US) + F.col(f"{x}clock")
     offset = _offset_s(p["zone"], F.col("__zone"))
 
     raw = F.col(f"{x}tidy")
@@ -264,7 +313,7 @@ def normalise_timestamps(
     status = (
         F.when(raw.isNull() | (raw == ""), "blank").when(kind == "epoch", "resolved")
         .when(kind.isNull() | (kind.isin("day_name", "name_day") & p["m"].isNull()), "unreadable")
-        .when((kind == "figures") & ~F.coalesce(settled, F.lit(False)) & (mask == 3), "ambiguous_order")
+        .when(junk, "impossible").when(~settled & F.col(f"{x}clock").isNotNull(), "ambiguous_order")
         .when(wall_c.isNull(), "impossible")
         .when(p["zone"].isNotNull(), F.when(off_c.isNull(), "unknown_zone").otherwise("resolved"))
         .when(F.col("__zone").isNull(), "unknown_zone").when(skipped, "skipped").when(again, "repeated").otherwise("resolved")
@@ -272,6 +321,5 @@ def normalise_timestamps(
     out = out.withColumn(f"{x}status", status)
     instant = F.when(kind == "epoch", epoch).when(p["zone"].isNotNull(), wall_c - off_c.cast("long") * 1_000_000).otherwise(utc_c)
     out = out.withColumn(f"{x}us", F.when(F.col(f"{x}status") == "resolved", instant))
-    posterior = F.when((kind == "figures") & (mask > 0), F.greatest(p_dmy, 1 - p_dmy))
-    added = {"utc_us": F.col(f"{x}us"), "status": F.col(f"{x}status"), "format": kind, "order_posterior": posterior}
+    added = {"utc_us": F.col(f"{x}us"), "status": F.col(f"{x}status"), "format": kind, "order_posterior": F.when(figures & (orders > 0), posterior)}
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in added], *[c.alias(n) for n, c in added.items()])
