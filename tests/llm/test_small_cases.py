@@ -116,6 +116,23 @@ def test_pairs_need_the_vocabulary(spark):
     assert lookalike.same_look_pairs(spark.createDataFrame([], "article_id long, title string, body string"), "article_id", ["title", "body"]).count() == 0
 
 
+def test_tokens_take_their_dominant_script_in_either_direction():
+    assert lookalike.candidates("The plаn") == {"plаn": ["plan"]}  # one Cyrillic letter
+    assert lookalike.candidates("наш нaшa правда") == {"нaшa": ["наша"]}  # Latin letters in a Cyrillic word
+    assert lookalike.candidates("το φiλο") == {} and lookalike.candidates("νoν και λόγος") == {"νoν": ["vov", "νον"]}
+    assert lookalike.candidates("сaсa говорит")["сaсa"] == ["caca", "саса"]  # tied: Latin first
+    assert lookalike.candidates("an оссаsіоn")["оссаsіоn"] == ["occasion"]  # only the n has no look-alike
+    assert lookalike.candidates("it wаѕ")["wаѕ"] == ["was", "ԝаѕ"]  # undecided: the vocabulary says
+    assert lookalike.candidates("it may νа")["νа"][0] == "va"  # Greek and Cyrillic, in a Latin text
+    assert lookalike.candidates("мир правда слово") == {} and lookalike.candidates("thе о plan of it")["о"] == ["o"]
+
+
+def test_cyrillic_words_are_repaired_and_copies_expanded(spark):
+    rows = [(1, "Наша правда", "слово наша")] * 1 + [(2, "Нaшa правда", "слово наша"), (3, "Наша правда", "слово наша"), (3, "Наша правда", "слово наша"), (4, "Нaшx", "слово")]
+    got = sorted((r.a, r.b) for r in lookalike.same_look_pairs(spark.createDataFrame(rows, "article_id long, title string, body string"), "article_id", ["title", "body"]).distinct().collect())
+    assert got == [(1, 2), (2, 3)]
+
+
 # --- p6
 
 def make_page(rng):
