@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sondhan.functions.text import MARKS, WS, collapse, or_empty
 from sondhan.operators.fuzzy import lcs_ratio_udf
+from sondhan.operators.numbering import number_rows
 from sondhan.session import checkpoint
 
 # Known English-Bangla pairs.
@@ -125,16 +126,8 @@ def entity_index(clusters: DataFrame) -> DataFrame:
 
 
 def number_entities(index: DataFrame, order: list[str]) -> DataFrame:
-    """entity_id E00000... in the given order; the order is total, so ids are stable.
-
-    Ranges are numbered in parallel: rows are range-partitioned, counted, and each partition starts after those before it.
-    """
-    ranged = index.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    starts = counts.withColumn("__from", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__from")
-    inside = Window.partitionBy("__p").orderBy(*order)
-    numbered = ranged.withColumn("__i", F.row_number().over(inside) - 1).join(starts, "__p")
-    return numbered.withColumn("entity_id", F.format_string("E%05d", F.col("__from") + F.col("__i"))).drop("__p", "__i", "__from")
+    """entity_id E00000... in the given order; the order is total, so ids are stable."""
+    return number_rows(index, order, "__i").withColumn("entity_id", F.format_string("E%05d", F.col("__i"))).drop("__i")
 
 
 def index_stats(records: DataFrame) -> DataFrame:

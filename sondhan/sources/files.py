@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sondhan.operators.numbering import number_rows
+
 MENTION = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.StringType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])
 ARTICLE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("url", "title", "body", "date", "language", "source", "category")]
@@ -37,12 +39,9 @@ def read_map(spark: SparkSession, path: str, value: str = "struct<en:string,bn:s
 
 def systematic_sample(df: DataFrame, order: str, limit: int) -> DataFrame:
     """Every (total // limit)-th row in order, ``limit`` at most: the sampling operator."""
-    from pyspark.sql import Window
-
     total = df.count()
     stride = max(1, total // max(1, limit))
-    numbered = df.withColumn("__rn", F.row_number().over(Window.orderBy(order)))
-    return numbered.filter((F.col("__rn") - 1) % stride == 0).orderBy(order).limit(limit).drop("__rn")
+    return number_rows(df, [order], "__rn").filter(F.col("__rn") % stride == 0).orderBy(order).limit(limit).drop("__rn")
 
 
 def append_once(df: DataFrame, path: str, url: str = "url") -> int:
