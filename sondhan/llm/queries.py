@@ -48,7 +48,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability that it is page furniture, for every line and title."""
-    names = [r[0] for r in table(spark, sf_dir, "sources").select("site_name").distinct().orderBy("site_name").limit(10_000).collect()]
+    names = [r[0] for r in table(spark, sf_dir, "sources").select("site_name").distinct().orderBy("site_name").collect()]
     return boilerplate.label_blocks(table(spark, sf_dir, "articles"), "article_id", "title", "body", names)
 
 
@@ -104,8 +104,8 @@ def _p2_sql() -> str:
     plus = " + ".join(f"({top[c]} - {v[c]}) ** 2" for c in scores)
     minus = " + ".join(f"{v[c]} ** 2" for c in scores)
     return f"""WITH h AS (SELECT search_id, article_id, max(bm25) AS bm25, max(fuzzy) AS fuzzy, max(semantic) AS semantic FROM hybrid_results_labse WHERE search_id IS NOT NULL AND article_id IS NOT NULL GROUP BY ALL), l AS ({long}),
-        b AS (SELECT search_id, c, quantile_disc(s, 0.05) AS lo, (list(s ORDER BY s DESC))[greatest(1, least(11, ceil(count(s) / 2)))::INT] AS hi FROM l WHERE s IS NOT NULL GROUP BY ALL),
-        x AS (SELECT l.search_id, article_id, l.c, coalesce(greatest(least(s, hi), lo) - lo, 0.0) AS x FROM l LEFT JOIN b ON l.search_id = b.search_id AND l.c = b.c),
+        b AS (SELECT search_id, c, quantile_disc(s, 0.05) AS lo, quantile_disc(s, 0.85) AS hi FROM l WHERE s IS NOT NULL GROUP BY ALL),
+        x AS (SELECT l.search_id, article_id, l.c, CASE WHEN s IS NULL THEN 0.0 ELSE greatest(least(s, hi), lo) - lo END AS x FROM l LEFT JOIN b ON l.search_id = b.search_id AND l.c = b.c),
         n AS (SELECT search_id, article_id, c, coalesce(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY search_id, c)), 0), 0.0) AS u FROM x),
         r AS (SELECT search_id, article_id, sqrt({plus}) AS p, sqrt({minus}) AS m FROM n GROUP BY search_id, article_id)
         SELECT search_id, article_id FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY coalesce(m / nullif(p + m, 0), 0) DESC, article_id) AS k FROM r) WHERE k <= 10"""

@@ -312,7 +312,7 @@ def test_packing_splits_only_what_is_too_long(spark):
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, n int"), "doc_id", "n").toPandas()
     assert got["n_tokens"].sum() == sum(n or 0 for _, n in rows)
     used = got[got.container.notna()].groupby("container").agg(n=("n_tokens", "sum"), c=("capacity", "first"))
-    assert (used.n <= used.c).all() and set(used.c) <= {256, 512, 1024, 2048}
+    assert (used.n <= used.c).all() and set(used.c) <= {256, 512, 768, 1024, 1536, 2048}
     assert used.n.sum() / used.c.sum() > 0.99
     split = got[got.doc_id.isin([d for d, n in rows if n and n <= 2048 and d != 7])]
     assert not split.duplicated("doc_id").any()
@@ -320,10 +320,29 @@ def test_packing_splits_only_what_is_too_long(spark):
 
 
 def test_best_fit_downsizes():
-    where, caps, fill = packing.best_fit([2000, 40, 300, 0], [256, 512, 2048])
+    where, caps, fill, _ = packing.best_fit([2000, 40, 300, 0], [256, 512, 2048])
     assert where[3] == -1 and sorted(zip(caps, fill)) == [(512, 300), (2048, 2040)]
 
 
+CAPACITIES = [256, 512, 768, 1024, 1536, 2048]
+
+
+@pytest.mark.parametrize(("sizes", "opened"), [([1500] * 40, {1536: 40}), ([760] * 40, {1536: 20}), ([1100] * 10 + [940] * 10, {2048: 10}), ([1500] * 10 + [548] * 4, {2048: 4, 1536: 6}), ([250] * 8, {2048: 1}), ([700], {768: 1})])
+def test_capacities_are_opened_for_what_is_still_to_come(sizes, opened):
+    _, caps, fill, got = packing.best_fit(sizes, CAPACITIES)
+    assert collections.Counter(got) == opened
+    assert all(f <= c <= g for c, f, g in zip(caps, fill, got))
+
+
+def test_joint_choice_leaves_less_room_than_one_capacity():
+    rng = random.Random(9)
+    sizes = [rng.choice([rng.randint(1300, 1536), rng.randint(600, 768)]) for _ in range(3000)]
+    room = lambda capacities: (lambda out: sum(out[1]) - sum(out[2]))(packing.best_fit(sizes, capacities))
+    everything = packing.best_fit(sizes, CAPACITIES)
+    assert room(CAPACITIES) < 0.6 * (sum(2048 for _ in packing.best_fit(sizes, [2048])[1]) - sum(sizes))
+    assert len(set(everything[3])) >= 2
+
+
 # --- p10
 
 RESIDUE = ["{{ title }} {{body}}", "Error 404\n\nTry again later.", "Please enable JavaScript to view this page.", "A headline here\n\nLorem ipsum dolor sit amet. Sed do eiusmod tempor ut labore et dolore.", "<p>${author} | Updated [date]</p>", "এই পাতা দেখতে জাভাস্ক্রিপ্ট চালু করুন।"]
