@@ -2,14 +2,15 @@
 
 A recurrent block labeller: the lines of an article, its title in front, are a
 sequence of blocks.  Each block is a vector of its hashed words and of its path in the
-page (how it is set apart from its neighbours, where it lies, how it is punctuated,
-whether it names a site); a bidirectional LSTM in numpy reads the sequence and labels
+page (how it is set apart from its neighbours, where it lies, how it is
+punctuated); a bidirectional LSTM in numpy reads the sequence and labels
 every block with the whole document as context.
 
 The network is trained here, on a bounded sample of articles whose blocks are labelled
-by rules that need the sample's own statistics (``weak_labels``): furniture phrases,
-unpunctuated lines, and cross-headings, which are told from other unpunctuated lines by
-occurring word for word inside the sample's sentences.
+by rules that need the sample's own statistics and the list of sites (``weak_labels``): furniture phrases, names of
+sites in titles, unpunctuated lines, and cross-headings, which are told from other unpunctuated lines by
+occurring word for word inside the sample's sentences.  The phrases and the names are
+no inputs of the network: it has to find them in the words.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ from sondhan.llm.lookalike import LOOKALIKE, plain
 from sondhan.llm.sampling import bounded_sample
 from sondhan.session import spread
 
-WORD_BUCKETS = 8192
+WORD_BUCKETS = 1 << 14
 WORD_SIZE = 24
 HIDDEN_SIZE = 16
-SHAPES = 23
+SHAPES = 22
+#: Lines (with padding) that one step of the network holds.
+CELLS = 20_000
 SAMPLE = 2_500
 
-# Parts of phrases that only the furniture of a page holds, in the languages of the corpus.
+# A choice of this library, for the training labels only: parts of phrases that only the furniture of a page holds, in the languages of the corpus.
 FURNITURE = (
     "we use cookies|cookie policy|কুকি ব্যবহার করি|कुकीज़ का उपयोग|usamos cookies|wir verwenden cookies|utilisons des cookies|©|copyright 20|all rights reserved|tous droits réservés|"
     "alle rechte vorbehalten|todos los derechos|সর্বস্বত্ব|सर्वाधिकार|stores small files on your device|আপনার যন্ত্রে ছোট ফাইল|accept all|সব মেনে নিন"
@@ -43,6 +46,7 @@ _FURNITURE = re.compile(FURNITURE)
 _END = re.compile(r"[.।!?…][\"'”’»)\]]*$")
 _INNER_END = re.compile(r"[.।!?][\"'”’»)]* +\S")
 _SEPARATORS = re.compile(r"[|›»·•/>]")
+_DASHED = re.compile(r"\s[-–—|:·»]+\s")
 _BULLET = re.compile(r"^[*»•\[>-]")
 _WORD = re.compile(r"[^\s\d!-/:-@\[-`{-~০-৯०-९।‘’“”„«»‹›–—…|•·©°]+")
 _DIGIT = re.compile(r"[0-9০-৯०-९]")
@@ -63,18 +67,20 @@ def blocks(title: str | None, body: str) -> tuple[list[str], list[int]]:
     return [x for _, x in kept], [i for i, _ in kept]
 
 
-def shapes(texts: list[str], numbers: list[int], sites: re.Pattern | None) -> np.ndarray:
+def shapes(texts: list[str], numbers: list[int]) -> np.ndarray:
     """Path and shape of each block: one row of SHAPES values a block."""
     n, out = len(texts), np.zeros((len(texts), SHAPES), np.float32)
     for k, t in enumerate(texts):
         w, size = len(t.split()), max(1, len(t))
         before = numbers[k] - numbers[k - 1] if k > 1 else 3
         after = numbers[k + 1] - numbers[k] if k + 1 < n else 3
+        ends = _DASHED.split(t)
         has_case = any(c.isascii() and c.isalpha() for c in t)
         out[k] = (
-            k == 0, bool(_END.search(t)), bool(_INNER_END.search(t)), min(len(_SEPARATORS.findall(t)), 6) / 3, bool(_BULLET.match(t)), bool(_FURNITURE.search(t.lower())),
+            k == 0, bool(_END.search(t)), bool(_INNER_END.search(t)), min(len(_SEPARATORS.findall(t)), 6) / 3, bool(_BULLET.match(t)),
             w == 1, w <= 3, w <= 6, min(w, 60) / 30, t.count(",") > 0, ":" in t, "|" in t, len(_DIGIT.findall(t)) / size, has_case and t.upper() == t,
-            before == 1, before == 2, after == 1, after == 2, k / n, (n - k) / n, bool(sites and sites.search(t.lower())), bool(k == 0 and sites and sites.search(t.lower())),
+            before == 1, before == 2, after == 1, after == 2, k / n, (n - k) / n,
+            k == 0 and len(ends) > 1, len(ends) > 1 and min(len(ends[0].split()), len(ends[-1].split())) <= 3,
         )
     return out
 
@@ -126,6 +132,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _groups(order: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Documents of like length, so many together that the padded lines are no more than CELLS (a longer document is alone)."""
+    start = 0
+    for end in range(1, len(order) + 1):
+        if end == len(order) or (end + 1 - start) * int(lengths[order[end]]) > CELLS:
+            yield order[start:end]
+            start = end
+
+
 class BlockLabeller:
     """Bidirectional LSTM over block vectors with a logistic output, trained by Adam."""
 
@@ -193,7 +208,7 @@ class BlockLabeller:
         starts = np.concatenate([[0], np.cumsum(lengths)])
         out = np.zeros(len(v), np.float32)
         order = np.argsort(lengths, kind="stable")
-        for group in np.array_split(order, max(1, len(order) // 64)):
+        for group in _groups(order, lengths):
             n, x = lengths[group], np.zeros((int(lengths[group].max()), len(group), v.shape[1]), np.float32)
             for j, doc in enumerate(group):
                 x[: n[j], j] = v[starts[doc] : starts[doc + 1]]
@@ -250,7 +265,7 @@ def fit(articles: list[tuple[str | None, str]], site_names: list[str], epochs: i
     cut = [blocks(t, b) for t, b in articles]
     labels = weak_labels(cut, sites)
     model = BlockLabeller()
-    model.train([([hashed(x) for x in texts], shapes(texts, numbers, sites), y) for (texts, numbers), y in zip(cut, labels, strict=True)], epochs)
+    model.train([([hashed(x) for x in texts], shapes(texts, numbers), y) for (texts, numbers), y in zip(cut, labels, strict=True)], epochs)
     return model
 
 
@@ -264,7 +279,6 @@ def label_blocks(df: DataFrame, key: str, title: str, body: str, site_names: lis
     solid = df.filter(F.col(body).rlike("[^\\s\\u00a0\\u3000]"))
     rows = bounded_sample(df, key, [title, body], f"`{body}` rlike '[^ ]'", sample, 17)
     model = fit([(r[0], r[1]) for r in rows], site_names)
-    sites = sites_pattern(site_names)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +289,7 @@ def label_blocks(df: DataFrame, key: str, title: str, body: str, site_names: lis
                 lengths = np.array([len(texts) for texts, _ in cut])
                 ids = [hashed(x) for texts, _ in cut for x in texts]
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-                shape = np.concatenate([shapes(texts, numbers, sites) for texts, numbers in cut])
+                shape = np.concatenate([shapes(texts, numbers) for texts, numbers in cut])
                 p = model.score(np.array([i for x in ids for i in x]), offsets, shape, lengths)
                 at = np.repeat(np.arange(len(cut), dtype=np.int32), lengths)
                 lines = pa.array([i for _, numbers in cut for i in numbers], pa.int64())

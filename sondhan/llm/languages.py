@@ -41,9 +41,11 @@ CODES = ["en", "bn", "hi", "fr", "es", "de"]
 OWNER = np.array([CODES.index(c.split("_")[0]) for c in COMPONENTS])
 BUCKETS = 1 << 14
 WORDS = 30_000
-#: Components in borrowed letters: names and page furniture look like them, so a paragraph without one of their function words cannot be theirs.
+#: Components in borrowed letters with their function words: names and page furniture look like them, but hold none of these.
 BORROWED = {j: frozenset(SEEDS[c].split()) for j, c in enumerate(COMPONENTS) if "_" in c}
-BARRED = -1000.0
+#: Log-likelihood of a word of such a paragraph not to be one of those function words (about every fifth is).
+UNSPOKEN = float(np.log(1 - 0.2))
+LOUDEST = 12.0
 TABLE = 300_000
 #: Words each component keeps of its own, so that those of a rare language are not crowded out by the frequent words of the others.
 OWN_WORDS = 4_000
@@ -66,11 +68,11 @@ def _script(word: str) -> str:
     return "bn" if "ঀ" <= c <= "৿" else "hi" if "ऀ" <= c <= "ॿ" else "latn"
 
 
-def _barred(paragraphs: list[list[str]]) -> np.ndarray:
-    """What to add to the likelihoods of paragraphs: BARRED for borrowed components they have no function word of."""
+def _unspoken(paragraphs: list[list[str]]) -> np.ndarray:
+    """Log-likelihoods of paragraphs of n words to hold no function word of a borrowed component; 0 for those that hold one."""
     out = np.zeros((len(paragraphs), len(COMPONENTS)))
     for j, own in BORROWED.items():
-        out[[own.isdisjoint(p) for p in paragraphs], j] = BARRED
+        out[:, j] = [UNSPOKEN * len(p) if own.isdisjoint(p) else 0.0 for p in paragraphs]
     return out
 
 
@@ -81,10 +83,17 @@ class LanguageModel:
         self.words, self.word_p, self.gram_log, self.blend = words, word_p, gram_log, blend
 
     def vector(self, word: str) -> np.ndarray:
-        spelled = np.exp(np.maximum(self.gram_log[_grams(word[:40])].sum(0), -60.0))
         row = self.words.get(word)
-        known = self.word_p[row] if row is not None else 0.0
-        return np.log(self.blend * known + (1 - self.blend) * spelled + 1e-30).astype(np.float32)
+        known = self.word_p[row] if row is not None else np.zeros(len(COMPONENTS), np.float32)
+        return self.blended(known[None], self.gram_log[_grams(word)].sum(0, keepdims=True))[0].astype(np.float32)
+
+    def blended(self, known: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Log-likelihoods of words, one row each, from their probabilities as known words and the log-likelihoods of their trigrams.
+
+        The trigrams of a word, however long it is, speak for its best component by LOUDEST at most: a word of no language decides nothing.
+        """
+        spelled = np.maximum(spelled, spelled.max(1, keepdims=True) - LOUDEST)
+        return np.logaddexp(np.log(self.blend * known.astype(float) + 1e-300), np.log(1 - self.blend) + spelled)
 
 
 def _sums(matrix: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -115,15 +124,15 @@ class Chunk:
                 if t := tokens(p):
                     ids += [vocabulary.setdefault(w, len(vocabulary)) for w in t]
                     sizes.append(len(t))
-        grams = [_grams(w[:40]) for w in vocabulary]
+        grams = [_grams(w) for w in vocabulary]
         return list(vocabulary), ids, sizes, [x for g in grams for x in g], [len(g) for g in grams]
 
-    def barred(self) -> np.ndarray:
-        """As ``_barred``, from the numbers of the words."""
+    def unspoken(self) -> np.ndarray:
+        """As ``_unspoken``, from the numbers of the words."""
         out = np.zeros((len(self.sizes), len(COMPONENTS)))
         for j, own in BORROWED.items():
             has = np.array([w in own for w in self.words], float)
-            out[_sums(has[self.ids][:, None], self.offsets)[:, 0] == 0, j] = BARRED
+            out[:, j] = np.where(_sums(has[self.ids][:, None], self.offsets)[:, 0] == 0, UNSPOKEN * self.sizes, 0.0)
         return out
 
     def counts(self, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +158,8 @@ class Chunk:
 
     def judge(self, model: LanguageModel, prior: np.ndarray) -> np.ndarray:
         known = np.vstack([model.word_p, np.zeros((1, len(COMPONENTS)))])[[model.words.get(w, -1) for w in self.words]]
-        spelled = np.exp(np.maximum(_sums(model.gram_log[self.gram_id], self.gram_off), -60.0))
-        logp = np.log(model.blend * known + (1 - model.blend) * spelled + 1e-30)
-        return _softmax(_sums(logp[self.ids], self.offsets) + prior + self.barred())
+        logp = model.blended(known, _sums(model.gram_log[self.gram_id], self.gram_off))
+        return _softmax(_sums(logp[self.ids], self.offsets) + prior + self.unspoken())
 
 
 class Totals:
@@ -316,7 +324,7 @@ class Judge:
         count = np.array([len(w) for w in words], float)
         offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
         ids = np.fromiter((self._id(w) for ws in words for w in ws), np.int64, int(offsets[-1]))
-        fine = _sums(self.table[ids], offsets) + _barred(words)
+        fine = _sums(self.table[ids], offsets) + _unspoken(words)
         like = np.full((len(words), len(CODES)), -np.inf)
         for j, owner in enumerate(OWNER):  # a language is as likely as the better of its scripts
             like[:, owner] = np.maximum(like[:, owner], fine[:, j])

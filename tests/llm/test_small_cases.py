@@ -94,6 +94,33 @@ def test_a_language_of_one_article_in_a_large_table_is_found(spark):
     assert {(r.article_id, r.segment, r.language) for r in got} == {(5000, 0, "fr"), (5001, 3, "bn")}
 
 
+def test_words_are_read_whole_and_unspoken_paragraphs_are_less_likely_not_barred():
+    model = languages.fit([EN] * 40 + [ROMAN] * 40)
+    long = "approved" * 9
+    assert len(languages._grams(long)) == 72 and np.ptp(model.vector(long)) > 5  # a word of 72 letters still says something
+    assert np.ptp(model.vector("x" * 100_000)) <= languages.LOUDEST + 1e-3
+    j = languages.COMPONENTS.index("bn_latn")
+    gone = languages._unspoken([["porikolpona", "bereche"], ["kore", "bereche"], []])[:, j]
+    assert gone[0] == 2 * languages.UNSPOKEN and gone[1] == gone[2] == 0
+    spoken = " ".join(w for w in ROMAN.replace(",", "").replace(".", "").split() if w not in languages.BORROWED[j])
+    assert languages.Judge(model).documents([spoken])[0][0][1] == "bn"  # no function word, but its words say so
+
+
+def test_held_out_languages_from_other_sentences():
+    """Every language is tested on sentences whose words the training sentences only partly hold."""
+    pools = {
+        "en": ("the officials said that the bridge will open in spring and the cost was lower than planned|a council of the town approved the plan for a new school after the debate|people from the villages have waited for the road since the flood of last year", "the officials of the school said that the cost will be lower|after the flood a plan for the bridge was approved"),
+        "fr": ("les responsables ont dit que le pont sera ouvert au printemps et que le coût est plus bas|le conseil de la ville a approuvé le plan pour une nouvelle école après le débat|les habitants des villages ont attendu la route depuis les pluies de cette année", "le conseil des villages a dit que la route sera ouverte|une école pour les habitants est dans le plan"),
+        "es": ("los funcionarios dicen que el puente se abre en la primavera y que el costo es más bajo|el consejo de la ciudad aprobó el plan para una nueva escuela según los vecinos|la gente de los pueblos no ha visto la carretera por las lluvias de este año", "el consejo de los pueblos aprobó la carretera|la gente dice que el plan no es para este año"),
+        "de": ("die beamten sagen dass die brücke im frühling öffnet und der preis nicht so hoch ist|der rat der stadt hat den plan für eine neue schule nach der debatte angenommen|die leute aus den dörfern haben auf die straße seit dem regen gewartet", "der rat hat die straße für die leute nicht angenommen|die schule und die brücke sind im plan der stadt"),
+        "bn": ("কর্মকর্তারা বলেন এই সেতু বসন্তে খুলে দেওয়া হবে এবং খরচ কম হয়েছে|নগরের পরিষদ নতুন বিদ্যালয়ের পরিকল্পনা অনুমোদন করেছে", "পরিষদ বলেন সেতু এবং বিদ্যালয়ের খরচ কম|এই পরিকল্পনা নগরের জন্য অনুমোদন হয়েছে"),
+        "hi": ("अधिकारियों ने कहा कि यह पुल वसंत में खुल जाएगा और खर्च कम है|नगर की परिषद ने नए विद्यालय की योजना को मंजूरी दी", "परिषद ने कहा कि पुल और विद्यालय का खर्च कम है|यह योजना नगर के लिए है"),
+    }
+    model = languages.fit([x for train, _ in pools.values() for x in train.split("|") for _ in range(10)])
+    test = [(c, x) for c, (_, held) in pools.items() for x in held.split("|")]
+    assert [d[0][1] for d in languages.Judge(model).documents([x for _, x in test])] == [c for c, _ in test]
+
+
 # --- p5
 
 LOOKS = [("Résumé", "Résumé"), ("fish office", "ﬁsh oﬃce".replace("ﬃ", "ﬀice"[0] + "i")), ("abc 12", "ａｂｃ　１２"), ("word", "w​o­rd﻿"), ("a b", "a b"), ("কো", "কো")]
@@ -150,18 +177,29 @@ def test_labeller_on_held_out_pages(spark):
     rng = random.Random(2)
     pages = [make_page(rng) for _ in range(260)]
     model = boilerplate.fit([(t, b) for t, b, _, _ in pages[:200]], ["Big Times"], epochs=6)
-    sites = boilerplate.sites_pattern(["Big Times"])
     right = total = 0
     for title, body, wrong, _ in pages[200:]:
         texts, numbers = boilerplate.blocks(title, body)
         ids = [boilerplate.hashed(x) for x in texts]
-        p = model.score(np.array([i for x in ids for i in x]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]), boilerplate.shapes(texts, numbers, sites), np.array([len(texts)]))
+        p = model.score(np.array([i for x in ids for i in x]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]), boilerplate.shapes(texts, numbers), np.array([len(texts)]))
         truth = [n in wrong for n in numbers]
         right += sum((x > 0.5) == y for x, y in zip(p, truth))
         total += len(truth)
     assert right / total >= 0.97
 
 
+def test_documents_are_grouped_by_padded_lines():
+    lengths = np.array([3, 50_000, 7, 1, 19_000, 900, 2])
+    groups = list(boilerplate._groups(np.argsort(lengths, kind="stable"), lengths))
+    assert sorted(np.concatenate(groups).tolist()) == list(range(7)) and all(len(g) == 1 or len(g) * lengths[g].max() <= boilerplate.CELLS for g in groups)
+    assert list(boilerplate._groups(np.array([], int), np.array([], int))) == []
+
+
+def test_phrases_of_the_labels_are_no_inputs():
+    a, b = (boilerplate.shapes(["T", line, "A story ends."], [0, 1, 2]) for line in ("we use cookies here now", "we sell biscuits here now"))
+    assert np.array_equal(a, b)
+
+
 def test_all_words_of_a_line_are_hashed():
     line = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100))
     assert len(boilerplate.hashed(line)) == 100 and boilerplate.hashed(line) != boilerplate.hashed(line + "x")
