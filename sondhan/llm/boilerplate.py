@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondhan.llm.lookalike import LOOKALIKE, plain
+from sondhan.llm.lookalike import latinised, plain
 from sondhan.llm.sampling import bounded_sample
 from sondhan.session import spread
 
@@ -53,7 +53,7 @@ _DIGIT = re.compile(r"[0-9০-৯०-९]")
 
 
 def folded(text: str) -> str:
-    return plain(text).translate(LOOKALIKE)
+    return latinised(plain(text))
 
 
 def words(line: str) -> list[str]:

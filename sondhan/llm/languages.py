@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondhan.llm.lookalike import LOOKALIKE, plain
+from sondhan.llm.lookalike import latinised, plain
 from sondhan.session import materialise, spread
 
 # Function words that start the components.
@@ -46,7 +46,6 @@ BORROWED = {j: frozenset(SEEDS[c].split()) for j, c in enumerate(COMPONENTS) if
 #: Log-likelihood of a word of such a paragraph not to be one of those function words (about every fifth is).
 UNSPOKEN = float(np.log(1 - 0.2))
 LOUDEST = 12.0
-TABLE = 300_000
 #: Words each component keeps of its own, so that those of a rare language are not crowded out by the frequent words of the others.
 OWN_WORDS = 4_000
 SCRIPTS = ["bn" if c == "bn" else "hi" if c == "hi" else "latn" for c in COMPONENTS]
@@ -55,7 +54,7 @@ _TOKEN = re.compile(r"[^\s\d!-/:-@\[-`{-~০-৯०-९।॥‘’“”„«»
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(plain(text).translate(LOOKALIKE).lower())
+    return _TOKEN.findall(latinised(plain(text)).lower())
 
 
 def _grams(word: str) -> list[int]:
@@ -68,14 +67,6 @@ def _script(word: str) -> str:
     return "bn" if "ঀ" <= c <= "৿" else "hi" if "ऀ" <= c <= "ॿ" else "latn"
 
 
-def _unspoken(paragraphs: list[list[str]]) -> np.ndarray:
-    """Log-likelihoods of paragraphs of n words to hold no function word of a borrowed component; 0 for those that hold one."""
-    out = np.zeros((len(paragraphs), len(COMPONENTS)))
-    for j, own in BORROWED.items():
-        out[:, j] = [UNSPOKEN * len(p) if own.isdisjoint(p) else 0.0 for p in paragraphs]
-    return out
-
-
 class LanguageModel:
     """Log-likelihood vectors of words, one value a component; size bounded by WORDS and BUCKETS."""
 
@@ -108,27 +99,38 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """The paragraphs of some documents: word numbers, their runs, and the trigrams of the distinct words."""
+    """The paragraphs that hold words of some documents: word numbers, their runs, the trigrams of the distinct words, and whose paragraphs they are."""
 
-    def __init__(self, words: list[str], ids: np.ndarray, sizes: np.ndarray, gram_id: np.ndarray, gram_sizes: np.ndarray):
-        self.words, self.ids, self.gram_id = words, ids, gram_id
+    #: Documents and characters a chunk is filled with.
+    DOCUMENTS, CHARACTERS = 1000, 2_000_000
+    FIELDS = "words array<string>, ids array<int>, sizes array<int>, gram_id array<int>, gram_sizes array<int>, doc array<int>, place array<int>"
+
+    def __init__(self, words: list[str], ids: np.ndarray, sizes: np.ndarray, gram_id: np.ndarray, gram_sizes: np.ndarray, doc: np.ndarray, place: np.ndarray):
+        self.words, self.ids, self.gram_id, self.doc, self.place = words, ids, gram_id, doc, place
         self.sizes, self.offsets, self.gram_off = sizes, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.concatenate([[0], np.cumsum(gram_sizes)]).astype(np.int64)
         self.para, self.gram_word = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(words)), gram_sizes)
 
     @staticmethod
-    def arrays(texts: list[str]) -> tuple[list[str], list[int], list[int], list[int], list[int]]:
+    def arrays(texts: list[str]) -> tuple[list[str], list[int], list[int], list[int], list[int], list[int], list[int]]:
         vocabulary: dict[str, int] = {}
-        ids, sizes = [], []
-        for text in texts:
-            for p in text.split("\n\n"):
+        ids, sizes, doc, place = [], [], [], []
+        for d, text in enumerate(texts):
+            for k, p in enumerate(text.split("\n\n"), 1):
                 if t := tokens(p):
                     ids += [vocabulary.setdefault(w, len(vocabulary)) for w in t]
                     sizes.append(len(t))
+                    doc.append(d)
+                    place.append(k)
         grams = [_grams(w) for w in vocabulary]
-        return list(vocabulary), ids, sizes, [x for g in grams for x in g], [len(g) for g in grams]
+        return list(vocabulary), ids, sizes, [x for g in grams for x in g], [len(g) for g in grams], doc, place
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Chunk:
+        words, *numbers = cls.arrays(texts)
+        return cls(words, *[np.array(x, np.int64) for x in numbers])
 
     def unspoken(self) -> np.ndarray:
-        """As ``_unspoken``, from the numbers of the words."""
+        """Log-likelihoods of paragraphs of n words to hold no function word of a borrowed component; 0 for those that hold one."""
         out = np.zeros((len(self.sizes), len(COMPONENTS)))
         for j, own in BORROWED.items():
             has = np.array([w in own for w in self.words], float)
@@ -156,10 +158,14 @@ class Chunk:
         r[(hits.max(1) == 0) & (fits[:, 0] == 0)] = 0.0  # Latin letters, no function word: wait
         return r, ((hits >= 4) & (hits > np.sort(hits, 1)[:, [-2]])).sum(0)
 
-    def judge(self, model: LanguageModel, prior: np.ndarray) -> np.ndarray:
+    def likelihoods(self, model: LanguageModel) -> np.ndarray:
+        """Log-likelihoods of the paragraphs, a column a component."""
         known = np.vstack([model.word_p, np.zeros((1, len(COMPONENTS)))])[[model.words.get(w, -1) for w in self.words]]
         logp = model.blended(known, _sums(model.gram_log[self.gram_id], self.gram_off))
-        return _softmax(_sums(logp[self.ids], self.offsets) + prior + self.unspoken())
+        return _sums(logp[self.ids], self.offsets) + self.unspoken()
+
+    def judge(self, model: LanguageModel, prior: np.ndarray) -> np.ndarray:
+        return _softmax(self.likelihoods(model) + prior)
 
 
 class Totals:
@@ -209,12 +215,17 @@ def _absent(clear: np.ndarray) -> np.ndarray:
     return (clear == 0) & np.array([x == "latn" for x in SCRIPTS])
 
 
+def _still(before: np.ndarray, now: np.ndarray) -> bool:
+    """Whether the shares of the components no longer change: by under a thousandth of themselves, or of all paragraphs by under one in 100,000."""
+    p, q = np.exp(before), np.exp(now)
+    return bool((np.abs(p - q) <= np.maximum(1e-3 * p, 1e-5)).all())
+
+
 def fit(texts: list[str], rounds: int = 8) -> LanguageModel:
-    """EM over the paragraphs of some texts, in one process."""
-    arrays = Chunk.arrays(texts)
-    if not arrays[1]:
+    """EM over the paragraphs of some texts, in one process; as many as ``rounds``, or until the shares stand still."""
+    chunk = Chunk.of(texts)
+    if not len(chunk.ids):
         return LanguageModel({}, np.zeros((0, len(COMPONENTS))), np.full((BUCKETS, len(COMPONENTS)), -np.log(BUCKETS)))
-    chunk = Chunk(arrays[0], *[np.array(x, np.int64) for x in arrays[1:]])
     count = np.bincount(chunk.ids)
     first = Totals()
     n = first.add(chunk, *chunk.start())
@@ -226,40 +237,55 @@ def fit(texts: list[str], rounds: int = 8) -> LanguageModel:
     for _ in range(rounds - 1):
         totals = Totals(len(words))
         totals.add_judged(chunk, model, prior)
+        before = prior
         model, prior = _model(words, totals, absent)
+        if _still(before, prior):
+            break
     return model
 
 
-def fit_all(df: DataFrame, text: str, rounds: int = 8) -> LanguageModel:
-    """EM over the paragraphs of all documents of a table.
+def split_all(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The documents of a table as rows of chunks, their words split once, kept in the shared folder."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, start, held = batch.column(1).to_pylist(), 0, 0
+            for end, t in enumerate(texts, 1):
+                held += len(t)
+                if end == len(texts) or end - start == Chunk.DOCUMENTS or held + len(texts[end]) > Chunk.CHARACTERS:
+                    keys, arrays = batch.column(0).slice(start, end - start), Chunk.arrays(texts[start:end])
+                    columns = [pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)]
+                    columns += [pa.array([x], pa.list_(t)) for x, t in zip(arrays, [pa.string(), *[pa.int32()] * 6], strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["keys", "words", "ids", "sizes", "gram_id", "gram_sizes", "doc", "place"])
+                    start, held = end, 0
 
-    The words are split once and kept in the shared folder; a round is one pass over them that adds
-    up counts of BUCKETS trigrams and of the words that are the WORDS most frequent ones or among
-    the OWN_WORDS most frequent of a component.  Only these sums reach the driver.
+    return materialise(spread(df.select(key, text)).mapInArrow(split, f"keys array<{kind}>, {Chunk.FIELDS}"))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Chunk]]:
+    for batch in batches:
+        for i in range(len(batch)):
+            numbers = [batch.column(j)[i].values.to_numpy(zero_copy_only=False).astype(np.int64) for j in range(2, 8)]
+            yield batch.column(0)[i].values, Chunk(batch.column(1)[i].values.to_pylist(), *numbers)
+
+
+def fit_all(held: DataFrame, rounds: int = 8) -> LanguageModel:
+    """EM over the paragraphs of all documents of a table (``split_all``); as many as ``rounds``, or until the shares stand still.
+
+    A round is one pass over the split words that adds up counts of BUCKETS trigrams and of the words that are
+    the WORDS most frequent ones or among the OWN_WORDS most frequent of a component.  Only these sums reach the driver.
     """
     k = len(COMPONENTS)
     sums = [f"c{j}" for j in range(k)]
     fields = ", ".join(f"{c} double" for c in sums)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for start in range(0, len(big), 1000):
-                arrays = Chunk.arrays(big.column(0).slice(start, 1000).to_pylist())
-                if arrays[1]:
-                    columns = [pa.array([x], pa.list_(t)) for x, t in zip(arrays, [pa.string(), *[pa.int32()] * 4], strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["words", "ids", "sizes", "gram_id", "gram_sizes"])
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-        for batch in batches:
-            for i in range(len(batch)):
-                numbers = [batch.column(j)[i].values.to_numpy(zero_copy_only=False).astype(np.int64) for j in range(1, 5)]
-                yield Chunk(batch.column(0)[i].values.to_pylist(), *numbers)
-
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = Totals()
-        for chunk in chunks(batches):
-            n = totals.add(chunk, *chunk.start())
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(n), pa.int32()), pa.array(chunk.words, pa.string()), pa.array(np.bincount(chunk.ids).astype(float)), *map(pa.array, n.T.copy())], ["at", "word", "n", *sums])
+        for _, chunk in _chunks(batches):
+            if len(chunk.ids):
+                n = totals.add(chunk, *chunk.start())
+                yield pa.RecordBatch.from_arrays([pa.array([-1] * len(n), pa.int32()), pa.array(chunk.words, pa.string()), pa.array(np.bincount(chunk.ids).astype(float)), *map(pa.array, n.T.copy())], ["at", "word", "n", *sums])
         at, values = totals.rows()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([""] * len(at), pa.string()), pa.array(np.zeros(len(at))), *map(pa.array, values.T.copy())], ["at", "word", "n", *sums])
 
@@ -267,7 +293,6 @@ def fit_all(df: DataFrame, text: str, rounds: int = 8) -> LanguageModel:
         found = rows.select("at", *sums).toArrow()
         return Totals.of(found.column(0).to_numpy(), np.stack([found.column(j + 1).to_numpy() for j in range(k)], 1), size)
 
-    held = materialise(spread(df.select(text)).mapInArrow(split, "words array<string>, ids array<int>, sizes array<int>, gram_id array<int>, gram_sizes array<int>"))
     counts = materialise(held.mapInArrow(seeded, f"at int, word string, n double, {fields}").groupBy("at", "word").agg(*[F.sum(c).alias(c) for c in ["n", *sums]]))
     first = collected(counts.filter("at >= 0"), 0)
     repeated = counts.filter("at < 0 and n > 1")
@@ -283,77 +308,72 @@ def fit_all(df: DataFrame, text: str, rounds: int = 8) -> LanguageModel:
 
         def judged(batches: Iterator[pa.RecordBatch], model=model, prior=prior) -> Iterator[pa.RecordBatch]:
             totals = Totals(len(model.words))
-            for chunk in chunks(batches):
-                totals.add_judged(chunk, model, prior)
+            for _, chunk in _chunks(batches):
+                if len(chunk.ids):
+                    totals.add_judged(chunk, model, prior)
             at, values = totals.rows()
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *map(pa.array, values.T.copy())], ["at", *sums])
 
         rows = held.mapInArrow(judged, f"at int, {fields}").groupBy("at").agg(*[F.sum(c).alias(c) for c in sums])
+        before = prior
         model, prior = _model(words, collected(rows, len(words)), absent)
+        if _still(before, prior):
+            break
     return model
 
 
+def decide(chunk: Chunk, model: LanguageModel, n: int, rounds: int = 12, penalty: float = 6.0, min_words: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(main language of each of the ``n`` documents of a chunk or -1, its share, language of each paragraph, its probability), as numbers of CODES.
+
+    A paragraph of fewer than ``min_words`` words (a menu, a name) follows the document.
+    """
+    size, doc = chunk.sizes.astype(float), chunk.doc
+    fine = chunk.likelihoods(model)
+    like = np.full((len(size), len(CODES)), -np.inf)
+    for j, owner in enumerate(OWNER):  # a language is as likely as the better of its scripts
+        like[:, owner] = np.maximum(like[:, owner], fine[:, j])
+    first = np.searchsorted(doc, np.arange(n + 1))
+    weight = _sums(size[:, None], first)[:, 0]
+    share = np.full((n, len(CODES)), 1 / len(CODES))
+    for _ in range(rounds):
+        r = _softmax(like + np.log(share[doc] + 1e-9))
+        share = (_sums(r * size[:, None], first) + 0.5) / (weight[:, None] + 0.5 * len(CODES))
+    # penalised choice of the set of languages
+    main = share.argmax(1)
+    base = like[np.arange(len(size)), main[doc]]
+    gain = _sums(np.maximum(like - base[:, None], 0.0), first)
+    kept = gain > penalty + np.log1p(weight[:, None])
+    kept[np.arange(n), main] = True
+    r = _softmax(np.where(kept[doc], like + np.log(share[doc] + 1e-9), -1e9))
+    total = _sums(r * size[:, None], first)
+    main = total.argmax(1)
+    best, sure = r.argmax(1), r.max(1)
+    short = size < min_words
+    best[short], sure[short] = main[doc][short], r[short, main[doc][short]]
+    confidence = total[np.arange(n), main] / np.maximum(weight, 1.0)
+    return np.where(weight > 0, main, -1), confidence, best, sure
+
+
 class Judge:
-    """Per-document EM; one a worker, with a bounded table of word vectors."""
+    """Languages of texts in one process."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.row, self.table = model, {}, np.zeros((4096, len(COMPONENTS)), np.float32)
-
-    def _id(self, word: str) -> int:
-        at = self.row.get(word)
-        if at is None:
-            if len(self.row) == len(self.table):
-                self.table = np.vstack([self.table, np.zeros_like(self.table)])
-            at = self.row[word] = len(self.row)
-            self.table[at] = self.model.vector(word)
-        return at
-
-    def documents(self, bodies: list[str], rounds: int = 12, penalty: float = 6.0, min_words: int = 4) -> list[list[tuple[int, str | None, float]]]:
+        self.model = model
+
+    def documents(self, bodies: list[str], **settings) -> list[list[tuple[int, str | None, float]]]:
         """For each body [(0, main language, confidence), (k, language, confidence) for each paragraph k, from 1].
 
-        A paragraph of fewer than ``min_words`` words (a menu, a name) follows the document.
         A paragraph without words has the language None and confidence 0; so has a body without any words.
         """
-        if len(self.row) > TABLE:
-            self.row.clear()
-        parts = [b.split("\n\n") for b in bodies]
-        words = [tokens(p) for ps in parts for p in ps]
-        doc = np.repeat(np.arange(len(bodies)), [len(ps) for ps in parts])
-        first = np.concatenate([[0], np.cumsum([len(ps) for ps in parts])]).astype(np.int64)
-        size = np.array([sum(map(len, w)) for w in words], float)
-        count = np.array([len(w) for w in words], float)
-        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-        ids = np.fromiter((self._id(w) for ws in words for w in ws), np.int64, int(offsets[-1]))
-        fine = _sums(self.table[ids], offsets) + _unspoken(words)
-        like = np.full((len(words), len(CODES)), -np.inf)
-        for j, owner in enumerate(OWNER):  # a language is as likely as the better of its scripts
-            like[:, owner] = np.maximum(like[:, owner], fine[:, j])
-        share = np.full((len(bodies), len(CODES)), 1 / len(CODES))
-        weight = _sums(size[:, None], first)[:, 0]
-        for _ in range(rounds):
-            r = _softmax(like + np.log(share[doc] + 1e-9))
-            share = (_sums(r * size[:, None], first) + 0.5) / (weight[:, None] + 0.5 * len(CODES))
-        # penalised choice of the set of languages
-        main = share.argmax(1)
-        base = like[np.arange(len(words)), main[doc]]
-        gain = _sums(np.maximum(like - base[:, None], 0.0), first)
-        limit = penalty + np.log1p(_sums(count[:, None], first))
-        kept = gain > limit
-        kept[np.arange(len(bodies)), main] = True
-        r = _softmax(np.where(kept[doc], like + np.log(share[doc] + 1e-9), -1e9))
-        total = _sums(r * size[:, None], first)
-        main = total.argmax(1)
-        best, sure = r.argmax(1), r.max(1)
-        short = count < min_words
-        best[short], sure[short] = main[doc][short], r[short, main[doc][short]]
-        out = []
-        for d in range(len(bodies)):
-            if weight[d] == 0:
-                out.append([(0, None, 0.0), *[(i + 1, None, 0.0) for i in range(first[d + 1] - first[d])]])
-                continue
-            rows = [(0, CODES[main[d]], float(total[d, main[d]] / weight[d]))]
-            rows += [(i - first[d] + 1, CODES[best[i]] if count[i] else None, float(sure[i]) if count[i] else 0.0) for i in range(first[d], first[d + 1])]
-            out.append(rows)
+        chunk = Chunk.of(bodies)
+        out = [[(k, None, 0.0) for k in range(b.count("\n\n") + 2)] for b in bodies]
+        if len(chunk.ids):
+            main, share, best, sure = decide(chunk, self.model, len(bodies), **settings)
+            for d, rows in enumerate(out):
+                if main[d] >= 0:
+                    rows[0] = (0, CODES[main[d]], float(share[d]))
+            for d, k, b, s in zip(chunk.doc, chunk.place, best, sure, strict=True):
+                out[d][k] = (int(k), CODES[b], float(s))
         return out
 
 
@@ -364,23 +384,20 @@ def identify(df: DataFrame, key: str, text: str) -> DataFrame:
     with null language and confidence 0.  Every document has its part in the model and is judged, whole.
     """
     solid = df.filter(F.col(text).rlike("[^\\s\\u00a0\\u3000]")).select(key, text)
-    model = fit_all(solid, text)
+    held = split_all(solid, key, text)
+    model = fit_all(held)
     kind = df.schema[key].dataType.simpleString()
+    codes = pa.array([*CODES, None], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(model)
-        for big in batches:
-            for start in range(0, len(big), 500):
-                batch = big.slice(start, 500)
-                at, rows = [], []
-                for i, found in enumerate(judge.documents(batch.column(1).to_pylist())):
-                    main = found[0][1]
-                    for row in found:
-                        if row[0] == 0 or (row[1] is not None and row[1] != main):
-                            at.append(i)
-                            rows.append(row)
-                columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-                arrays = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "segment", "language", "confidence"])
-
-    return spread(solid).mapInArrow(run, f"`{key}` {kind}, segment long, language string, confidence double")
+        for keys, chunk in _chunks(batches):
+            n = len(keys)
+            main, share, best, sure = decide(chunk, model, n) if len(chunk.ids) else (np.full(n, -1), np.zeros(n), *[np.zeros(0)] * 2)
+            other = np.flatnonzero(best != main[chunk.doc]) if len(chunk.ids) else np.zeros(0, np.int64)
+            at = np.concatenate([np.arange(n), chunk.doc[other]]).astype(np.int64)
+            segment = np.concatenate([np.zeros(n), chunk.place[other]]).astype(np.int64)
+            language = np.concatenate([np.where(main < 0, len(CODES), main), best[other]]).astype(np.int64)
+            confidence = np.concatenate([np.where(main < 0, 0.0, share), sure[other]]).astype(float)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(segment), codes.take(pa.array(language)), pa.array(confidence)], ["key", "segment", "language", "confidence"])
+
+    return held.mapInArrow(run, f"`{key}` {kind}, segment long, language string, confidence double")

@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -42,17 +43,21 @@ _TWINNED = frozenset(map(ord, LOOKALIKE.values()))
 
 # Characters without a look of their own.
 INVISIBLE = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10)]
-_DROP = dict.fromkeys(INVISIBLE)
-BLANKS = re.compile(r"[^\S\n]+")
+_HIDDEN = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]+")
+#: Runs of blanks other than a single space.
+BLANKS = re.compile(r"[^\S\n ][^\S\n]*| [^\S\n]+")
 _ODD = re.compile("[^\x00-\x7fऀ-৿‐-‧‰-›]")
 # letters that a joiner shapes visibly (ya-phala after ra) keep it
 _SHAPED = re.compile("র‍(?=্)")
 _KEEP = ""
+#: Characters above the Latin ones that are neither Indic nor plain punctuation: those that may have another form.
+_FORMED = re.compile("[^\x00-\u024fऀ-৿‐-‧‰-›]")
 _WIDE = ("<wide>", "<narrow>", "<noBreak>")
 _OTHER = re.compile("[\u0370-\u058f]")
 _TOKEN = re.compile(r"[^\W\d_][^\W\d_̀-ͯ'’]*", re.UNICODE)
 
 
+@lru_cache(maxsize=100_000)
 def _form(ch: str) -> str:
     kind = unicodedata.decomposition(ch).partition(" ")[0]
     if kind in _WIDE or 0xFB00 <= ord(ch) <= 0xFB06:
@@ -63,13 +68,22 @@ def _form(ch: str) -> str:
 def plain(text: str) -> str:
     """The text without differences that cannot be seen; blanks become single spaces, line feeds stay."""
     if _ODD.search(text):
-        text = _SHAPED.sub("র" + _KEEP, text).translate(_DROP)
-        text = "".join(_form(c) if ord(c) > 0xA0 else c for c in text)
+        text = _HIDDEN.sub("", _SHAPED.sub("র" + _KEEP, text))
+        text = _FORMED.sub(lambda m: _form(m[0]), text)
         text = unicodedata.normalize("NFC", text).replace(_KEEP, "‍")
     elif not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
-    lines = (BLANKS.sub(" ", line).strip() for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"))
-    return "\n".join(lines).strip("\n")
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    text = BLANKS.sub(" ", text)
+    if " \n" in text or "\n " in text:
+        text = text.replace(" \n", "\n").replace("\n ", "\n")
+    return text.strip("\n ")
+
+
+def latinised(text: str) -> str:
+    """The text with all look-alikes in Latin letters, for comparisons that do not ask for the script."""
+    return text.translate(LOOKALIKE) if _OTHER.search(text) else text
 
 
 def _latin(ch: str) -> bool:

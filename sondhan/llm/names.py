@@ -6,7 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from sondhan.llm.lookalike import LOOKALIKE
+from sondhan.llm.lookalike import latinised
 
 # Bangla letters in Latin ones (consonants carry no vowel of their own here).
 CONSONANTS = dict(zip(
@@ -75,7 +75,7 @@ def parts(name: str) -> tuple[str, tuple[str, ...]] | None:
     None for a name without a letter.  Titles, brackets, possessives and the order of parts are dropped
     (tokens stay in the written order of the form "given family"; "family, given" is turned round).
     """
-    s = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", name).translate(LOOKALIKE)).lower()
+    s = unicodedata.normalize("NFC", latinised(unicodedata.normalize("NFKC", name))).lower()
     s = _OWNER.sub("", _BRACKETS.sub(" ", s)).strip()
     if s.count(",") == 1:
         a, b = s.split(",")

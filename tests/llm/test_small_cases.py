@@ -100,8 +100,8 @@ def test_words_are_read_whole_and_unspoken_paragraphs_are_less_likely_not_barred
     assert len(languages._grams(long)) == 72 and np.ptp(model.vector(long)) > 5  # a word of 72 letters still says something
     assert np.ptp(model.vector("x" * 100_000)) <= languages.LOUDEST + 1e-3
     j = languages.COMPONENTS.index("bn_latn")
-    gone = languages._unspoken([["porikolpona", "bereche"], ["kore", "bereche"], []])[:, j]
-    assert gone[0] == 2 * languages.UNSPOKEN and gone[1] == gone[2] == 0
+    gone = languages.Chunk.of(["porikolpona bereche\n\nkore bereche"]).unspoken()[:, j]
+    assert gone[0] == 2 * languages.UNSPOKEN and gone[1] == 0
     spoken = " ".join(w for w in ROMAN.replace(",", "").replace(".", "").split() if w not in languages.BORROWED[j])
     assert languages.Judge(model).documents([spoken])[0][0][1] == "bn"  # no function word, but its words say so
 
