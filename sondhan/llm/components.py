@@ -25,9 +25,21 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("n")), F.struct(F.col("b").alias("v"), F.col("a").alias("n")))).alias("e")).select("e.v", "e.n")
 
 
-def _relabel(edges: DataFrame, rep: DataFrame) -> DataFrame:
-    left = edges.join(rep.withColumnRenamed("v", "a"), "a").select(F.col("r").alias("a"), "b")
-    both = left.join(rep.withColumnRenamed("v", "b"), "b").select("a", F.col("r").alias("b")).filter("a <> b")
+def _take(edges: DataFrame, end: str, rep: DataFrame, hot: DataFrame) -> DataFrame:
+    """``edges`` with the representatives of the vertices in column ``end``.
+
+    The few vertices of very many edges are looked up by broadcast, so their edges stay where they are;
+    only the rest is shuffled by vertex.
+    """
+    named = hot.select(F.col("v").alias(end), F.col("r").alias("__hot"))
+    known = edges.join(F.broadcast(named), end, "left")
+    done = known.filter("__hot is not null").withColumn(end, F.col("__hot")).drop("__hot")
+    left = known.filter("__hot is null").drop("__hot").join(rep.withColumnRenamed("v", end), end)
+    return done.unionByName(left.withColumn(end, F.col("r")).drop("r"))
+
+
+def _relabel(edges: DataFrame, rep: DataFrame, hot: DataFrame) -> DataFrame:
+    both = _take(_take(edges, "a", rep, hot), "b", rep, hot).filter("a <> b")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -40,12 +52,14 @@ def expand(maps: list[DataFrame]) -> DataFrame:
     return final
 
 
-def connected_components(edges: DataFrame, left: str, right: str, seed: int = 7, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str, seed: int = 7, max_rounds: int = 200, hot_vertices: int = 10_000) -> DataFrame:
     """(vertex, component) for every vertex of an edge with two different ends.
 
     ``component`` is the smallest vertex of the group.  Null ends and loops are
     ignored, repeated edges and both directions count once, no edges give no rows.
-    Orders of the vertices are those of their type (binary order for strings).
+    Orders of the vertices are those of their type (binary order for strings).  A vertex of more than
+    2 / ``hot_vertices`` of the edges' ends (and 1,000) counts as hot: there are fewer than ``hot_vertices`` of them, so
+    their table may be broadcast at any size.
     """
     pair = edges.select(F.col(left).alias("x"), F.col(right).alias("y")).filter("x is not null and y is not null and x <> y")
     work = checkpoint(pair.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
@@ -53,10 +67,12 @@ def connected_components(edges: DataFrame, left: str, right: str, seed: int = 7,
     for turn in range(max_rounds):
         if not work.take(1):
             break
-        best = _both_ways(work).groupBy("v").agg(F.min(_order(F.col("n"), seed + turn)).alias("m"))
-        rep = checkpoint(best.select("v", F.least(F.col("m"), _order(F.col("v"), seed + turn))["v"].alias("r")))
+        best = _both_ways(work).groupBy("v").agg(F.min(_order(F.col("n"), seed + turn)).alias("m"), F.count(F.lit(1)).alias("degree"))
+        rep = checkpoint(best.select("v", F.least(F.col("m"), _order(F.col("v"), seed + turn))["v"].alias("r"), "degree"))
+        hot = rep.filter(F.col("degree") > max(1000, 2 * (2 * work.count()) // hot_vertices))
+        rep = rep.select("v", "r")
         maps.append(rep)
-        work = checkpoint(_relabel(work, rep))
+        work = checkpoint(_relabel(work, rep, hot))
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
     if not maps:

@@ -29,6 +29,8 @@ from sondhan.session import spread
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNKS = r" ?\S+|\s+(?!\S)|\s+"
 TABLE = 400_000
+#: Chunks and pieces of more characters are merged afresh each time: a table of TABLE entries of up to so many is a bounded number of bytes.
+MEMO_CHARACTERS = 200
 OUT_TOKENS = 1_000_000
 
 
@@ -45,9 +47,11 @@ class _Memo(dict):
         self.make = make
 
     def __missing__(self, key: str):
-        if len(self) >= TABLE:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= MEMO_CHARACTERS:
+            if len(self) >= TABLE:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -102,8 +106,9 @@ class ByteBpe:
 _LOADED: dict[str, ByteBpe] = {}
 
 
-def load(path: str) -> ByteBpe:
-    """The worker's copy of a vocabulary."""
+def load(path: str | None) -> ByteBpe:
+    """The worker's copy of a vocabulary; without a path the worker's own installation is asked for it."""
+    path = path or default_vocabulary()
     if path not in _LOADED:
         _LOADED[path] = ByteBpe(path)
     return _LOADED[path]
@@ -115,7 +120,6 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataF
     Null and empty texts give an empty list; texts are encoded whole, without special
     tokens, and strings that look like special tokens are ordinary text.
     """
-    path = path or default_vocabulary()
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +147,6 @@ def _lists(keys: pa.Array, sizes: list[int], parts: list[bytes]) -> pa.RecordBat
 
 def count_tokens(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """(key, n_tokens int), 0 for null and empty texts."""
-    path = path or default_vocabulary()
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +160,6 @@ def count_tokens(df: DataFrame, key: str, text: str, path: str | None = None) ->
 
 def decode(df: DataFrame, key: str, ids: str, path: str | None = None) -> DataFrame:
     """(key, text): the texts again; null ids give null."""
-    path = path or default_vocabulary()
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

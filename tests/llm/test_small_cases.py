@@ -53,6 +53,13 @@ def test_components_equal_union_find(spark):
     assert components.connected_components(df.filter("a = 'nope'"), "a", "b").count() == 0
 
 
+def test_hot_vertices_are_looked_up_apart(spark):
+    pairs = [("hub", f"leaf{i:04d}") for i in range(1500)] + [(f"leaf{i:04d}", f"tail{i:04d}") for i in range(0, 1500, 50)] + [("x", "y")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = {r.vertex: r.component for r in components.connected_components(df, "a", "b", hot_vertices=10).collect()}
+    assert got == {v: "x" if v in "xy" else "hub" for p in pairs for v in p}
+
+
 def test_ties_follow_the_statement(spark):
     r = spark.createDataFrame([("E1", ["Ab", "-"]), ("E2", ["Ab", None, ""]), ("E3", ["ab", "-", " "]), ("E4", None), ("E5", []), ("E6", ["!"]), ("E7", ["!"])], "entity_id string, aliases array<string>")
     m = spark.createDataFrame([("E3", "E4", True), ("E4", "E3", True), ("E5", "E6", False), ("E5", "E7", None), ("E9", "E1", True), (None, "E1", True), ("E5", "E5", True)], "left_id string, right_id string, matched boolean")
@@ -344,6 +351,11 @@ def test_ids_equal_the_public_library_and_round_trip(spark):
     assert [back[i] for i in range(len(texts))] == texts
 
 
+def test_long_pieces_are_not_kept():
+    bpe = tokens.ByteBpe(tokens.default_vocabulary())
+    assert bpe.decode(bpe.encode("ab" * 5000 + " ok")) == "ab" * 5000 + " ok" and max(map(len, bpe.chunk)) <= tokens.MEMO_CHARACTERS
+
+
 def test_packing_splits_only_what_is_too_long(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice([0, None, 2048, 2049, 5000, 100_001] + [rng.randint(1, 900)] * 30)) for i in range(500)] + [(7, 10), (7, 10)]
