@@ -25,12 +25,14 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("n")), F.struct(F.col("b").alias("v"), F.col("a").alias("n")))).alias("e")).select("e.v", "e.n")
 
 
-def _take(edges: DataFrame, end: str, rep: DataFrame, hot: DataFrame) -> DataFrame:
+def _take(edges: DataFrame, end: str, rep: DataFrame, hot: DataFrame | None) -> DataFrame:
     """``edges`` with the representatives of the vertices in column ``end``.
 
     The few vertices of very many edges are looked up by broadcast, so their edges stay where they are;
     only the rest is shuffled by vertex.
     """
+    if hot is None:
+        return edges.join(rep.withColumnRenamed("v", end), end).withColumn(end, F.col("r")).drop("r")
     named = hot.select(F.col("v").alias(end), F.col("r").alias("__hot"))
     known = edges.join(F.broadcast(named), end, "left")
     done = known.filter("__hot is not null").withColumn(end, F.col("__hot")).drop("__hot")
@@ -38,7 +40,7 @@ def _take(edges: DataFrame, end: str, rep: DataFrame, hot: DataFrame) -> DataFra
     return done.unionByName(left.withColumn(end, F.col("r")).drop("r"))
 
 
-def _relabel(edges: DataFrame, rep: DataFrame, hot: DataFrame) -> DataFrame:
+def _relabel(edges: DataFrame, rep: DataFrame, hot: DataFrame | None) -> DataFrame:
     both = _take(_take(edges, "a", rep, hot), "b", rep, hot).filter("a <> b")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -65,14 +67,16 @@ def connected_components(edges: DataFrame, left: str, right: str, seed: int = 7,
     work = checkpoint(pair.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     maps: list[DataFrame] = []
     for turn in range(max_rounds):
-        if not work.take(1):
-            break
         best = _both_ways(work).groupBy("v").agg(F.min(_order(F.col("n"), seed + turn)).alias("m"), F.count(F.lit(1)).alias("degree"))
         rep = checkpoint(best.select("v", F.least(F.col("m"), _order(F.col("v"), seed + turn))["v"].alias("r"), "degree"))
-        hot = rep.filter(F.col("degree") > max(1000, 2 * (2 * work.count()) // hot_vertices))
-        rep = rep.select("v", "r")
-        maps.append(rep)
-        work = checkpoint(_relabel(work, rep, hot))
+        maps.append(rep.select("v", "r"))
+        ends, most = rep.agg(F.coalesce(F.sum("degree"), F.lit(0)), F.coalesce(F.max("degree"), F.lit(0))).first()
+        if not ends:
+            maps.pop()
+            break
+        limit = max(1000, 2 * ends // hot_vertices)
+        hot = rep.filter(F.col("degree") > limit).select("v", "r") if most > limit else None
+        work = checkpoint(_relabel(work, maps[-1], hot))
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
     if not maps:
