@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sondhan.functions.text import jaccard, trigrams
-
-
-SALTS = 16
+from sondhan.operators.blocks import block_join
+from sondhan.session import materialise
 
 
 def lcs_ratio(a: str, b: str) -> float:
@@ -49,28 +49,67 @@ def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def lcs_ratios(term: str, letters: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``lcs_ratio`` of a term of up to 63 letters with many words at once.
+
+    ``codes``: one row a word, numbers into ``letters``, filled up with the number of a letter no term has; ``sizes``: their lengths.
+    """
+    where = {c: sum(1 << i for i, x in enumerate(term) if x == c) for c in set(term)}
+    table = np.array([where.get(chr(c), 0) if c else 0 for c in letters], np.uint64)
+    full = np.uint64((1 << len(term)) - 1)
+    s = np.full(len(codes), full, np.uint64)
+    for j in range(codes.shape[1]):
+        u = s & table[codes[:, j]]
+        s = ((s + u) | (s - u)) & full
+    return 200.0 * (len(term) - np.bitwise_count(s)) / (len(term) + sizes)
+
+
+def _ratio_block(low: float, threshold: float):
+    def run(terms: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[list, np.ndarray, np.ndarray]] = []
+        words = words.assign(n=words["word"].str.len()).sort_values("n", kind="stable") if len(words) else words
+        if len(words) and len(terms):
+            names, sizes = words["word"].to_numpy(), words["n"].to_numpy()
+            short = sizes < 200  # longer words are few and measured one by one
+            letters, codes = np.unique(np.array(names[short].tolist() or [""], dtype="U").view(np.uint32).reshape(max(1, short.sum()), -1), return_inverse=True)
+            codes = codes.reshape(max(1, short.sum()), -1)
+            for term in terms["term"]:
+                a, b = np.searchsorted(sizes, [low * len(term) - 1e-9, len(term) / low + 1e-9])
+                c = min(b, int(short.sum())) if len(term) < 64 and "\0" not in term else a
+                ratio = np.zeros(b - a)
+                if c > a:
+                    ratio[: c - a] = lcs_ratios(term, letters, codes[a:c, : int(sizes[c - 1])], sizes[a:c])
+                for i in range(max(a, c), b):
+                    ratio[i - a] = lcs_ratio(term, names[i])
+                ratio = np.round(ratio)
+                at = np.flatnonzero(ratio >= threshold)
+                found.append(([term] * len(at), names[a:b][at], ratio[at]))
+        flat = [x for f in found for x in f[0]]
+        return pd.DataFrame({"term": flat, "word": np.concatenate([f[1] for f in found]) if flat else [], "sim": np.concatenate([f[2] for f in found]) if flat else np.zeros(0)})
+
+    return run
+
+
 def vocabulary_match(terms: DataFrame, vocab: DataFrame, threshold: float = 70.0, ratio: bool = True) -> DataFrame:
     """(term, word, sim): words of the vocabulary as similar to a term as ``threshold`` or more.
 
     Similarity is the greater of trigram Jaccard (times 100) and, with ``ratio``, the
-    rounded LCS ratio.  Jaccard pairs meet on a shared trigram; ratio pairs meet within
-    the band of lengths the threshold allows and are measured in Arrow batches.  No pair is lost.
+    rounded LCS ratio.  Jaccard pairs meet on a shared trigram; for the ratio the terms, which are a stated set, meet the vocabulary in
+    blocks and are measured within the band of lengths the threshold allows, all words of a block at once.  No pair is lost.
     """
     t = terms.select(F.lower("term").alias("term")).distinct().filter("term <> ''").withColumn("tg", F.array_distinct(trigrams(F.col("term"))))
-    v = vocab.select(F.lower("word").alias("word")).distinct().filter("word <> ''").withColumn("wg", F.array_distinct(trigrams(F.col("word"))))
-    met = t.select("term", F.explode("tg").alias("g")).join(v.select("word", F.explode("wg").alias("g")), "g").select("term", "word")
-    if ratio:
-        low = (threshold - 0.5) / (200 - (threshold - 0.5))
-        n = F.length("term")
-        lengths = F.sequence(F.ceil(low * n - 1e-9).cast("int"), F.floor(n / low + 1e-9).cast("int"))
-        salts = F.sequence(F.lit(0), F.lit(SALTS - 1))  # word lengths are few: one length may hold a third of the vocabulary
-        a = t.select("term", F.explode(lengths).alias("n")).withColumn("salt", F.explode(salts))
-        b = v.select("word", F.length("word").alias("n"), F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int").alias("salt"))
-        banded = a.join(b, ["n", "salt"]).select("term", "word").withColumn("ratio", F.bround(lcs_ratio_udf("term", "word"), 0)).filter(F.col("ratio") >= threshold)
-        met = met.unionByName(banded.select("term", "word"))
-    met = met.distinct().withColumn("jac", 100 * jaccard(F.array_distinct(trigrams(F.col("term"))), F.array_distinct(trigrams(F.col("word")))))
-    sim = F.greatest(F.col("jac"), F.bround(lcs_ratio_udf("term", "word"), 0)) if ratio else F.col("jac")
-    return met.withColumn("sim", sim).filter(F.col("sim") >= threshold).select("term", "word", "sim")
+    v = vocab.select(F.lower("word").alias("word")).distinct().filter("word <> ''")
+    v = materialise(v) if ratio else v  # read for the trigrams, the count and the blocks
+    v = v.withColumn("wg", F.array_distinct(trigrams(F.col("word"))))
+    met = t.select("term", "tg", F.explode("tg").alias("g")).join(v.select("word", "wg", F.explode("wg").alias("g")), "g")
+    # of the trigrams a pair shares it is measured at the first only
+    met = met.filter(F.get(F.array_intersect("tg", "wg"), F.lit(0)) == F.col("g"))
+    close = met.select("term", "word", (100 * jaccard(F.col("tg"), F.col("wg"))).alias("sim")).filter(F.col("sim") >= threshold)
+    if not ratio:
+        return close
+    low = (threshold - 0.5) / (200 - (threshold - 0.5))
+    banded = block_join(t.select("term"), v.select("word"), "term", "word", _ratio_block(low, threshold), "term string, word string, sim double")
+    return close.unionByName(banded).groupBy("term", "word").agg(F.max("sim").alias("sim"))
 
 
 def fuzzy_scores(asked: DataFrame, matches: DataFrame, postings: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondhan.functions.text import or_empty, split_words, tokens
+from sondhan.session import materialise
 
 
 def full_text(title: Column, body: Column) -> Column:
@@ -38,46 +39,68 @@ def top_k(scores: DataFrame, k: int, group: str = "query_id", item: str = "doc_i
     return scores.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def _asked(queries: DataFrame, docs: DataFrame, doc: str, text: Column, case: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings of the asked terms only, query terms, and the one-row corpus statistics."""
-    asked = query_terms(queries, case=case)
-    words = (split_words if case else tokens)(text)
-    sized = docs.select(F.col(doc).alias("doc_id"), words.alias("w")).withColumn("dl", F.size("w").cast("long"))
-    # the corpus is read once for n and avgdl, once for postings; postings keep only asked terms before they are shuffled
-    post = sized.select("doc_id", "dl", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    post = post.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return post, asked, corpus
+class Index:
+    """A stored inverted index: (bucket, term, doc_id, tf, dl, df), partitioned by bucket and sorted by term, with n and avgdl.
+
+    Built once in the shared folder; a batch of queries reads only the buckets of its terms, and in
+    them, by the statistics of the files, little more than its terms.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, docs: DataFrame, doc: str, text: Column, case: bool = False):
+        self.case = case
+        words = (split_words if case else tokens)(text)
+        sized = materialise(docs.select(F.col(doc).alias("doc_id"), words.alias("w")).withColumn("dl", F.size("w").cast("long")))
+        n = sized.agg(F.count(F.lit(1)), F.avg("dl")).first()
+        self.n, self.avgdl = n[0], n[1] or 0.0
+        post = sized.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        post = materialise(post)
+        df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int").alias("bucket")
+        whole = post.join(df, "term").select(bucket, "term", "doc_id", "tf", "dl", "df")
+        self.table = materialise(whole.repartition("bucket").sortWithinPartitions("bucket", "term"), ["bucket"])
+
+    def postings(self) -> DataFrame:
+        return self.table.select("doc_id", "term", "tf")
+
+    def terms(self) -> DataFrame:
+        return self.table.select("term", "df").distinct()
+
+    def _hits(self, queries: DataFrame) -> DataFrame:
+        """Postings of the asked terms beside the queries that ask for them."""
+        asked = query_terms(queries, case=self.case).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
+        buckets = [r[0] for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        return self.table.filter(F.col("bucket").isin(buckets)).drop("bucket").join(asked.drop("bucket"), "term")
+
+    def bm25(self, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """(query_id, doc_id, score) of all documents with a query term; repeated query terms count again."""
+        idf = F.log((F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(self.avgdl)))
+        return self._hits(queries).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * idf * tf).alias("score"))
+
+    def tfidf(self, queries: DataFrame) -> DataFrame:
+        idf = F.log(F.lit(self.n) / (F.col("df") + 1)) + 1
+        return self._hits(queries).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * (1 + F.log("tf")) * idf).alias("score"))
+
+    def okapi(self, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+        """The variant whose negative idf become epsilon times the mean idf of the vocabulary."""
+        raw = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        mean = self.terms().agg(F.avg(raw)).first()[0] or 0.0
+        idf = F.when(raw < 0, epsilon * F.lit(mean)).otherwise(raw)
+        tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(self.avgdl)))
+        return self._hits(queries).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * idf * tf).alias("score"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, doc: str, text: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) of all documents with a query term; repeated query terms count again."""
-    post, asked, corpus = _asked(queries, docs, doc, text)
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = asked.join(df, "term").crossJoin(F.broadcast(corpus))  # corpus is one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    hits = weighed.withColumn("idf", idf).join(post, "term")
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
+    """One batch of queries over documents that have no index yet."""
+    return Index(docs, doc, text).bm25(queries, k1, b)
 
 
 def tfidf_scores(queries: DataFrame, docs: DataFrame, doc: str, text: Column) -> DataFrame:
-    post, asked, corpus = _asked(queries, docs, doc, text)
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = asked.join(df, "term").crossJoin(F.broadcast(corpus))
-    idf = F.log(F.col("n") / (F.col("df") + 1)) + 1
-    return weighed.withColumn("idf", idf).join(post, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * (1 + F.log("tf")) * F.col("idf")).alias("score"))
+    return Index(docs, doc, text).tfidf(queries)
 
 
 def bm25_okapi_scores(queries: DataFrame, docs: DataFrame, doc: str, text: Column, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """The case-sensitive variant whose negative idf become epsilon times the mean idf of the vocabulary."""
-    words = split_words(text)
-    sized = docs.select(F.col(doc).alias("doc_id"), words.alias("w")).withColumn("dl", F.size("w").cast("long"))
-    post = sized.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    raw = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    asked = query_terms(queries, case=True).join(raw, "term").crossJoin(F.broadcast(mean))
-    idf = F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return asked.withColumn("idf", idf).join(post, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
+    """The case-sensitive variant."""
+    return Index(docs, doc, text, case=True).okapi(queries, k1, b, epsilon)

@@ -372,11 +372,10 @@ def query_expand(spark, d):
 @R.add()
 def expanded_topk(spark, d):
     """BM25 top ten of the expanded queries."""
-    from sondhan.operators import lexical
-    from sondhan.plans.retrieval import _ranked, _text, corpus
+    from sondhan.plans.retrieval import _ranked, index
 
     q = query_expand(spark, d).select("query_id", F.col("expanded").alias("text"))
-    return _ranked(lexical.bm25_scores(q, corpus(spark, d), "article_id", _text()))
+    return _ranked(index(spark, d).bm25(q))
 
 
 QUERIES, ORACLE = R.queries, R.oracle

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sondhan.functions import text as T
 from sondhan.operators import evaluation, fusion, fuzzy, lexical, querying, semantic
 from sondhan.plans import sql as S
-from sondhan.session import materialise, spread, table
+from sondhan.session import spread, table
 
 R = S.Registry()
 
@@ -42,6 +42,23 @@ def relevant(spark: SparkSession, d: str) -> DataFrame:
     return h.join(mean, "query_id").filter("round(bm25 - ab, 9) >= 0 and round(fuzzy - af, 9) >= 0 and round(semantic - asem, 9) >= 0").select("query_id", "doc_id")
 
 
+_BUILT: dict[tuple, lexical.Index] = {}
+
+
+def index(spark: SparkSession, d: str, case: bool = False, again: bool = False) -> lexical.Index:
+    """The stored index of the corpus: built on first use, and anew if the files of the table have changed."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/articles.parquet")
+    files = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(fs_path, True)
+    state = []
+    while files.hasNext():
+        f = files.next()
+        state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    key = (spark.sparkContext.applicationId, d, case, tuple(sorted(state)))
+    if again or key not in _BUILT:
+        _BUILT[key] = lexical.Index(corpus(spark, d), "article_id", _text(), case)
+    return _BUILT[key]
+
+
 _POST = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({S.tokens('txt')}) AS term FROM ({S.DOCS})) GROUP BY doc_id, term"
 _LEN = f"SELECT doc_id, len({S.tokens('txt')}) AS dl FROM ({S.DOCS})"
 _ASKED = f"SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({S.tokens('text')}) AS term FROM ({S.QUERIES})) GROUP BY query_id, term"
@@ -92,22 +109,29 @@ def bm25_idf(spark, d):
 
 @R.add(f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({_BM25})")
 def bm25_scores(spark, d):
-    return lexical.bm25_scores(queries(spark, d), corpus(spark, d), "article_id", _text()).withColumn("score", F.round("score", 6))
+    return index(spark, d).bm25(queries(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def flagship(spark, d):
     """BM25 top ten of every query text."""
-    return _ranked(lexical.bm25_scores(texts(spark, d), corpus(spark, d), "article_id", _text()))
+    return _ranked(index(spark, d).bm25(texts(spark, d)))
+
+
+@R.add(f"SELECT count(*) AS postings, count(DISTINCT term) AS terms, max(df) AS max_df FROM (SELECT term, doc_id, count(*) OVER (PARTITION BY term) AS df FROM ({_POST}))")
+def index_build(spark, d):
+    """Builds the stored index anew, whatever there is, and describes it."""
+    t = index(spark, d, again=True).table
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("df").alias("df")).agg(F.sum("n").alias("postings"), F.count(F.lit(1)).alias("terms"), F.max("df").alias("max_df"))
 
 
 @R.add(_top(_BM25))
 def bm25_topk(spark, d):
-    return _ranked(lexical.bm25_scores(queries(spark, d), corpus(spark, d), "article_id", _text()))
+    return _ranked(index(spark, d).bm25(queries(spark, d)))
 
 
 @R.add(_top(_TFIDF))
 def tfidf_topk(spark, d):
-    return _ranked(lexical.tfidf_scores(queries(spark, d), corpus(spark, d), "article_id", _text()))
+    return _ranked(index(spark, d).tfidf(queries(spark, d)))
 
 
 _OKAPI = f"""WITH post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({S.words('txt')}) AS term FROM ({S.DOCS})) GROUP BY doc_id, term), len_ AS (SELECT doc_id, len({S.words('txt')}) AS dl FROM ({S.DOCS})),
@@ -118,7 +142,7 @@ _OKAPI = f"""WITH post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM
 
 @R.add(_top(_OKAPI))
 def bm25_okapi_topk(spark, d):
-    return _ranked(lexical.bm25_okapi_scores(queries(spark, d), corpus(spark, d), "article_id", _text()))
+    return _ranked(index(spark, d, case=True).okapi(queries(spark, d)))
 
 
 @R.add("WITH t AS (SELECT DISTINCT unnest({}) AS word FROM ({})) SELECT word, {} AS grams FROM t".format(S.tokens("text"), S.QUERIES, S.trigrams("word")))
@@ -137,7 +161,7 @@ def _terms(spark, d):
 
 
 def _vocab(spark, d):
-    return corpus(spark, d).select(F.explode(T.tokens(_text())).alias("word")).distinct()
+    return index(spark, d).terms().select(F.col("term").alias("word"))
 
 
 @R.add(f"SELECT term, word, round(sim, 6) AS sim FROM ({_MATCH})")
@@ -153,15 +177,14 @@ def fuzzy_vocab_match(spark, d):
 
 @R.add()
 def fuzzy_topk(spark, d):
-    words = materialise(lexical.postings(corpus(spark, d), "article_id", _text()))  # the index: read for the vocabulary and for the documents
-    vocab = words.select(F.col("term").alias("word")).distinct()
-    return _ranked(fuzzy.fuzzy_scores(lexical.query_terms(queries(spark, d)), fuzzy.vocabulary_match(_terms(spark, d), vocab), words))
+    built = index(spark, d)
+    vocab = built.terms().select(F.col("term").alias("word"))
+    return _ranked(fuzzy.fuzzy_scores(lexical.query_terms(queries(spark, d)), fuzzy.vocabulary_match(_terms(spark, d), vocab), built.postings()))
 
 
 @R.add(_top(f"SELECT query_id, doc_id, sum(qtf * sim / 100) AS score FROM ({_ASKED}) a JOIN ({_MATCH}) m USING (term) JOIN (SELECT doc_id, term AS word FROM ({_POST})) p USING (word) GROUP BY query_id, doc_id"))
 def fuzzy_jaccard_topk(spark, d):
-    words = lexical.postings(corpus(spark, d), "article_id", _text())
-    return _ranked(fuzzy.fuzzy_scores(lexical.query_terms(queries(spark, d)), fuzzy.vocabulary_match(_terms(spark, d), _vocab(spark, d), ratio=False), words))
+    return _ranked(fuzzy.fuzzy_scores(lexical.query_terms(queries(spark, d)), fuzzy.vocabulary_match(_terms(spark, d), _vocab(spark, d), ratio=False), index(spark, d).postings()))
 
 
 _LCS = """list_reduce(list_prepend(list_transform(range(0, length(b) + 1), lambda i: 0), list_transform(range(1, length(a) + 1), lambda i: [i])), lambda p, x: list_reduce(list_prepend([0], list_transform(range(1, length(b) + 1), lambda j: [j])),
@@ -262,7 +285,7 @@ _MIXED = _top(_BM25, 20)
 
 @R.add(f"SELECT t.query_id, t.doc_id, t.score, t.rank, a.language AS lang FROM ({_MIXED}) t JOIN articles a ON t.doc_id = a.article_id WHERE a.language IN ('en', 'bn')")
 def xling_bm25(spark, d):
-    top = _ranked(lexical.bm25_scores(queries(spark, d), corpus(spark, d), "article_id", _text()), 20)
+    top = _ranked(index(spark, d).bm25(queries(spark, d)), 20)
     lang = corpus(spark, d).select(F.col("article_id").alias("doc_id"), F.col("language").alias("lang"))
     return top.join(lang, "doc_id").filter("lang in ('en', 'bn')").select("query_id", "doc_id", "score", "rank", "lang")
 
