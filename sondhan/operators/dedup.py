@@ -27,6 +27,25 @@ def dedup_url(df: DataFrame, url: str, recent: str, seq: str) -> DataFrame:
     return rows.groupBy("nurl").agg(F.max_by(F.struct(*df.columns), newest).alias("r")).select("nurl", "r.*")
 
 
+def dedup_longest(df: DataFrame, url: str, tokens: str, seq: str) -> DataFrame:
+    """The row of most tokens of each normalised address (null counts as 0; the first by ``seq`` on ties); rows without address are dropped."""
+    rows = df.withColumn("nurl", normalize_url(F.col(url))).filter("nurl <> ''")
+    best = F.struct(F.coalesce(F.col(tokens).cast("long"), F.lit(0).cast("long")).alias("t"), (-F.col(seq)).alias("q"))
+    return rows.groupBy("nurl").agg(F.max_by(F.struct(*df.columns), best).alias("r")).select("nurl", "r.*")
+
+
+def near_classes(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(k, class, copies, links) for every row: its class of equal sets, how many rows the class holds, and how many other rows are linked to it.
+
+    ``sets``: (k, c) of ``near_sets``; ``pairs``: (c, c2) of ``near_class_pairs``.  One row a row, however many copies there are.
+    """
+    size = sets.groupBy("c").agg(F.count(F.lit(1)).alias("copies"))
+    both = pairs.select("c", "c2").unionByName(pairs.select(F.col("c2").alias("c"), F.col("c").alias("c2"))).distinct()
+    near = both.join(size.withColumnRenamed("c", "c2").withColumnRenamed("copies", "m"), "c2").groupBy("c").agg(F.sum("m").alias("others"))
+    whole = size.join(near, "c", "left").select("c", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return sets.select("k", "c").join(whole, "c").select("k", F.col("c").alias("class"), "copies", "links")
+
+
 def near_duplicates(df: DataFrame, key: str, block: list[str], title: str, body: str, title_min: float = 0.5, body_min: float = 0.85) -> DataFrame:
     """(a, b, title_j, body_j), a < b: pairs of one block with both Jaccard indices at their minimum or above.
 
@@ -36,10 +55,23 @@ def near_duplicates(df: DataFrame, key: str, block: list[str], title: str, body:
     Jaccard t or more share one of the first m - ceil(t m) + 1 in a common order.
     ``members`` joins the class pairs back to rows.
     """
+    sets = near_sets(df, key, block, title, body)
+    both = near_class_pairs(sets, block, title_min, body_min)
+    twins = sets.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", F.col("c").alias("c2"), F.lit(1.0).alias("title_j"), F.lit(1.0).alias("body_j"))
+    left = sets.select("c", F.col("k").alias("p"))
+    pairs = both.unionByName(twins).join(left, "c").join(left.select(F.col("c").alias("c2"), F.col("p").alias("q")), "c2").filter("p <> q and (c <> c2 or p < q)")
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "title_j", "body_j")
+
+
+def near_sets(df: DataFrame, key: str, block: list[str], title: str, body: str) -> DataFrame:
+    """(k, block, ts, bs, c): the shingle sets of the rows that have both, and a class id of 128 bits over the block and both sets."""
     sets = df.select(F.col(key).alias("k"), *block, _hashes(shingles(F.col(title), 2)).alias("ts"), _hashes(shingles(F.col(body), 3)).alias("bs")).filter("size(ts) > 0 and size(bs) > 0")
-    # a class id of 128 bits over the block and both sets
     whole = [*[F.coalesce(F.col(x).cast("string"), F.lit("\u0000")) for x in block], "ts", "bs"]
-    sets = checkpoint(sets.withColumn("c", F.concat_ws("-", F.hex(F.xxhash64(F.lit(1), *whole)), F.hex(F.xxhash64(F.lit(2), *whole)))))
+    return checkpoint(sets.withColumn("c", F.concat_ws("-", F.hex(F.xxhash64(F.lit(1), *whole)), F.hex(F.xxhash64(F.lit(2), *whole)))))
+
+
+def near_class_pairs(sets: DataFrame, block: list[str], title_min: float = 0.5, body_min: float = 0.85) -> DataFrame:
+    """(c, c2, title_j, body_j), c < c2: classes of one block that are similar enough."""
     classes = sets.groupBy("c").agg(*[F.first(x).alias(x) for x in (*block, "ts", "bs")])
     grams = classes.select("c", *block, F.size("bs").alias("m"), F.explode("bs").alias("g"))
     rare = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
@@ -52,13 +84,7 @@ def near_duplicates(df: DataFrame, key: str, block: list[str], title: str, body:
     full = classes.select("c", "ts", "bs")
     other = full.select(F.col("c").alias("c2"), F.col("ts").alias("ts2"), F.col("bs").alias("bs2"))
     joined = met.join(full, "c").join(other, "c2")
-    tj, bj = _jaccard("ts", "ts2"), _jaccard("bs", "bs2")
-    close = joined.select("c", "c2", tj.alias("title_j"), bj.alias("body_j")).filter(f"title_j >= {title_min} and body_j >= {body_min}")
-    twins = sets.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", F.col("c").alias("c2"), F.lit(1.0).alias("title_j"), F.lit(1.0).alias("body_j"))
-    both = close.unionByName(twins)
-    left = sets.select("c", F.col("k").alias("p"))
-    pairs = both.join(left, "c").join(left.select(F.col("c").alias("c2"), F.col("p").alias("q")), "c2").filter("p <> q and (c <> c2 or p < q)")
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "title_j", "body_j")
+    return joined.select("c", "c2", _jaccard("ts", "ts2").alias("title_j"), _jaccard("bs", "bs2").alias("body_j")).filter(f"title_j >= {title_min} and body_j >= {body_min}")
 
 
 def _hashes(sets: Column) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondhan.functions.text import MARKS, WS, collapse, or_empty
+from sondhan.functions.text import MARKS, WS, collapse, or_empty, split_words
 from sondhan.operators.fuzzy import lcs_ratio_udf
 from sondhan.operators.numbering import number_rows
 from sondhan.session import checkpoint
@@ -36,6 +36,13 @@ def regex_mentions(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(or_empty(text), F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0)))
 
 
+def mapped_entity(text: Column, kind: Column, names: dict[str, str]) -> Column:
+    """``normalize_entity`` behind a map of names: the raw text is looked up first, then the normalised one."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map().cast("map<string,string>")
+    plain = normalize_entity(text, kind)
+    return F.coalesce(known[text], known[plain], plain)
+
+
 def normalize_entity(text: Column, kind: Column) -> Column:
     """'' for single characters and particles; quotes, articles (of organisations) and possessives dropped."""
     t = F.regexp_replace(collapse(or_empty(text)), "^[\"'“”‘’]+|[\"'“”‘’]+$", "")
@@ -207,6 +214,42 @@ def greedy_links(scored: DataFrame, threshold: float = 0.85, top: int = 3) -> Da
     return rows.groupBy("component").applyInPandas(replay, f"en_id {en}, bn_id {bn}, score double")
 
 
+def apply_links(records: DataFrame, links: DataFrame) -> DataFrame:
+    """Records whose Bangla name is empty take that of their link; the linked rows stay, unlike in ``merge_links``.
+
+    ``links``: (en_id, bn_id), one to one.  Adds ``linked`` (whether a name was taken).
+    """
+    names = records.select(F.col("entity_id").alias("bn_id"), F.nullif(F.col("canonical_bn"), F.lit("")).alias("__bn"))
+    pulled = links.select("en_id", "bn_id").join(names, "bn_id").select(F.col("en_id").alias("entity_id"), "__bn")
+    empty = or_empty(F.col("canonical_bn")) == ""
+    out = records.join(pulled, "entity_id", "left").withColumn("linked", empty & F.col("__bn").isNotNull())
+    return out.withColumn("canonical_bn", F.when(F.col("linked"), F.col("__bn")).otherwise(F.col("canonical_bn"))).drop("__bn")
+
+
+def recover_orphans(mentions: DataFrame, records: DataFrame, lookup: DataFrame) -> DataFrame:
+    """(old_id, name, entity_id): ids that mentions carry but the index does not hold, by their most frequent text.
+
+    ``mentions``: (entity_id, text); ties go to the smaller text.  ``entity_id`` is what ``lookup`` (name, entity_id) has for
+    the lower-case, stripped text, else null: not recovered.
+    """
+    lost = mentions.filter("entity_id is not null").join(records.select("entity_id"), "entity_id", "left_anti")
+    texts = lost.groupBy("entity_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    best = texts.groupBy(F.col("entity_id").alias("old_id")).agg(F.min(F.struct((-F.col("n")).alias("n"), "text")).alias("t")).select("old_id", F.col("t.text").alias("name"))
+    key = F.trim(F.lower(F.col("text_")))
+    return best.withColumnRenamed("name", "text_").withColumn("name", key).join(lookup, "name", "left").select("old_id", F.col("text_").alias("name"), "entity_id")
+
+
+def gazetteer_mentions(docs: DataFrame, doc: str, text: str, names: DataFrame, most: int = 4) -> DataFrame:
+    """(doc, text, label): the names of a table (name, label) that a text holds as windows of one to ``most`` words, each once.
+
+    The names may be as many as there are: windows and names meet in a join.  Marks at the ends of words are no part of them.
+    """
+    w = F.filter(F.transform(split_words(F.col(text)), lambda x: F.regexp_replace(x, "^[\"'“‘(]+|[।,.;:!?)\"'”’]+$", "")), lambda x: x != "")
+    rows = docs.select(F.col(doc), w.alias("w")).withColumn("n", F.explode(F.array(*[F.lit(i) for i in range(1, most + 1)]))).filter(F.size("w") >= F.col("n"))
+    rows = rows.select(doc, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")))).alias("text"))
+    return rows.join(names.select(F.col("name").alias("text"), "label"), "text").select(doc, "text", "label").distinct()
+
+
 def rewrite_ids(mentions: DataFrame, mapping: DataFrame, known: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, entity_ids): ids mapped to their keepers, unknown ones dropped, distinct and sorted."""
     m = mapping.select(F.col("old_id").alias("__o"), F.col("entity_id").alias("__n"))

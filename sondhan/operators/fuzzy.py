@@ -85,7 +85,9 @@ def _ratio_block(low: float, threshold: float):
                 at = np.flatnonzero(ratio >= threshold)
                 found.append(([term] * len(at), names[a:b][at], ratio[at]))
         flat = [x for f in found for x in f[0]]
-        return pd.DataFrame({"term": flat, "word": np.concatenate([f[1] for f in found]) if flat else [], "sim": np.concatenate([f[2] for f in found]) if flat else np.zeros(0)})
+        kept = [f for f in found if len(f[0])]
+        columns = [np.concatenate([f[i] for f in kept]).tolist() if kept else [] for i in (1, 2)]
+        return pd.DataFrame({"term": pd.Series(flat, dtype=object), "word": pd.Series(columns[0], dtype=object), "sim": pd.Series(columns[1], dtype="float64")})
 
     return run
 

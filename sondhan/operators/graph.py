@@ -77,3 +77,8 @@ def view_attributes(edges: DataFrame, n: int = 500) -> DataFrame:
     """Node sizes of the top-n subgraph for drawing: min(10 + deg / 2, 50)."""
     sub = top_subgraph(edges, n)
     return degrees(sub).select("node", "degree", F.least(F.lit(10.0) + 0.5 * F.col("degree"), F.lit(50.0)).alias("size"))
+
+
+def view_edges(edges: DataFrame, n: int = 500) -> DataFrame:
+    """Edges of the top-n subgraph with their width for drawing: min(1 + weight / 5, 10)."""
+    return top_subgraph(edges, n).select("src", "dst", "weight", F.least(1.0 + F.lit(0.2) * F.col("weight"), F.lit(10.0)).alias("width"))

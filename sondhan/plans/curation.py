@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sondhan.functions import text as T
 from sondhan.operators import cleaning, dedup, graph, stats
 from sondhan.plans import sql as S
-from sondhan.session import checkpoint, spread, table
+from sondhan.session import checkpoint, scratch, spread, table
 from sondhan.sources import files, html
 
 R = S.Registry()
@@ -143,6 +143,11 @@ def dedup_url(spark, d):
     return dedup.dedup_url(rows, "url", "crawled_at", "article_id").select("nurl", "article_id")
 
 
+@R.add(f"SELECT nurl, article_id FROM (SELECT *, row_number() OVER (PARTITION BY nurl ORDER BY coalesce(tokens, 0) DESC, article_id) AS rn FROM (SELECT article_id, tokens, {URL} AS nurl FROM articles) WHERE nurl <> '') WHERE rn = 1")
+def dedup_url_longest(spark, d):
+    return dedup.dedup_longest(_articles(spark, d).select("article_id", "url", "tokens"), "url", "tokens", "article_id").select("nurl", "article_id")
+
+
 @R.add(f"SELECT (SELECT count(*) FROM articles) AS total, (SELECT count(*) FROM ({_DEDUP})) AS kept, (SELECT count(*) FROM articles WHERE {URL} <> '') - (SELECT count(*) FROM ({_DEDUP})) AS url_duplicates")
 def dedup_stats(spark, d):
     rows = _articles(spark, d).select(dedup.normalize_url(F.col("url")).alias("nurl"))
@@ -206,6 +211,22 @@ def dup_loser(spark, d):
     return pairs.select("a", "b", dedup.duplicate_loser(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb"), F.col("a"), F.col("b")).alias("loser"))
 
 
+@R.add(f"""WITH p AS ({_PAIRS}), e AS (SELECT a AS k, title_j = 1 AND body_j = 1 AS same FROM p UNION ALL SELECT b, title_j = 1 AND body_j = 1 FROM p)
+    SELECT s.article_id, 1 + count_if(coalesce(e.same, false)) AS copies, count(e.k) AS links FROM ({_SPLIT}) s LEFT JOIN e ON e.k = s.article_id WHERE len(s.ts) > 0 AND len(s.bs) > 0 GROUP BY s.article_id""")
+def near_dup_classes(spark, d):
+    """One row an article: how many articles are the same, and how many it is linked to."""
+    sets = dedup.near_sets(spread(_articles(spark, d).select("article_id", "source", "language", "title", "body")), "article_id", ["source", "language"], "title", "body")
+    return dedup.near_classes(sets, dedup.near_class_pairs(sets, ["source", "language"])).select(F.col("k").alias("article_id"), "copies", "links")
+
+
+@R.add()
+def dedup_removed(spark, d):
+    """Rows that both kinds of duplicates take away, of all articles."""
+    u = dedup_stats(spark, d).select("total", "url_duplicates")
+    c = dedup_content(spark, d).agg(F.count(F.lit(1)).alias("content_duplicates"))
+    return u.crossJoin(F.broadcast(c)).withColumn("total_removed", F.col("url_duplicates") + F.col("content_duplicates"))
+
+
 @R.add()
 def dedup_content(spark, d):
     """Articles that the greedy scan of each block removes."""
@@ -219,9 +240,10 @@ def script_lang(spark, d):
     return _articles(spark, d).select("article_id", "language", T.script_lang(F.col("body")).alias("script"))
 
 
-@R.add("SELECT article_id, source FROM articles WHERE language = 'en'")
+@R.add("SELECT article_id, source, language FROM articles WHERE language IN ('en', 'bn')")
 def split_by_lang(spark, d):
-    return _articles(spark, d).filter("language = 'en'").select("article_id", "source")
+    """The two corpora; ``write_by_language`` puts each into a folder of its own."""
+    return _articles(spark, d).filter("language in ('en', 'bn')").select("article_id", "source", "language")
 
 
 @R.add("SELECT article_id, url, tokens FROM articles ORDER BY article_id LIMIT 100")
@@ -239,13 +261,13 @@ def quota_per_group(spark, d):
     return dedup.quota(_articles(spark, d).select("source", "category", "article_id"), ["source", "category"], ["article_id"], 5).select("source", "category", "article_id")
 
 
-@R.add()
+@R.add("SELECT url, source, tokens, coalesce(len(tags), -1)::INT AS n_tags FROM articles")
 def scan_jsonl(spark, d):
-    """The articles through JSON text and back by the lenient reader's parser."""
-    a = _articles(spark, d).select(*[f.name for f in files.ARTICLE.fields])
-    text = a.select(F.to_json(F.struct(*a.columns)).alias("value")).unionByName(spark.createDataFrame([("{broken",)], "value string"))
-    parsed = text.select(F.from_json("value", files.ARTICLE, {"mode": "PERMISSIVE"}).alias("r")).filter("r.url is not null")
-    return parsed.select("r.url", "r.source", "r.tokens", F.size("r.tags").alias("n_tags"))
+    """The articles written as JSON lines beside a broken line, and read again by the lenient reader."""
+    folder = scratch(spark)
+    _articles(spark, d).select(*[f.name for f in files.ARTICLE.fields]).write.option("ignoreNullFields", False).json(f"{folder}/good")
+    spark.createDataFrame([('{"url": "broken',), ("",)], "value string").coalesce(1).write.text(f"{folder}/bad")
+    return files.read_jsonl(spark, f"{folder}/*").select("url", "source", "tokens", F.when(F.col("tags").isNull(), -1).otherwise(F.size("tags")).alias("n_tags"))
 
 
 # --- extraction from pages
@@ -274,6 +296,31 @@ def page_title(spark, d):
     return _pages(spark, d).select("article_id", html.page_title(F.col("html")).alias("title"))
 
 
+@R.add("SELECT article_id, regexp_replace(title, '\\s*\\|\\s*প্রথম আলো$', '') AS title FROM (SELECT article_id, CASE WHEN article_id % 2 = 0 THEN title || ' | প্রথম আলো' ELSE title END AS title FROM articles)")
+def title_without_site(spark, d):
+    """Titles, every other one with the suffix a site adds, without it."""
+    title = F.when(F.col("article_id") % 2 == 0, F.concat("title", F.lit(" | প্রথম আলো"))).otherwise(F.col("title"))
+    return _articles(spark, d).select("article_id", html.strip_site(title).alias("title"))
+
+
+@R.add(f"""SELECT DISTINCT 'https://news.example/a/b.html' AS page, link FROM (SELECT unnest(['https://news.example' || p, 'https://news.example/a/x' || article_id || '.html']) AS link FROM (SELECT article_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '#.*$', '') AS p FROM articles WHERE url IS NOT NULL AND regexp_matches(url, '^[a-z]+://[^/]+/'))) WHERE NOT regexp_matches(lower(link), '{"|".join(html.SKIP_PARTS)}')""")
+def discovered_links(spark, d):
+    """Links of a page that holds the paths of all addresses in double quotes and a relative one in single quotes."""
+    path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
+    page = F.concat(F.lit('<p><a class=x href="'), path, F.lit("\">1</a> <A HREF='x"), F.col("article_id").cast("string"), F.lit(".html'>2</A><a href=\"#top\">3</a><a href=\"mailto:a@b.c\">4</a>"))
+    rows = _articles(spark, d).filter(F.col("url").rlike("^[a-z]+://[^/]+/")).select(F.lit("https://news.example/a/b.html").alias("page_url"), page.alias("html"))
+    return html.discover_links(rows, "page_url", "html").distinct()
+
+
+_SECT = ", ".join(f"'{x}'" for x in html.SECTIONS)
+
+
+@R.add(f"""SELECT article_id, CASE WHEN hit IS NULL THEN 'general' WHEN hit = 'news' AND pieces[list_position(pieces, hit) + 1] <> 'news' THEN pieces[list_position(pieces, hit) + 1] ELSE hit END AS category
+    FROM (SELECT article_id, pieces, list_filter(pieces, lambda x: x IN ({_SECT}))[1] AS hit FROM (SELECT article_id, string_split(coalesce(url, ''), '/') AS pieces FROM articles))""")
+def url_category_legacy(spark, d):
+    return _articles(spark, d).select("article_id", html.legacy_category(F.col("url")).alias("category"))
+
+
 @R.add(f"SELECT article_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lambda p: {S.collapse(_untag('p'))}), lambda p: length(p) > 20), chr(10) || chr(10)) AS body FROM ({_PAGES})")
 def page_body(spark, d):
     return _pages(spark, d).select("article_id", html.page_body(F.col("html")).alias("body"))

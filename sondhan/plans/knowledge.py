@@ -211,13 +211,16 @@ def _nearest(spark, d):
     return semantic.cosine_top_k(q, e.filter("vec_id % 20 <> 0").withColumnRenamed("vec_id", "bn_id"), "en_id", "bn_id", "v", 1)
 
 
-@R.add()
+_ALLVEC = f"SELECT a.vec_id AS en_id, b.vec_id AS bn_id, round({_DOT} / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0"
+
+
+@R.add(f"SELECT en_id, arg_max(bn_id, (score, -bn_id)) AS bn_id, max(score) AS score FROM ({_ALLVEC}) GROUP BY en_id HAVING max(score) >= 0.2")
 def argmax_link_all(spark, d):
     """argmax_link over the vectors of all labels."""
     return _nearest(spark, d).filter("score >= 0.2").select("en_id", "bn_id", "score")
 
 
-@R.add()
+@R.add(f"SELECT en_id, bn_id, score FROM (SELECT *, row_number() OVER (PARTITION BY en_id ORDER BY score DESC, bn_id) AS r FROM ({_ALLVEC})) WHERE r = 1 AND score > 0.1 ORDER BY score DESC, en_id LIMIT 100")
 def link_audit_all(spark, d):
     """link_audit over the vectors of all labels."""
     return _nearest(spark, d).filter("score > 0.1").orderBy(F.desc("score"), "en_id").limit(100).select("en_id", "bn_id", "score")
@@ -252,10 +255,67 @@ def merge_duplicates(spark, d):
     return entities.merge_duplicates(records(spark, d), "canonical_bn")
 
 
-@R.add(f"SELECT doc_id, list_sort(list_distinct(list(coalesce(m.entity_id, a.entity_id)))) AS entity_ids FROM ({_ATT}) a LEFT JOIN (SELECT r.entity_id AS old_id, x.entity_id FROM entity_records r JOIN ({_DUP}) x ON r.canonical_bn = x.name WHERE r.entity_id <> x.entity_id) m ON a.entity_id = m.old_id WHERE a.entity_id IS NOT NULL GROUP BY doc_id")
+@R.add(f"SELECT x.*, coalesce(a.aliases, []) AS aliases FROM ({_DUP.replace('canonical_bn', 'canonical_xx').replace('canonical_en', 'canonical_en').replace('canonical_xx', 'canonical_en')}) x LEFT JOIN (SELECT canonical_en AS name, list_sort(list_distinct(list(a))) AS aliases FROM (SELECT canonical_en, unnest(aliases) AS a FROM entity_records) WHERE a IS NOT NULL GROUP BY canonical_en) a ON x.name = a.name")
+def merge_duplicates_en(spark, d):
+    """The second pass, by English names."""
+    return entities.merge_duplicates(records(spark, d), "canonical_en")
+
+
+_NAMES = f"SELECT n.entity_id AS doc_id, n.name AS text, l.entity_id FROM ({_RN}) n JOIN ({_LOOK}) l ON l.name = lower(n.name) WHERE n.name IS NOT NULL"
+_FOLD = f"SELECT r.entity_id AS old_id, x.entity_id FROM entity_records r JOIN ({_DUP}) x ON r.canonical_bn = x.name WHERE r.entity_id <> x.entity_id"
+
+
+def _named_mentions(spark, d):
+    """Every name a record lists as a mention, with the id that the lookup has for it."""
+    look = querying.name_lookup(records(spark, d)).withColumnRenamed("name", "low")
+    return _record_names(spark, d).select(F.col("entity_id").alias("doc_id"), F.col("name").alias("text"), F.lower("name").alias("low")).join(look, "low").select("doc_id", "text", "entity_id")
+
+
+@R.add(f"SELECT doc_id, list_sort(list_distinct(list(coalesce(m.entity_id, a.entity_id)))) AS entity_ids FROM ({_NAMES}) a LEFT JOIN ({_FOLD}) m ON a.entity_id = m.old_id GROUP BY doc_id")
 def rewrite_ids(spark, d):
-    m = attach_entity_ids(spark, d).filter("entity_id is not null")
-    return entities.rewrite_ids(m, entities.id_map(records(spark, d), "canonical_bn"), records(spark, d))
+    """Ids of the names that records list, after records of one Bangla name are folded."""
+    return entities.rewrite_ids(_named_mentions(spark, d), entities.id_map(records(spark, d), "canonical_bn"), records(spark, d))
+
+
+@R.add(f"""WITH kept AS (SELECT * FROM entity_records WHERE entity_id NOT IN (SELECT old_id FROM ({_FOLD}))), look AS (SELECT name, max(entity_id) AS entity_id FROM (SELECT entity_id, lower(canonical_en) AS name FROM kept UNION ALL SELECT entity_id, canonical_bn FROM kept
+    UNION ALL SELECT entity_id, lower(a) FROM (SELECT entity_id, unnest(aliases) AS a FROM kept)) WHERE name IS NOT NULL AND name <> '' GROUP BY name),
+    c AS (SELECT entity_id, text, count(*) AS n FROM ({_NAMES}) WHERE entity_id NOT IN (SELECT entity_id FROM kept) GROUP BY ALL), b AS (SELECT entity_id AS old_id, arg_min(text, (-n, text)) AS name FROM c GROUP BY entity_id)
+    SELECT old_id, b.name, look.entity_id FROM b LEFT JOIN look ON look.name = trim(lower(b.name))""")
+def recover_orphans(spark, d):
+    """Ids that mentions carry although their records are folded away, found again by their most frequent text."""
+    r = records(spark, d)
+    kept = r.join(entities.id_map(r, "canonical_bn").select(F.col("old_id").alias("entity_id")), "entity_id", "left_anti")
+    return entities.recover_orphans(_named_mentions(spark, d).select("entity_id", "text"), kept, querying.name_lookup(kept))
+
+
+@R.add(f"""WITH l AS ({_LINKS}) SELECT r.entity_id, r.canonical_en, CASE WHEN coalesce(r.canonical_bn, '') = '' AND nullif(b.canonical_bn, '') IS NOT NULL THEN b.canonical_bn ELSE r.canonical_bn END AS canonical_bn, coalesce(r.canonical_bn, '') = '' AND nullif(b.canonical_bn, '') IS NOT NULL AS linked
+    FROM entity_records r LEFT JOIN l ON l.en_id = r.entity_id LEFT JOIN entity_records b ON b.entity_id = l.bn_id""")
+def apply_links(spark, d):
+    return entities.apply_links(records(spark, d), _one_to_one(spark, d)).select("entity_id", "canonical_en", "canonical_bn", "linked")
+
+
+# --- mentions by language: Bangla by the names of the corpus, English by capital letters
+
+_W = f"list_filter(list_transform({S.words('body')}, lambda x: regexp_replace(x, '^[\"''“‘(]+|[।,.;:!?)\"''”’]+$', '', 'g')), lambda x: x <> '')"
+_GAZ = f"SELECT text AS name, min(label) AS label FROM ({_M}) WHERE lang = 'bn' AND label IS NOT NULL GROUP BY text"
+_NERBN = f"""SELECT DISTINCT doc_id, text, label FROM (SELECT doc_id, array_to_string(w[p : p + n - 1], ' ') AS text FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM (SELECT article_id AS doc_id, {_W} AS w FROM articles WHERE language = 'bn'), (SELECT unnest([1, 2, 3, 4]) AS n))) JOIN ({_GAZ}) g ON g.name = text"""
+
+
+def _bangla(spark, d):
+    names = mentions(spark, d).filter("lang = 'bn' and label is not null").groupBy(F.col("text").alias("name")).agg(F.min("label").alias("label"))
+    return entities.gazetteer_mentions(table(spark, d, "articles").filter("language = 'bn'").select(F.col("article_id").alias("doc_id"), "body"), "doc_id", "body", names)
+
+
+@R.add(_NERBN)
+def ner_bn(spark, d):
+    return _bangla(spark, d)
+
+
+@R.add(f"""SELECT doc_id, text, label FROM ({_NERBN}) UNION ALL SELECT DISTINCT article_id, unnest(regexp_extract_all(coalesce(body, ''), '[A-Z][a-z]+(?: [A-Z][a-z]+)+')), 'MISC' FROM articles WHERE language = 'en'""")
+def ner_routed(spark, d):
+    """Each article by the extractor of its language; articles of other or unknown languages have no mentions."""
+    en = table(spark, d, "articles").filter("language = 'en'").select(F.col("article_id").alias("doc_id"), F.explode(entities.regex_mentions(F.col("body"))).alias("text")).distinct()
+    return _bangla(spark, d).unionByName(en.withColumn("label", F.lit("MISC")))
 
 
 _ORPH = "SELECT DISTINCT id FROM (SELECT left_id AS id FROM entity_matches UNION ALL SELECT right_id FROM entity_matches) WHERE id IS NOT NULL AND id NOT IN (SELECT entity_id FROM entity_records)"
@@ -322,15 +382,15 @@ def node_types(spark, d):
     return graph.degrees(edges(spark, d)).join(p, "node", "left").groupBy(F.coalesce("p_type", F.lit("UNKNOWN")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# components of the tree nation -> region and supplier -> nation: small enough for a recursive twin
-_TIES = "SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"
+@R.add(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT node, other FROM ({_BOTH})), w AS (SELECT node, min(least(node, other)) AS label FROM e GROUP BY node UNION SELECT e.other, w.label FROM w JOIN e ON e.node = w.node WHERE w.label < e.other) SELECT node, min(label) AS component FROM w GROUP BY node""")
+def connected_components(spark, d):
+    """Components of the co-occurrence graph."""
+    return graph.components(edges(spark, d))
 
 
-@R.add(f"""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM ({_TIES}) UNION SELECT dst, src FROM ({_TIES})), w AS (SELECT DISTINCT a AS node, a AS label FROM e UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.node) SELECT node, min(label) AS component FROM w GROUP BY node""")
-def connected_components(spark, d):
-    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"))
-    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
-    return graph.components(s.unionByName(n).withColumn("weight", F.lit(1)))
+@R.add(f"SELECT src, dst, weight, least(1.0 + 0.2 * weight, 10.0)::DOUBLE AS width FROM ({_EDGE}) WHERE src IN (SELECT node FROM ({_DEG}) ORDER BY degree DESC, node LIMIT 500) AND dst IN (SELECT node FROM ({_DEG}) ORDER BY degree DESC, node LIMIT 500)")
+def graph_view_edges(spark, d):
+    return graph.view_edges(edges(spark, d))
 
 
 @R.add(f"SELECT node, other, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other) AS rank FROM ({_BOTH})) WHERE rank <= 3")
@@ -361,12 +421,12 @@ def graph_viz_attrs(spark, d):
 @R.add()
 def query_expand(spark, d):
     """Expansion of all query texts by matched records and the neighbours they are matched with."""
-    from sondhan.plans.retrieval import texts
+    from sondhan.plans.retrieval import named_texts
 
     m = table(spark, d, "entity_matches").filter("matched and left_id <> right_id")
     e = m.groupBy(F.least("left_id", "right_id").alias("src"), F.greatest("left_id", "right_id").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
     near = graph.neighbours(e).select(F.col("node").alias("entity_id"), F.col("other").alias("neighbour"), "rank")
-    return querying.expand_queries(texts(spark, d), records(spark, d), near)
+    return querying.expand_queries(named_texts(spark, d), records(spark, d), near)
 
 
 @R.add()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondhan.functions import text as T
-from sondhan.operators import evaluation, fusion, fuzzy, lexical, querying, semantic
+from sondhan.operators import evaluation, fusion, fuzzy, lexical, querying, search, semantic
 from sondhan.plans import sql as S
 from sondhan.session import spread, table
 
@@ -151,11 +151,26 @@ def char_trigrams(spark, d):
     return words.select("word", T.trigrams(F.col("word")).alias("grams"))
 
 
+_LCS = """list_reduce(list_prepend(list_transform(range(0, length(b) + 1), lambda i: 0), list_transform(range(1, length(a) + 1), lambda i: [i])), lambda p, x: list_reduce(list_prepend([0], list_transform(range(1, length(b) + 1), lambda j: [j])),
+    lambda q, j: q || [CASE WHEN substring(a, x[1], 1) = substring(b, j[1], 1) THEN p[j[1]] + 1 ELSE greatest(p[j[1] + 1], q[j[1]]) END]))[-1]"""
+
+
+def _lcs_ratio(a: str, b: str) -> str:
+    return f"(CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE 200.0 * (SELECT {_LCS} FROM (SELECT {a} AS a, {b} AS b)) / (length({a}) + length({b})) END)"
+
+
 _VOCAB = f"SELECT DISTINCT unnest({S.tokens('txt')}) AS word FROM ({S.DOCS})"
 _MATCH = f"""WITH t AS (SELECT DISTINCT term, list_distinct({S.trigrams('term')}) AS tg FROM (SELECT DISTINCT unnest({S.tokens('text')}) AS term FROM ({S.QUERIES}))), v AS (SELECT word, list_distinct({S.trigrams('word')}) AS wg FROM ({_VOCAB}))
     SELECT term, word, 100 * {S.jaccard('tg', 'wg')} AS sim FROM t, v WHERE 100 * {S.jaccard('tg', 'wg')} >= 70"""
 
 
+_NEAR = f"""WITH t AS MATERIALIZED (SELECT DISTINCT term, list_distinct({S.trigrams('term')}) AS tg FROM (SELECT DISTINCT unnest({S.tokens('text')}) AS term FROM ({S.QUERIES}))), v AS MATERIALIZED (SELECT word, list_distinct({S.trigrams('word')}) AS wg FROM ({_VOCAB})),
+    j AS (SELECT term, word, 100 * {S.jaccard('tg', 'wg')} AS sim FROM t, v WHERE 100 * {S.jaccard('tg', 'wg')} >= 70),
+    l AS (SELECT a AS term, b AS word, round_even(200.0 * {_LCS} / (length(a) + length(b)), 0) AS sim FROM (SELECT term AS a, word AS b FROM t, v WHERE length(word) BETWEEN 0.53 * length(term) AND 1.89 * length(term)))
+    SELECT term, word, max(sim) AS sim FROM (SELECT * FROM j UNION ALL SELECT * FROM l WHERE sim >= 70) GROUP BY term, word"""
+_FUZZY = f"SELECT query_id, doc_id, sum(qtf * sim / 100) AS score FROM ({_ASKED}) a JOIN ({_NEAR}) m USING (term) JOIN (SELECT doc_id, term AS word FROM ({_POST})) p USING (word) GROUP BY query_id, doc_id"
+
+
 def _terms(spark, d):
     return queries(spark, d).select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
 
@@ -169,17 +184,21 @@ def trigram_jaccard(spark, d):
     return fuzzy.vocabulary_match(_terms(spark, d), _vocab(spark, d), ratio=False).withColumn("sim", F.round("sim", 6))
 
 
-@R.add()
+@R.add(f"SELECT term, word, round(sim, 6) AS sim FROM ({_NEAR})")
 def fuzzy_vocab_match(spark, d):
     """Greater of trigram Jaccard and rounded LCS ratio, 70 or more."""
     return fuzzy.vocabulary_match(_terms(spark, d), _vocab(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
-@R.add()
-def fuzzy_topk(spark, d):
+def _fuzzy(spark, d) -> DataFrame:
     built = index(spark, d)
     vocab = built.terms().select(F.col("term").alias("word"))
-    return _ranked(fuzzy.fuzzy_scores(lexical.query_terms(queries(spark, d)), fuzzy.vocabulary_match(_terms(spark, d), vocab), built.postings()))
+    return fuzzy.fuzzy_scores(lexical.query_terms(queries(spark, d)), fuzzy.vocabulary_match(_terms(spark, d), vocab), built.postings())
+
+
+@R.add(_top(_FUZZY))
+def fuzzy_topk(spark, d):
+    return _ranked(_fuzzy(spark, d))
 
 
 @R.add(_top(f"SELECT query_id, doc_id, sum(qtf * sim / 100) AS score FROM ({_ASKED}) a JOIN ({_MATCH}) m USING (term) JOIN (SELECT doc_id, term AS word FROM ({_POST})) p USING (word) GROUP BY query_id, doc_id"))
@@ -187,10 +206,6 @@ def fuzzy_jaccard_topk(spark, d):
     return _ranked(fuzzy.fuzzy_scores(lexical.query_terms(queries(spark, d)), fuzzy.vocabulary_match(_terms(spark, d), _vocab(spark, d), ratio=False), index(spark, d).postings()))
 
 
-_LCS = """list_reduce(list_prepend(list_transform(range(0, length(b) + 1), lambda i: 0), list_transform(range(1, length(a) + 1), lambda i: [i])), lambda p, x: list_reduce(list_prepend([0], list_transform(range(1, length(b) + 1), lambda j: [j])),
-    lambda q, j: q || [CASE WHEN substring(a, x[1], 1) = substring(b, j[1], 1) THEN p[j[1]] + 1 ELSE greatest(p[j[1] + 1], q[j[1]]) END]))[-1]"""
-
-
 @R.add(f"""WITH p AS (SELECT entity_id, lower(canonical_en) AS a, lower(aliases[1]) AS b FROM entity_records WHERE canonical_en IS NOT NULL AND aliases[1] IS NOT NULL)
     SELECT entity_id, round(CASE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 ELSE 200.0 * {_LCS} / (length(a) + length(b)) END, 6) AS ratio FROM p""")
 def indel_ratio(spark, d):
@@ -199,7 +214,13 @@ def indel_ratio(spark, d):
     return rows.select("entity_id", F.round(fuzzy.lcs_ratio_udf("a", "b"), 6).alias("ratio"))
 
 
-@R.add()
+# the common words are a beginning of both sides, so their own ratios need no comparison of letters
+_SETS = f"""SELECT query, title, array_to_string(list_sort(list_intersect(x, y)), ' ') AS c, array_to_string(list_sort(list_filter(x, lambda w: NOT list_contains(y, w))), ' ') AS l, array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(x, w))), ' ') AS r
+    FROM (SELECT query, title, list_distinct({S.tokens('query')}) AS x, list_distinct({S.tokens('title')}) AS y FROM (SELECT DISTINCT query, title FROM hybrid_results_labse WHERE query IS NOT NULL AND title IS NOT NULL))"""
+
+
+@R.add(f"""SELECT query, title, CASE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 ELSE greatest(CASE WHEN length(c) = 0 THEN 0.0 ELSE greatest(round_even(200.0 * length(c) / (length(c) + length(a)), 0), round_even(200.0 * length(c) / (length(c) + length(b)), 0)) END,
+    round_even(200.0 * {_LCS} / (length(a) + length(b)), 0)) END::DOUBLE AS ratio FROM (SELECT query, title, c, trim(c || ' ' || l) AS a, trim(c || ' ' || r) AS b FROM ({_SETS}))""")
 def token_set_ratio(spark, d):
     rows = table(spark, d, "hybrid_results_labse").filter("query is not null and title is not null").select("query", "title").distinct()
     return rows.select("query", "title", fuzzy.token_set_ratio_udf("query", "title").alias("ratio"))
@@ -290,13 +311,46 @@ def xling_bm25(spark, d):
     return top.join(lang, "doc_id").filter("lang in ('en', 'bn')").select("query_id", "doc_id", "score", "rank", "lang")
 
 
-@R.add(_top(f"SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))) AS score FROM embeddings q, embeddings e JOIN articles a ON e.vec_id = a.article_id WHERE q.vec_id % 20 = 0 AND a.language = 'en'", 20))
+def _within(scores: str, k: int = 20) -> str:
+    """The top k of each language of the articles, as the language filter comes first here."""
+    return f"SELECT query_id, doc_id, score, rank, lang FROM (SELECT query_id, doc_id, round(score, 6) AS score, language AS lang, row_number() OVER (PARTITION BY query_id, language ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ({scores}) JOIN articles ON doc_id = article_id WHERE language IN ('en', 'bn')) WHERE rank <= {k}"
+
+
+def _languages(spark, d) -> DataFrame:
+    return table(spark, d, "articles").filter("language in ('en', 'bn')").select(F.col("article_id").alias("doc_id"), F.col("language").alias("lang"))
+
+
+@R.add(_within(_COS))
 def xling_cosine(spark, d):
-    """The language filter comes before the top 20 here (vectors are paired with articles by id)."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    lang = table(spark, d, "articles").filter("language = 'en'").select(F.col("article_id").alias("vec_id"))
-    q = e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    return semantic.cosine_top_k(q, e.join(lang, "vec_id", "left_semi").withColumnRenamed("vec_id", "doc_id"), "query_id", "doc_id", "embedding", 20)
+    """Top 20 of each language; vectors are paired with articles by id."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    halves = [semantic.cosine_top_k(q, e.join(_languages(spark, d).filter(F.col("lang") == lang), "doc_id", "left_semi"), "query_id", "doc_id", "embedding", 20).withColumn("lang", F.lit(lang)) for lang in ("en", "bn")]
+    return halves[0].unionByName(halves[1])
+
+
+@R.add(_within(_FUZZY))
+def xling_fuzzy(spark, d):
+    """Top 20 of each language by fuzzy matching."""
+    scored = _fuzzy(spark, d).withColumn("score", F.round("score", 6)).join(_languages(spark, d), "doc_id").withColumn("g", F.struct("query_id", "lang"))
+    return lexical.top_k(scored.select("g", "doc_id", "score"), 20, "g").select("g.query_id", "doc_id", "score", "rank", "g.lang")
+
+
+_SHOWN = "SELECT article_id AS doc_id, coalesce(nullif(substring(title, 1, 80), ''), '-') AS title, coalesce(nullif(substring(body, 1, 150), ''), '-') AS body, coalesce(url, '-') AS url FROM articles"
+
+
+@R.add(f"SELECT t.*, s.title, s.body, s.url FROM ({_top(_BM25)}) t JOIN ({_SHOWN}) s USING (doc_id)")
+def search_topk(spark, d):
+    """The search entry point and what it shows of its hits."""
+    hits_ = search.Search(index(spark, d)).search(queries(spark, d), "bm25")
+    return search.present(hits_, table(spark, d, "articles").withColumnRenamed("article_id", "doc_id"))
+
+
+@R.add(f"SELECT q.text AS query, coalesce(a.url, '') AS doc_url, coalesce(a.title, '') AS title, printf('%.3f', t.score) AS score, t.rank, '' AS relevant, '' AS annotator FROM ({_top(_BM25, 50)}) t JOIN articles a ON t.doc_id = a.article_id JOIN ({S.QUERIES}) q USING (query_id)")
+def labeling_rows(spark, d):
+    """Fifty hits a query, to be judged by hand."""
+    hits_ = search.Search(index(spark, d)).search(queries(spark, d), "bm25", 50)
+    return search.labeling_rows(hits_, table(spark, d, "articles").withColumnRenamed("article_id", "doc_id"), queries(spark, d))
 
 
 @R.add(f"""WITH x AS (SELECT t.*, a.language AS lang FROM ({_MIXED}) t JOIN articles a ON t.doc_id = a.article_id WHERE a.language IN ('en', 'bn'))
@@ -315,6 +369,19 @@ def texts(spark, d):
     return table(spark, d, "hybrid_results_labse").filter("query is not null").groupBy(F.col("query").alias("text")).agg(F.min("search_id").alias("query_id")).select("query_id", "text")
 
 
+#: Query texts that do name entities: of the records whose number is divisible by 20 the name among other words, of those 10 further on the name alone.
+_NUMBER = "substring(entity_id, 2)::BIGINT"
+_NAMED = f"""SELECT * FROM ({_TEXTS}) UNION ALL SELECT 1000000000 + {_NUMBER}, 'news of ' || coalesce(canonical_en, canonical_bn) || ' today' FROM entity_records WHERE {_NUMBER} % 20 = 0 AND coalesce(canonical_en, canonical_bn) IS NOT NULL
+    UNION ALL SELECT 1000000000 + {_NUMBER}, coalesce(canonical_bn, canonical_en) FROM entity_records WHERE {_NUMBER} % 20 = 10 AND coalesce(canonical_bn, canonical_en) IS NOT NULL"""
+
+
+def named_texts(spark, d):
+    r = table(spark, d, "entity_records").withColumn("n", F.substring("entity_id", 2, 20).cast("long")).withColumn("query_id", F.lit(1000000000).cast("long") + F.col("n"))
+    inside = r.filter("n % 20 = 0").select("query_id", F.concat(F.lit("news of "), F.coalesce("canonical_en", "canonical_bn"), F.lit(" today")).alias("text"))
+    alone = r.filter("n % 20 = 10").select("query_id", F.coalesce("canonical_bn", "canonical_en").alias("text"))
+    return texts(spark, d).unionByName(inside.filter("text is not null")).unionByName(alone.filter("text is not null"))
+
+
 _BN = f"(CASE WHEN length(text) = 0 THEN 0.0 ELSE length(regexp_replace(text, '[^\\x{{0980}}-\\x{{09FF}}]', '', 'g'))::DOUBLE / length(text) END)"
 _EN = "(CASE WHEN length(text) = 0 THEN 0.0 ELSE length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE / length(text) END)"
 _LANG = f"(CASE WHEN {S.strip('text')} = '' THEN 'unknown' WHEN {_BN} > 0.3 THEN 'bn' ELSE 'en' END)"
@@ -345,13 +412,13 @@ def entity_lookup(spark, d):
 
 
 _WIN = f"""SELECT query_id, pos, size, CASE WHEN lang = 'bn' THEN surface ELSE lower(surface) END AS phrase, lang FROM (SELECT query_id, lang, size, pos, array_to_string(w[pos : pos + size - 1], ' ') AS surface
-    FROM (SELECT query_id, {S.words('text')} AS w, {_LANG} AS lang FROM ({_TEXTS})), (SELECT unnest([1, 2, 3, 4]) AS size), (SELECT unnest(range(1, 60)) AS pos) WHERE pos + size - 1 <= len(w))"""
+    FROM (SELECT query_id, {S.words('text')} AS w, {_LANG} AS lang FROM ({_NAMED})), (SELECT unnest([1, 2, 3, 4]) AS size), (SELECT unnest(range(1, 60)) AS pos) WHERE pos + size - 1 <= len(w))"""
 _HIT = f"SELECT query_id, pos::BIGINT AS pos, size::BIGINT AS size, phrase, entity_id, lang FROM ({_WIN}) JOIN ({_LOOK}) l ON phrase = l.name"
 
 
 @R.add(f"SELECT query_id, pos, size, phrase, entity_id FROM ({_HIT})")
 def window_entity_match(spark, d):
-    return querying.match_entities(texts(spark, d), querying.name_lookup(table(spark, d, "entity_records"))).select("query_id", "pos", "size", "phrase", "entity_id")
+    return querying.match_entities(named_texts(spark, d), querying.name_lookup(table(spark, d, "entity_records"))).select("query_id", "pos", "size", "phrase", "entity_id")
 
 
 _PIN = f"SELECT DISTINCT query_id, phrase, CASE WHEN lang = 'bn' THEN canonical_en ELSE canonical_bn END AS target FROM ({_HIT}) h JOIN entity_records r USING (entity_id) WHERE CASE WHEN lang = 'bn' THEN canonical_en ELSE canonical_bn END IS NOT NULL"
@@ -359,11 +426,11 @@ _PIN = f"SELECT DISTINCT query_id, phrase, CASE WHEN lang = 'bn' THEN canonical_
 
 @R.add(_PIN)
 def pinned_terms(spark, d):
-    return querying.pinned(texts(spark, d), table(spark, d, "entity_records"))
+    return querying.pinned(named_texts(spark, d), table(spark, d, "entity_records"))
 
 
 _DICT = "SELECT lower(query) AS phrase, min(translated) AS target FROM hybrid_results_labse WHERE query IS NOT NULL AND translated IS NOT NULL GROUP BY lower(query)"
-_TRANS = f"SELECT t.query_id, coalesce(p.pin, x.target, t.text) AS translated FROM ({_TEXTS}) t LEFT JOIN (SELECT query_id, lower(phrase) AS whole, min(target) AS pin FROM ({_PIN}) GROUP BY ALL) p ON t.query_id = p.query_id AND p.whole = lower({S.collapse('t.text')}) LEFT JOIN ({_DICT}) x ON x.phrase = lower({S.collapse('t.text')})"
+_TRANS = f"SELECT t.query_id, coalesce(p.pin, x.target, t.text) AS translated FROM ({_NAMED}) t LEFT JOIN (SELECT query_id, lower(phrase) AS whole, min(target) AS pin FROM ({_PIN}) GROUP BY ALL) p ON t.query_id = p.query_id AND p.whole = lower({S.collapse('t.text')}) LEFT JOIN ({_DICT}) x ON x.phrase = lower({S.collapse('t.text')})"
 
 
 def _dictionary(spark, d):
@@ -373,12 +440,12 @@ def _dictionary(spark, d):
 
 @R.add(_TRANS)
 def translate_pinned(spark, d):
-    return querying.translate(texts(spark, d), pinned_terms(spark, d), _dictionary(spark, d))
+    return querying.translate(named_texts(spark, d), pinned_terms(spark, d), _dictionary(spark, d))
 
 
-@R.add(f"SELECT t.query_id, text AS original, {_LANG} AS language, CASE WHEN {_LANG} = 'bn' THEN 'en' ELSE 'bn' END AS target, {S.collapse('text')} AS normalized, {_BN} > 0.1 AND {_EN} > 0.1 AS is_mixed, translated FROM ({_TEXTS}) t JOIN ({_TRANS}) x USING (query_id)")
+@R.add(f"SELECT t.query_id, text AS original, {_LANG} AS language, CASE WHEN {_LANG} = 'bn' THEN 'en' ELSE 'bn' END AS target, {S.collapse('text')} AS normalized, {_BN} > 0.1 AND {_EN} > 0.1 AS is_mixed, translated FROM ({_NAMED}) t JOIN ({_TRANS}) x USING (query_id)")
 def query_process(spark, d):
-    return querying.process(texts(spark, d), pinned_terms(spark, d), _dictionary(spark, d))
+    return querying.process(named_texts(spark, d), pinned_terms(spark, d), _dictionary(spark, d))
 
 
 # --- evaluation over all searches

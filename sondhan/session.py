@@ -48,6 +48,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder, removed at the end."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/folder-{uuid.uuid4().hex}"
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(lambda: _forget(spark, gone))
+    return path
+
+
 def materialise(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 

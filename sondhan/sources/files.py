@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,8 +87,66 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(e)).select(F.to_json(F.struct("nodes", "edges")).alias("json"))
 
 
-def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A report table of a small result."""
-    rows = df.limit(limit).collect()
+def _cell(v) -> str:
+    return "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+
+
+def markdown_table(df: DataFrame) -> str:
+    """A report table of all rows of a small result."""
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join("-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows)])
+    return "\n".join([head, *("| " + " | ".join(map(_cell, r)) + " |" for r in df.toLocalIterator())])
+
+
+def latex_table(df: DataFrame) -> str:
+    """The same as a LaTeX tabular."""
+    safe = lambda v: re.sub(r"([&%$#_{}])", r"\\\1", _cell(v))
+    rows = [" & ".join(map(safe, r)) + r" \\" for r in df.toLocalIterator()]
+    return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\hline", " & ".join(map(safe, df.columns)) + r" \\", r"\hline", *rows, r"\hline", r"\end{tabular}"])
+
+
+def write_results(hits: DataFrame, path: str) -> None:
+    """Hits as JSON lines and as CSV with a header: scores with three figures, '-' for missing texts and 0 for missing numbers."""
+    hits.write.mode("overwrite").json(f"{path}/json")
+    shown = []
+    for f in hits.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DoubleType | T.FloatType):
+            shown.append(F.format_string("%.3f", F.coalesce(c, F.lit(0.0))).alias(f.name))
+        elif isinstance(f.dataType, T.NumericType):
+            shown.append(F.coalesce(c, F.lit(0)).alias(f.name))
+        else:
+            shown.append(F.coalesce(c.cast("string"), F.lit("-")).alias(f.name))
+    hits.select(*shown).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+def convert_directory(spark: SparkSession, folder: str, out: str) -> dict[str, str]:
+    """Every ``*.jsonl`` of a folder as Parquet; a file that fails does not stop the others.  Returns name to 'ok' or the error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    done = {}
+    for status in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop):
+        name = status.getPath().getName()
+        if name.endswith(".jsonl"):
+            try:
+                write_parquet(read_jsonl(spark, f"{folder}/{name}", strict=True), f"{out}/{name.removesuffix('.jsonl')}")
+                done[name] = "ok"
+            except Exception as e:
+                done[name] = type(e).__name__
+    return done
+
+
+def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as one GEXF document in the lines of a text table; ``nodes``: (node, label), ``edges``: (src, dst, weight)."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    line = lambda text: nodes.sparkSession.createDataFrame([(text,)], "value string")
+    n = nodes.select(F.concat(F.lit('<node id="'), safe("node"), F.lit('" label="'), F.coalesce(safe("label"), F.lit("")), F.lit('"/>')).alias("value"))
+    e = edges.select(F.concat(F.lit('<edge source="'), safe("src"), F.lit('" target="'), safe("dst"), F.lit('" weight="'), F.col("weight").cast("string"), F.lit('"/>')).alias("value"))
+    parts = [line('<?xml version="1.0" encoding="UTF-8"?><gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="undirected"><nodes>'), n, line("</nodes><edges>"), e, line("</edges></graph></gexf>")]
+    every = reduce(DataFrame.unionByName, [p.withColumn("__p", F.lit(i)) for i, p in enumerate(parts)])
+    every.repartitionByRange("__p").sortWithinPartitions("__p").select("value").write.mode("overwrite").text(path)
+
+
+def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a GEXF document or of the parts ``write_gexf`` leaves."""
+    rows = lambda tag, kind: spark.read.format("xml").option("rowTag", tag).schema(kind).load(path)
+    nodes = rows("node", "_id string, _label string").select(F.col("_id").alias("node"), F.col("_label").alias("label"))
+    return nodes, rows("edge", "_source string, _target string, _weight double").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.col("_weight").alias("weight"))

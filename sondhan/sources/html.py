@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -53,6 +53,41 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(or_empty(html), F.lit('<a [^>]*href="([^"]*)"'), F.lit(1)))
 
 
+def discover_links(pages: DataFrame, url: str, html: str, rule: str | None = None) -> DataFrame:
+    """(page, link): addresses a page links to, in either kind of quotes, made absolute, each once; only articles, and those that match ``rule``.
+
+    Relative ones are taken from the page's folder, ``//host`` takes its scheme, fragments and other schemes are left out.
+    """
+    found = F.regexp_extract_all(or_empty(F.col(html)), F.lit("(?is)<a\\s[^>]*?href\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)')"), F.lit(0))
+    rows = pages.select(F.col(url).alias("page"), F.explode(F.array_distinct(found)).alias("tag"))
+    href = F.trim(F.regexp_extract("tag", "(?is)href\\s*=\\s*[\"']([^\"']*)[\"']$", 1))
+    root, scheme = F.regexp_extract("page", "^([a-z]+://[^/]+)", 1), F.regexp_extract("page", "^([a-z]+:)", 1)
+    folder = F.when(F.col("page").rlike("^[a-z]+://[^/]+$"), F.concat("page", F.lit("/"))).otherwise(F.regexp_replace("page", "[^/]*(?:[?#].*)?$", ""))
+    full = F.when(href.rlike("^(?i)https?://"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href)).when(href.rlike("^[a-z]+:|^#") | (href == ""), F.lit(None)).otherwise(F.concat(folder, href))
+    links_ = rows.select("page", F.regexp_replace(full, "#.*$", "").alias("link")).filter("link is not null").filter(is_article_url(F.col("link"))).distinct()
+    return links_.filter(F.col("link").rlike(rule)) if rule else links_
+
+
+# Sections of the older category rule.
+SECTIONS = ["news", "business", "sports", "opinion", "environment", "tech-startup"]
+
+
+def legacy_category(url: Column) -> Column:
+    """The first path piece that is a section, for news the piece after it (unless that is news or missing); 'general' without one."""
+    pieces = F.split(or_empty(url), "/")
+    hit = F.get(F.filter(pieces, lambda x: x.isin(SECTIONS)), F.lit(0))
+    after = F.get(pieces, F.array_position(pieces, hit).cast("int"))
+    return F.when(hit.isNull(), "general").when((hit == "news") & (after != "news"), after).otherwise(hit)
+
+
+# Fixed value: what one site adds to its titles.
+SITE_SUFFIX = "\\s*\\|\\s*প্রথম আলো$"
+
+
+def strip_site(title: Column) -> Column:
+    return F.regexp_replace(title, SITE_SUFFIX, "")
+
+
 def untag(c: Column) -> Column:
     text = F.regexp_replace(c, "<[^>]*>", "")
     for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
@@ -118,6 +153,35 @@ def story_json(story: Column, schema: str | None = None) -> Column:
     )
 
 
+#: Which fetcher variants a source may use, the first that is there goes first.
+PRIORITY = ["tavily", "cloud", "selenium", "default"]
+
+
+def source_plan(sources: DataFrame, source: str, wanted: list[str]) -> DataFrame:
+    """(source, variant, rule): the link rule of each source under the variants that are wanted, by PRIORITY; sources without a rule are left out."""
+    rules = [(s, v, PRIORITY.index(v) if v in PRIORITY else len(PRIORITY), r) for (s, v), r in LINK_RULES.items() if v in (*wanted, "default")]
+    table = sources.sparkSession.createDataFrame(rules, f"`{source}` string, variant string, turn int, rule string")
+    return sources.select(source).distinct().join(F.broadcast(table), source).groupBy(source).agg(F.min_by(F.struct("variant", "rule"), "turn").alias("r")).select(source, "r.variant", "r.rule")
+
+
+def paged(fetch: Callable[[int, int], dict | None], limit: int, page: int = 50, failures: int = 3) -> Iterator[dict]:
+    """Items of a paged source: pages of at most 50 until one is empty, ``limit`` is reached or ``failures`` pages in a row fail (None)."""
+    got = offset = missed = 0
+    while got < limit and missed < failures:
+        answer = fetch(offset, min(page, 50))
+        if answer is None:
+            missed += 1
+            continue
+        missed = 0
+        items = answer.get("items") or []
+        if not items:
+            return
+        for item in items[: limit - got]:
+            got += 1
+            yield item
+        offset += len(items)
+
+
 class _Paragraphs(HTMLParser):
     """Text of paragraphs, by the containers they lie in; tolerant of unclosed tags and of markup inside scripts."""
 
