@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,28 +105,6 @@ def duplicate_loser(date_a: Column, date_b: Column, tokens_a: Column, tokens_b:
     )
 
 
-def greedy_removal(pairs: DataFrame, block: str) -> DataFrame:
-    """(loser) rows removed by scanning the pairs of a block in order; a pair whose ends are already gone is skipped.
-
-    ``pairs``: (block, a, b, loser).  The scan is sequential by definition, so it runs a
-    connected part of a block at a time; ``block`` must name such parts (see ``link_parts``).
-    """
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        skip_a = None
-        for a, b, loser in frame.sort_values(["a", "b"])[["a", "b", "loser"]].itertuples(index=False):
-            if a != skip_a and a in gone:
-                continue
-            skip_a = a  # once the scan of a has begun it goes on even if a itself is marked
-            if b in gone:
-                continue
-            gone.add(loser)
-        return pd.DataFrame({"loser": list(gone)}, dtype="int64")
-
-    return pairs.groupBy(block).applyInPandas(scan, "loser long")
-
-
 def first_of(df: DataFrame, value: str, seq: str) -> DataFrame:
     """Distinct values in order of first appearance."""
     first = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(seq).alias("first_seq"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondhan.functions.text import MARKS, WS, collapse, or_empty, split_words
 from sondhan.operators.fuzzy import lcs_ratio_udf
+from sondhan.operators.greedy import best_free, leader_clusters
 from sondhan.operators.numbering import number_rows
 from sondhan.session import checkpoint
 
@@ -79,10 +79,8 @@ def cluster_fuzzy(counts: DataFrame, threshold: float = 85.0) -> DataFrame:
     Pairs are found by a blocked join that loses none: a ratio of ``threshold`` allows e
     letters to be inserted or removed, each of which spoils at most two bigrams, so two such
     keys share one of the 2 e + 1 rarest bigrams of each.  Candidates are verified exactly
-    and the greedy order is replayed within connected parts of the pairs only.
+    and the greedy order is replayed in rounds.
     """
-    from sondhan.operators.graph import components
-
     keyed = checkpoint(counts.withColumn("key", entity_key(F.col("text"), F.col("kind"))).filter("key <> ''").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     low, spare = threshold / (200 - threshold), 1 - threshold / 100
     pairs_of = F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1))), lambda i: F.substring("key", i, F.lit(2)))
@@ -95,27 +93,12 @@ def cluster_fuzzy(counts: DataFrame, threshold: float = 85.0) -> DataFrame:
     h = g.select(F.col("kind").alias("k2"), F.col("key").alias("key2"), F.col("n").alias("n2"), "g")
     met = g.join(h, "g").filter(F.col("kind").eqNullSafe(F.col("k2")) & (F.col("key") < F.col("key2")) & (F.least(F.length("key"), F.length("key2")) >= low * F.greatest(F.length("key"), F.length("key2")) - 1e-9))
     pairs = checkpoint(met.select("kind", "key", "n", "key2", "n2").distinct().filter(lcs_ratio_udf("key", "key2") >= threshold))
-    ids = pairs.select(F.to_json(F.struct("kind", "key")).alias("src"), F.to_json(F.struct("kind", F.col("key2").alias("key"))).alias("dst"), F.lit(1).alias("weight"), "kind", "key", "n", "key2", "n2")
-    part = components(ids.select("src", "dst", "weight"))
-    grouped = ids.join(part.select(F.col("node").alias("src"), "component"), "src")
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = {}
-        count: dict[str, int] = {}
-        for a, n, b, m in frame[["key", "n", "key2", "n2"]].itertuples(index=False):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-            count[a], count[b] = n, m
-        leader: dict[str, str] = {}
-        for k in sorted(count, key=lambda k: (-count[k], k)):
-            if k not in leader:
-                leader[k] = k
-                for o in near[k]:
-                    leader.setdefault(o, k)
-        return pd.DataFrame({"kind": frame["kind"].iloc[0], "leader": list(leader.values()), "key": list(leader)})
-
-    led = grouped.groupBy("component").applyInPandas(replay, "kind string, leader string, key string")
-    alone = keyed.join(led.select("kind", "key"), ["kind", "key"], "left_anti").select("kind", F.col("key").alias("leader"), "key")
+    one, two = F.struct("kind", "key"), F.struct("kind", F.col("key2").alias("key"))
+    turn, turn2 = F.struct((-F.col("n")).alias("n"), F.col("key").alias("k")), F.struct((-F.col("n2")).alias("n"), F.col("key2").alias("k"))
+    before = turn < turn2
+    led = leader_clusters(pairs.select(F.when(before, one).otherwise(two).alias("first"), F.when(before, two).otherwise(one).alias("then"), F.when(before, turn).otherwise(turn2).alias("turn")))
+    led = led.select("member.kind", F.col("leader.key").alias("leader"), "member.key")
+    alone = keyed.join(led.select(F.col("kind").alias("k2"), F.col("key").alias("key2")), F.col("kind").eqNullSafe(F.col("k2")) & (F.col("key") == F.col("key2")), "left_anti").select("kind", F.col("key").alias("leader"), "key")
     return led.unionByName(alone)
 
 
@@ -192,26 +175,11 @@ def id_map(records: DataFrame, name: str) -> DataFrame:
 def greedy_links(scored: DataFrame, threshold: float = 0.85, top: int = 3) -> DataFrame:
     """(en_id, bn_id, score): English rows in order take their best still free Bangla row among their ``top`` candidates.
 
-    ``scored``: (kind, en_id, bn_id, score) of one kind.  Sequential by definition; connected parts are independent and each is replayed alone.
+    ``scored``: (kind, en_id, bn_id, score) of one kind.
     """
-    from sondhan.operators.graph import components
-
     w = Window.partitionBy("en_id").orderBy(F.desc("score"), "bn_id")
     best = scored.withColumn("rn", F.row_number().over(w)).filter((F.col("rn") <= top) & (F.col("score") >= threshold))
-    part = components(best.select(F.concat(F.lit("e"), F.col("en_id")).alias("src"), F.concat(F.lit("b"), F.col("bn_id")).alias("dst"), F.lit(1).alias("weight")))
-    rows = best.withColumn("node", F.concat(F.lit("e"), F.col("en_id"))).join(part, "node").select("component", "en_id", "bn_id", "score", "rn")
-    en, bn = scored.schema["en_id"].dataType.simpleString(), scored.schema["bn_id"].dataType.simpleString()
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, done, out = set(), set(), []
-        for e, b, s in frame.sort_values(["en_id", "rn"])[["en_id", "bn_id", "score"]].itertuples(index=False):
-            if e not in done and b not in taken:
-                done.add(e)
-                taken.add(b)
-                out.append((e, b, s))
-        return pd.DataFrame(out, columns=["en_id", "bn_id", "score"])
-
-    return rows.groupBy("component").applyInPandas(replay, f"en_id {en}, bn_id {bn}, score double")
+    return best_free(best.select(F.col("en_id").alias("a"), F.col("bn_id").alias("b"), F.col("rn").alias("place"), "score")).toDF("en_id", "bn_id", "score")
 
 
 def apply_links(records: DataFrame, links: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondhan.functions import text as T
-from sondhan.operators import cleaning, dedup, graph, stats
+from sondhan.operators import cleaning, dedup, greedy, stats
 from sondhan.plans import sql as S
-from sondhan.session import checkpoint, scratch, spread, table
+from sondhan.session import scratch, spread, table
 from sondhan.sources import files, html
 
 R = S.Registry()
@@ -230,9 +230,7 @@ def dedup_removed(spark, d):
 @R.add()
 def dedup_content(spark, d):
     """Articles that the greedy scan of each block removes."""
-    pairs = checkpoint(dup_loser(spark, d))
-    part = graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).alias("weight")))
-    return dedup.greedy_removal(pairs.join(part.select(F.col("node").alias("a"), "component"), "a"), "component").withColumnRenamed("loser", "article_id")
+    return greedy.scan_losers(dup_loser(spark, d)).withColumnRenamed("loser", "article_id")
 
 
 @R.add("SELECT article_id, language, CASE WHEN regexp_matches(substring(coalesce(body, ''), 1, 200), '" + S.BENGALI + "') THEN 'bn' ELSE 'en' END AS script FROM articles")

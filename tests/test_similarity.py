@@ -3,9 +3,11 @@
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from sondhan.operators import dedup, entities, fuzzy
+from sondhan.operators import dedup, entities, fuzzy, greedy
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -33,8 +35,45 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_greedy_removal_goes_on_with_a_marked_row(spark):
-    pairs = spark.createDataFrame([(1, 1, 2, 1), (1, 1, 3, 3), (1, 2, 3, 3)], "component long, a long, b long, loser long")
-    assert {r[0] for r in dedup.greedy_removal(pairs, "component").collect()} == {1, 3}
+    pairs = spark.createDataFrame([(1, 2, 1), (1, 3, 3), (2, 3, 3)], "a long, b long, loser long")
+    assert {r[0] for r in greedy.scan_losers(pairs).collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_equal_the_sequential_procedures(spark, seed):
+    rng = random.Random(seed)
+    edges = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)})
+    pairs = [(a, b, rng.choice([a, b])) for a, b in edges]
+    gone, begun = set(), None
+    for a, b, loser in pairs:
+        if a != begun and a in gone:
+            continue
+        begun = a
+        if b not in gone:
+            gone.add(loser)
+    frame = spark.createDataFrame(pairs, "a long, b long, loser long")
+    assert {r.loser for r in greedy.scan_losers(frame).collect()} == gone
+    lead = {}
+    near = {v: {x + y - v for x, y in edges if v in (x, y)} for e in edges for v in e}
+    for v in sorted(near):
+        if v not in lead:
+            lead[v] = v
+            for o in near[v]:
+                lead.setdefault(o, v)
+    got = greedy.leader_clusters(frame.selectExpr("a as first", "b as then", "a as turn"))
+    assert {(r.member, r.leader) for r in got.collect()} == set(lead.items())
+    wishes = [(a, b, p, 1.0) for a in range(30) for p, b in enumerate(rng.sample(range(25), 3))]
+    taken, want = set(), set()
+    for a in range(30):
+        if free := [b for x, b, _, _ in wishes if x == a and b not in taken]:
+            taken.add(free[0])
+            want.add((a, free[0]))
+    assert {(r.a, r.b) for r in greedy.best_free(spark.createDataFrame(wishes, "a long, b long, place int, score double")).collect()} == want
+
+
+def test_rounds_of_nothing(spark):
+    none = spark.createDataFrame([], "a long, b long, loser long, place int, score double")
+    assert greedy.scan_losers(none).count() == greedy.best_free(none).count() == greedy.leader_clusters(none.selectExpr("a as first", "b as then", "a as turn")).count() == 0
 
 
 def test_vocabulary_match_equals_brute_force(spark):
