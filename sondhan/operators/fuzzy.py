@@ -29,9 +29,37 @@ def lcs_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - s.bit_count()) / (len(a) + len(b))
 
 
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    """Code points, one row a text, filled up with zeros to ``width``."""
+    return np.array(texts, dtype=f"<U{width}").view(np.uint32).reshape(len(texts), width)
+
+
+def paired_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``lcs_ratio`` of many pairs at once; texts of over 64 letters one by one."""
+    out = np.zeros(len(a))
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    fits = (sizes.max(1) <= 64) & (sizes.min(1) > 0) & np.array(["\0" not in x and "\0" not in y for x, y in zip(a, b, strict=True)], bool)
+    for i in np.flatnonzero(~fits):
+        out[i] = lcs_ratio(a[i], b[i])
+    rows = np.flatnonzero(fits)
+    rows = rows[np.argsort(sizes[rows].max(1), kind="stable")]
+    for start in range(0, len(rows), 4096):
+        at = rows[start : start + 4096]
+        width = -(-int(sizes[at, 0].max()) // 8) * 8
+        x, y = _codes([a[i] for i in at], width), _codes([b[i] for i in at], int(sizes[at, 1].max()))
+        full = np.where(sizes[at, 0] == 64, np.uint64(2**64 - 1), (np.uint64(1) << (sizes[at, 0] % 64).astype(np.uint64)) - np.uint64(1))
+        s, bits = full.copy(), np.zeros((len(at), 8), np.uint8)
+        for j in range(y.shape[1]):
+            bits[:, : width // 8] = np.packbits(x == y[:, j, None], axis=1, bitorder="little")
+            u = s & bits.view("<u8")[:, 0]
+            s = np.where(y[:, j] == 0, s, ((s + u) | (s - u)) & full)
+        out[at] = 200.0 * (sizes[at, 0] - np.bitwise_count(s)) / sizes[at].sum(1)
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def lcs_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(paired_ratios(a.tolist(), b.tolist()), dtype="float64")
 
 
 def token_set_ratio(a: str, b: str) -> float:

@@ -72,6 +72,15 @@ def test_ratios_of_many_words_equal_one_at_a_time(spark):
             assert (sim >= 70) == ((t, w) in got) and (sim < 70 or abs(got[t, w] - sim) < 1e-9), (t, w)
 
 
+def test_paired_ratios_equal_one_at_a_time():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcকখ ", k=n))
+    a = [word(rng.choice([0, 1, 7, 8, 9, 20, 63, 64, 65, 90])) for _ in range(600)] + ["", "a\0b", "same"]
+    b = [word(rng.choice([0, 1, 5, 16, 33, 64, 70])) for _ in range(600)] + ["", "ab", "same"]
+    got = fuzzy.paired_ratios(a, b)
+    assert all(abs(g - fuzzy.lcs_ratio(x, y)) < 1e-9 for g, x, y in zip(got, a, b)) and len(fuzzy.paired_ratios([], [])) == 0
+
+
 def test_embeddings_come_from_the_cache_if_the_text_is_the_same(spark):
     class Counting(semantic.HashEmbedder):
         def embed(self, texts):
