@@ -57,6 +57,16 @@ def shingles(c: Column, k: int) -> Column:
     return let(split_words(F.regexp_replace(F.lower(or_empty(c)), MARKS, "")), grams)
 
 
+def shingle_hashes(c: Column, k: int) -> Column:
+    """64-bit hashes of the ``shingles``, distinct and sorted, without building the phrases."""
+    def grams(w: Column) -> Column:
+        n = F.size(w)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))
+        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(every)))
+
+    return let(split_words(F.regexp_replace(F.lower(or_empty(c)), MARKS, "")), grams)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common members of two arrays of distinct values, 0 if either is empty."""
     both = F.size(F.array_intersect(a, b))

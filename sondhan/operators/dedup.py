@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondhan.functions.text import or_empty, shingles
-from sondhan.session import checkpoint
+from sondhan.functions.text import or_empty, shingle_hashes
+from sondhan.session import checkpoint, materialise
 
 
 def normalize_url(url: Column) -> Column:
@@ -52,7 +56,7 @@ def near_duplicates(df: DataFrame, key: str, block: list[str], title: str, body:
     compared as 64-bit hashes.  Rows of equal shingle sets form one class; classes are compared, never all pairs of
     rows.  Class pairs meet on a prefix of the body's rarest shingles: sets of size m and
     Jaccard t or more share one of the first m - ceil(t m) + 1 in a common order.
-    ``members`` joins the class pairs back to rows.
+    The result has a row for every pair of rows; ``near_classes`` says the same in one row a row.
     """
     sets = near_sets(df, key, block, title, body)
     both = near_class_pairs(sets, block, title_min, body_min)
@@ -64,19 +68,59 @@ def near_duplicates(df: DataFrame, key: str, block: list[str], title: str, body:
 
 def near_sets(df: DataFrame, key: str, block: list[str], title: str, body: str) -> DataFrame:
     """(k, block, ts, bs, c): the shingle sets of the rows that have both, and a class id of 128 bits over the block and both sets."""
-    sets = df.select(F.col(key).alias("k"), *block, _hashes(shingles(F.col(title), 2)).alias("ts"), _hashes(shingles(F.col(body), 3)).alias("bs")).filter("size(ts) > 0 and size(bs) > 0")
+    sets = df.select(F.col(key).alias("k"), *block, shingle_hashes(F.col(title), 2).alias("ts"), shingle_hashes(F.col(body), 3).alias("bs")).filter("size(ts) > 0 and size(bs) > 0")
     whole = [*[F.coalesce(F.col(x).cast("string"), F.lit("\u0000")) for x in block], "ts", "bs"]
     return checkpoint(sets.withColumn("c", F.concat_ws("-", F.hex(F.xxhash64(F.lit(1), *whole)), F.hex(F.xxhash64(F.lit(2), *whole)))))
 
 
+#: Entries that the table of common shingles may have at most, whatever the corpus.
+COMMON = 1_000_000
+
+
+def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes in order, bands): the most frequent shingles with the log2 of their frequency.
+
+    The threshold is the least power of two, 16 or more, above which there are no more than COMMON shingles.
+    """
+    counts = classes.select(F.explode("bs").alias("g")).groupBy("g").agg(F.floor(F.log2(F.count(F.lit(1)).cast("double"))).cast("int").alias("band"))
+    counts = materialise(counts.filter("band >= 4"))
+    left, least = 0, 64
+    for band, n in sorted(counts.groupBy("band").agg(F.count(F.lit(1))).collect(), reverse=True):  # at most 60 rows
+        if left + n > COMMON:
+            break
+        left, least = left + n, band
+    found = counts.filter(F.col("band") >= least).toArrow().sort_by("g")
+    return found.column("g").to_numpy(), found.column("band").to_numpy().astype(np.int8)
+
+
 def near_class_pairs(sets: DataFrame, block: list[str], title_min: float = 0.5, body_min: float = 0.85) -> DataFrame:
-    """(c, c2, title_j, body_j), c < c2: classes of one block that are similar enough."""
-    classes = sets.groupBy("c").agg(*[F.first(x).alias(x) for x in (*block, "ts", "bs")])
-    grams = classes.select("c", *block, F.size("bs").alias("m"), F.explode("bs").alias("g"))
-    rare = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    ranked = grams.join(rare, "g").groupBy("c", "m", *block).agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
-    head = (F.col("m") - F.ceil(F.lit(body_min) * F.col("m") - 1e-9) + 1).cast("int")
-    heads = ranked.select("c", "m", *block, F.explode(F.slice("gs", 1, head)).alias("x")).select("c", "m", *block, F.col("x.g").alias("g"))
+    """(c, c2, title_j, body_j), c < c2: classes of one block that are similar enough.
+
+    Shingles are ordered by band of frequency, then by hash; any order common to all sets makes the prefixes complete, and
+    this one needs no more than a table of COMMON frequent shingles beside each set, so only the prefixes are shuffled.
+    """
+    classes = checkpoint(sets.groupBy("c").agg(*[F.first(x).alias(x) for x in (*block, "ts", "bs")]))
+    numbers, bands = _common(classes)
+    kinds = ", ".join(f"`{x}` {classes.schema[x].dataType.simpleString()}" for x in block)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            heads, sizes, counts = [], [], []
+            for i in range(len(batch)):
+                g = lists[i].values.to_numpy(zero_copy_only=False)
+                m = len(g)
+                at = np.minimum(np.searchsorted(numbers, g), max(0, len(numbers) - 1))
+                band = np.where(numbers[at] == g, bands[at], 0) if len(numbers) else np.zeros(m, np.int8)
+                n = m - int(np.ceil(body_min * m - 1e-9)) + 1
+                heads.append(g[np.lexsort((g, band))[:n]])
+                sizes.append(m)
+                counts.append(n)
+            at = pa.array(np.repeat(np.arange(len(batch), dtype=np.int32), counts))
+            flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(j).take(at) for j in range(batch.num_columns - 1)], pa.array(sizes, pa.int32()).take(at), pa.array(flat, pa.int64())], [*batch.schema.names[:-1], "m", "g"])
+
+    heads = classes.select("c", *block, "bs").mapInArrow(prefixes, f"c string, {kinds + ', ' if block else ''}m int, g long")
     right = heads.select(F.col("c").alias("c2"), F.col("m").alias("m2"), "g", *[F.col(x).alias(f"{x}2") for x in block])
     same = " and ".join([f"{x} <=> {x}2" for x in block])
     met = heads.join(right, "g").filter(f"c < c2 and {same} and least(m, m2) >= {body_min} * greatest(m, m2) - 1e-9").select("c", "c2").distinct()
@@ -86,11 +130,6 @@ def near_class_pairs(sets: DataFrame, block: list[str], title_min: float = 0.5,
     return joined.select("c", "c2", _jaccard("ts", "ts2").alias("title_j"), _jaccard("bs", "bs2").alias("body_j")).filter(f"title_j >= {title_min} and body_j >= {body_min}")
 
 
-def _hashes(sets: Column) -> Column:
-    """64-bit hashes of the members, sorted: sets of numbers are a fraction of sets of phrases in a shuffle."""
-    return F.array_sort(F.transform(sets, lambda x: F.xxhash64(x)))
-
-
 def _jaccard(a: str, b: str) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both.cast("double") / (F.size(a) + F.size(b) - both)

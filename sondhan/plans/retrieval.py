@@ -37,6 +37,7 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relevant(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in for human labels, made of the very scores under evaluation: metrics over it test the arithmetic, not the rankers."""
     h = hits(spark, d)
     mean = h.groupBy("query_id").agg(F.avg("bm25").alias("ab"), F.avg("fuzzy").alias("af"), F.avg("semantic").alias("asem"))
     return h.join(mean, "query_id").filter("round(bm25 - ab, 9) >= 0 and round(fuzzy - af, 9) >= 0 and round(semantic - asem, 9) >= 0").select("query_id", "doc_id")
@@ -487,7 +488,7 @@ _MEAN = f"SELECT method, round(avg(precision_at_10), 6) AS precision_at_10, roun
 
 @R.add(_ALL)
 def evaluate_methods(spark, d):
-    """All methods in one job: runs carry the method in their query key."""
+    """All methods in one job: runs carry the method in their query key.  Relevance is the stand-in of ``relevant``."""
     h = hits(spark, d)
     long = h.select("query_id", "doc_id", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in METHODS])).alias("x")).select("query_id", "doc_id", "x.method", "x.score").filter("score is not null")
     keyed = long.withColumn("key", F.struct("method", "query_id"))
@@ -553,7 +554,7 @@ def latency_by_lang(spark, d):
     return h.groupBy("lang").agg(F.round(F.min("time_ms"), 6).alias("fastest"), F.round(F.avg("time_ms"), 6).alias("mean_ms"), F.round(F.max("time_ms"), 6).alias("slowest"))
 
 
-# A keyword judge's rules over this corpus' topics (strong, weak).
+# A choice of this library: a keyword judge's rules over this corpus' topics (strong, weak).
 JUDGE = {"pension backlog": (["pension"], ["workers", "taka"]), "vaccine register": (["vaccine"], ["hospital"]), "night market permit": (["night market"], ["traders"]), "district budget": (["budget"], ["taka"])}
 _JUDGE = ", ".join("('{}', {}, {})".format(q, strong, weak) for q, (strong, weak) in JUDGE.items())
 
