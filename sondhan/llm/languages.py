@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sondhan.llm.lookalike import latinised, plain
 from sondhan.session import materialise, spread
 
-# Function words that start the components.
+# A choice of this library: function words that start the components.
 SEEDS = {
     "en": "the of and to in is that was for with it as said by at from has have not this which be are or an but more been will would about after they were",
     "fr": "le la les des est une dans pour que qui et du au sur par pas plus avec ce cette ont été sont il elle selon mais leur aux",

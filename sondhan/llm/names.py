@@ -16,13 +16,13 @@ CONSONANTS = dict(zip(
 VOWELS = dict(zip("অ আ ই ঈ উ ঊ ঋ এ ঐ ও ঔ".split(), "o a i i u u ri e oi o ou".split(), strict=True))
 SIGNS = dict(zip("া ি ী ু ূ ৃ ে ৈ ো ৌ".split(), "a i i u u ri e oi o ou".split(), strict=True)) | {"্": "", "়": ""}
 
-# Forms of address and small words that are no part of a name.
+# A choice of this library: forms of address and small words that are no part of a name.
 TITLES = (
     "dr doctor md mohd mohammad mr mrs ms miss prof professor engr engineer adv advocate justice sir begum alhaj sheikh the of and late hon "
     "ডা ডাঃ মো মোঃ মোহাম্মদ বেগম অধ্যাপক প্রকৌশলী অ্যাডভোকেট বিচারপতি জনাব দি ও এবং শেখ আলহাজ"
 )
 
-# Kinds of bodies and places with their abbreviations and Bangla words.
+# A choice of this library: kinds of bodies and places with their abbreviations and Bangla words.
 KINDS = {
     "limited": "ltd ltd. লিমিটেড লি", "council": "cncl coun coun. পরিষদ", "bank": "bk bnk ব্যাংক", "university": "univ uni বিশ্ববিদ্যালয়", "hospital": "hosp hsptl হাসপাতাল",
     "association": "assn assoc সমিতি", "foundation": "fdn fndn ফাউন্ডেশন", "institute": "inst instt ইনস্টিটিউট", "bazar": "bazaar bzr baz বাজার", "union": "un up ইউনিয়ন",
