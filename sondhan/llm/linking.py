@@ -61,7 +61,7 @@ def _vector(key: str, idf: np.ndarray) -> dict[int, float]:
 
 
 def record_names(records: DataFrame, key: str = "entity_id", canonical: tuple[str, ...] = ("canonical_en", "canonical_bn"), aliases: str = "aliases") -> DataFrame:
-    """(id, name key, weight): one row a distinct name key of a record.
+    """(id, name key, weight, first): one row a distinct name key of a record, with the record's first name key.
 
     Canonical names count double; names that show fewer than two full parts less.
     Null, blank and letterless names are left out, so a record without any name has no row.
@@ -70,7 +70,7 @@ def record_names(records: DataFrame, key: str = "entity_id", canonical: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, keys, weights = [], [], []
+            at, keys, weights, firsts = [], [], [], []
             lists = batch.column(1 + len(canonical)).to_pylist()
             for i, (*main, others) in enumerate(zip(*[batch.column(j + 1).to_pylist() for j in range(len(canonical))], lists, strict=True)):
                 seen: dict[str, float] = {}
@@ -83,25 +83,10 @@ def record_names(records: DataFrame, key: str = "entity_id", canonical: tuple[st
                 at += [i] * len(seen)
                 keys += seen
                 weights += seen.values()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(keys, pa.string()), pa.array(weights, pa.float64())], ["id", "name", "weight"])
+                firsts += [next(iter(seen))] * len(seen) if seen else []
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(keys, pa.string()), pa.array(weights, pa.float64()), pa.array(firsts, pa.string())], ["id", "name", "weight", "first"])
 
-    return spread(records.filter(F.col(key).isNotNull()).select(key, *canonical, aliases)).mapInArrow(run, f"id {kind}, name string, weight double")
-
-
-def listed_names(records: DataFrame, key: str = "entity_id", canonical: tuple[str, ...] = ("canonical_en", "canonical_bn"), aliases: str = "aliases") -> DataFrame:
-    """(a, b), a < b: name keys listed in one row, each paired with the row's first (a star: as many pairs as names)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: set[tuple[str, str]] = set()
-            for *main, others in zip(*[batch.column(j).to_pylist() for j in range(1 + len(canonical))], strict=True):
-                forms = [parts(n) for n in (*main, *(others or [])) if n]
-                keys = [_key(*f) for f in forms if f and f[1]]
-                found |= {(min(keys[0], k), max(keys[0], k)) for k in keys[1:] if k != keys[0]}
-            a, b = zip(*sorted(found), strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
-
-    return spread(records.filter(F.col(key).isNotNull()).select(*canonical, aliases)).mapInArrow(run, "a string, b string").distinct()
+    return spread(records.filter(F.col(key).isNotNull()).select(key, *canonical, aliases)).mapInArrow(run, f"id {kind}, name string, weight double, first string")
 
 
 def rarity(names: DataFrame) -> np.ndarray:
@@ -326,9 +311,12 @@ def average_linkage(edges: DataFrame, threshold: float = 0.15, max_rounds: int =
 
 def entity_clusters(records: DataFrame, key: str = "entity_id", threshold: float = 0.15) -> DataFrame:
     """(id, cluster) for every record with a usable name."""
-    named = materialise(record_names(records, key).groupBy("id", "name").agg(F.sum("weight").alias("weight")))
-    names = materialise(named.select("name").distinct())
-    edges = materialise(similar_names(names, listed=listed_names(records, key)))
+    every = materialise(record_names(records, key))
+    named = every.groupBy("id", "name").agg(F.sum("weight").alias("weight"))
+    names = materialise(every.select("name").distinct())
+    # the names of a row meet as a star around its first: as many pairs as names
+    listed = every.filter("name <> first").select(F.least("name", "first").alias("a"), F.greatest("name", "first").alias("b")).distinct()
+    edges = materialise(similar_names(names, listed=listed))
     merged = average_linkage(edges, threshold).select(F.col("v").alias("name"), F.col("r").alias("cluster"))
     held = named.join(merged, "name", "left").groupBy("id", F.coalesce("cluster", "name").alias("cluster")).agg(F.sum("weight").alias("weight"))
     held = materialise(held)

@@ -110,6 +110,7 @@ def edits(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+@lru_cache(maxsize=300_000)
 def token_match(s: str, t: str) -> float:
     """1 equal, 0.9 / 0.8 a typo or two, 0.6 a short form, 0.5 an initial, 0 otherwise."""
     if s == t:
