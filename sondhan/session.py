@@ -43,9 +43,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives the loss of executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a reliable checkpoint (survives the loss of executors).
+
+    The optimiser's size estimate is cut too.  Spark carries the estimate of the plan over to its checkpoint and
+    takes the product of both sides for a join, so over rounds of joins the number itself gets
+    twice as many digits (or more) a round, until the driver has no room for it.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return type(df)(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().analyzed().rdd(), kept.schema(), False), spark)
 
 
 def scratch(spark: SparkSession) -> str:

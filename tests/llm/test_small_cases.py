@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from sondhan.llm import boilerplate, components, languages, linking, lookalike, names, packing, ranking, residue, tokens
+from sondhan.session import checkpoint
 
 EN = "The report says that the water plant was approved after a long debate and the officials will meet in the town."
 FR = "Le rapport indique que la station a été approuvée après un long débat et que les familles de la ville sont touchées."
@@ -60,6 +61,28 @@ def test_hot_vertices_are_looked_up_apart(spark):
     assert got == {v: "x" if v in "xy" else "hub" for p in pairs for v in p}
 
 
+def size_digits(df):
+    """Binary digits of the largest size that the optimiser holds for a node of the plan."""
+    plan, found = [df._jdf.queryExecution().optimizedPlan()], []
+    while plan:
+        node = plan.pop()
+        found.append(node.stats().sizeInBytes().bit_length())
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return max(found)
+
+
+def test_size_estimates_do_not_grow_with_the_rounds(spark):
+    # each round's joins multiplied the estimates of the last: after 14 rounds the number itself filled the driver
+    work = spark.createDataFrame([(f"v{i:03d}", f"v{i + 1:03d}") for i in range(200)], "a string, b string")
+    groups = components.connected_components(work, "a", "b")
+    assert groups.count() == 201 and groups.filter("component <> 'v000'").count() == 0
+    assert size_digits(groups) < 1000
+    for _ in range(6):
+        work = checkpoint(work.join(work.toDF("a", "c"), "a").select("a", "b"))
+    assert work.count() == 200 and work.schema.simpleString() == "struct<a:string,b:string>"
+    assert size_digits(work) < 100
+
+
 def test_ties_follow_the_statement(spark):
     r = spark.createDataFrame([("E1", ["Ab", "-"]), ("E2", ["Ab", None, ""]), ("E3", ["ab", "-", " "]), ("E4", None), ("E5", []), ("E6", ["!"]), ("E7", ["!"])], "entity_id string, aliases array<string>")
     m = spark.createDataFrame([("E3", "E4", True), ("E4", "E3", True), ("E5", "E6", False), ("E5", "E7", None), ("E9", "E1", True), (None, "E1", True), ("E5", "E5", True)], "left_id string, right_id string, matched boolean")
