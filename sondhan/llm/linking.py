@@ -15,6 +15,10 @@
    merging one pair at a time, and no cluster is ever collected.
 5. A record belongs to the cluster that holds the most of its names, so a wrong alias
    does not pull it away; records of one cluster are linked.
+
+Joins of two tables that grow with the records ask for a merge join.  Left to itself the optimiser
+broadcasts by the size of the stored file, which says nothing of the hundred and more rows that a
+name becomes in Python, and little of those that dictionaries compress.
 """
 
 from __future__ import annotations
@@ -214,10 +218,10 @@ def candidate_pairs(names: DataFrame, idf: np.ndarray, threshold: float = 0.35,
     spread_names = spread(names.select("id", "name"))
     posts = spread_names.mapInArrow(index, "f long, id long, w float")
     left, right = posts.select("f", F.col("id").alias("a"), F.col("w").alias("u")), posts.select("f", F.col("id").alias("b"), F.col("w").alias("v"))
-    met = left.join(right, "f").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("u") * F.col("v")).alias("dot")).filter(F.col("dot") >= shared).select("a", "b")
+    met = left.join(right.hint("merge"), "f").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("u") * F.col("v")).alias("dot")).filter(F.col("dot") >= shared).select("a", "b")
     brief = spread_names.mapInArrow(index_short, "f long, id long, asks boolean")
     ask, offer = brief.filter("asks").select("f", F.col("id").alias("a")), brief.filter("not asks").select("f", F.col("id").alias("b"))
-    short = ask.join(offer, "f").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    short = ask.join(offer.hint("merge"), "f").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return met.unionByName(short).distinct()
 
 
@@ -257,7 +261,7 @@ def similar_names(names: DataFrame, threshold: float = 0.35, shared: float = 0.0
     if listed is not None:
         own = listed.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), F.lit(True).alias("sure"))
         pairs = pairs.unionByName(own).groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    named = pairs.join(keyed.toDF("a", "x"), "a").join(keyed.toDF("b", "y"), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "sure")
+    named = pairs.join(keyed.toDF("a", "x").hint("merge"), "a").join(keyed.toDF("b", "y").hint("merge"), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "sure")
     found = named.mapInArrow(verify, "a string, b string, s double")
     if top is None:
         return found
@@ -322,18 +326,18 @@ def entity_clusters(records: DataFrame, key: str = "entity_id", threshold: float
     held = materialise(held)
     wide = held.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cluster", F.lit(0.9).alias("bonus"))
     score = F.col("weight") + F.coalesce("bonus", F.lit(0.0))
-    return held.join(wide, "cluster", "left").groupBy("id").agg(F.max_by("cluster", F.struct(score, F.col("cluster"))).alias("cluster"))
+    return held.join(wide.hint("merge"), "cluster", "left").groupBy("id").agg(F.max_by("cluster", F.struct(score, F.col("cluster"))).alias("cluster"))
 
 
 def entity_classes(records: DataFrame, key: str = "entity_id") -> DataFrame:
     """(id, cluster, links): one row a record with a usable name; ``cluster`` is the smallest id of its cluster, ``links`` how many other records it holds."""
     of = materialise(entity_clusters(records, key))
     size = of.groupBy("cluster").agg(F.min("id").alias("first"), (F.count(F.lit(1)) - 1).alias("links"))
-    return of.join(size, "cluster").select("id", F.col("first").alias("cluster"), "links")
+    return of.join(size.hint("merge"), "cluster").select("id", F.col("first").alias("cluster"), "links")
 
 
 def entity_pairs(records: DataFrame, key: str = "entity_id") -> DataFrame:
     """(a, b), a < b: records of one cluster, all pairs (``entity_classes`` says the same in one row a record)."""
     of = materialise(entity_clusters(records, key))
     left, right = of.select("cluster", F.col("id").alias("a")), of.select("cluster", F.col("id").alias("b"))
-    return left.join(right, "cluster").filter("a < b").select("a", "b")
+    return left.join(right.hint("merge"), "cluster").filter("a < b").select("a", "b")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from sondhan.llm import boilerplate, components, languages, linking, lookalike, names, packing, ranking, residue, tokens
-from sondhan.session import checkpoint
+from sondhan.session import checkpoint, materialise
 
 EN = "The report says that the water plant was approved after a long debate and the officials will meet in the town."
 FR = "Le rapport indique que la station a été approuvée après un long débat et que les familles de la ville sont touchées."
@@ -315,6 +315,26 @@ def test_names_that_share_one_part_do_not_meet(spark):
     assert linking.candidate_pairs(df, linking.rarity(df)).count() < len(names_) * (len(names_) - 1) / 2 / 4
 
 
+def test_tables_that_grow_are_not_broadcast_by_their_files_size(spark):
+    # 1.5 MB of stored names become 8 million rows of the index: the driver had no room for their broadcast
+    rows = [("E1", "Dariser Ghithapok Kemasan", None, ["D. Ghithapok Kemasan"]), ("E2", "Dariser Ghithapok Kemasn", None, None)]
+    records = materialise(spark.createDataFrame(rows, "entity_id string, canonical_en string, canonical_bn string, aliases array<string>"))
+    stored = materialise(spark.createDataFrame([("|dariser ghithapok",), ("|darisar ghithapok",)], "name string").selectExpr("xxhash64(name) as id", "name"))
+    idf = linking.rarity(stored)
+    for df in (linking.candidate_pairs(stored, idf), linking.similar_names(stored, least=0.0), linking.entity_clusters(records), linking.entity_classes(records), linking.entity_pairs(records)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [(r.a, r.b) for r in linking.entity_pairs(records).collect()] == [("E1", "E2")]
+
+
+def test_linkage_of_many_rounds_keeps_its_size_estimates(spark):
+    # along the chain each pair waits for the next one to have merged
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}", 0.5 + i / 100) for i in range(24)]
+    merged = linking.average_linkage(spark.createDataFrame(chain, "a string, b string, s double"), 0.15)
+    assert merged.select("v").distinct().count() == merged.count() > 20
+    assert size_digits(merged) < 1000
+
+
 def test_top_neighbours_are_optional(spark):
     df = spark.createDataFrame([(f"|ghithapok kemasan{'bdgkl'[i]}",) for i in range(5)], "name string")
     every, top = linking.similar_names(df, least=0.0).collect(), linking.similar_names(df, least=0.0, top=1).collect()
