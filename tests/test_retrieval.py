@@ -104,3 +104,48 @@ def test_merge_prefers_the_left_list_on_ties(spark):
     left = spark.createDataFrame([(1, 10, 0.5, 1)], "query_id long, doc_id long, score double, rank long")
     right = spark.createDataFrame([(1, 1, 0.5, 1), (1, 2, 0.9, 2)], "query_id long, doc_id long, score double, rank long")
     assert [r.doc_id for r in fusion.merge_ranked(left, right, 2).orderBy("rank").collect()] == [2, 10]
+
+
+def test_first_k_are_those_of_all_scores(spark):
+    """Rare and common words, queries of the same words, ties, repeated words, words no document has, documents without words."""
+    rng = random.Random(7)
+    some = lambda n: " ".join(rng.choices(["of", "the", "bank", *(f"w{i}" for i in range(60))], [30, 20, 10] + [1] * 60, k=n))
+    docs = [(i, some(rng.randint(0, 9))) for i in range(300)] + [(i, "bank of the river") for i in range(300, 330)] + [(400, None), (401, " "), (None, "of the bank of lost w1")]
+    qs = [(i, some(rng.randint(1, 6))) for i in range(80)] + [(100, "of"), (101, "OF  of"), (102, "of"), (103, "nowhere"), (104, "of nowhere"), (105, ""), (106, None), (107, "river bank"), (108, "bank of the lost")]
+    d, q = spark.createDataFrame(docs, "doc long, body string"), spark.createDataFrame(qs, "query_id long, text string")
+    ranked = lambda df: {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in df.collect()}
+    for k in (1, 10):
+        want = ranked(lexical.top_k(lexical.bm25_scores(q, d, "doc", F.col("body")).withColumn("score", F.round("score", 6)), k))
+        got = lexical.bm25_top_k(q, d, "doc", F.col("body"), k)
+        assert got.columns == ["query_id", "doc_id", "score", "rank"] and ranked(got) == want and len(want) > 60 * k and (k == 1 or any(doc is None for doc, _ in want.values()))
+    assert lexical.bm25_top_k(q.limit(0), d, "doc", F.col("body")).count() == 0
+    assert lexical.bm25_top_k(q, d.limit(0), "doc", F.col("body")).count() == 0
+
+
+def shuffled(spark) -> int:
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_expanded_queries_do_not_meet_every_document(spark, tmp_path):
+    """500 records that ask, half of them for "news of ...", against 1,000 articles that all say "of": 567,230 rows shuffled when every pair was scored."""
+    from sondhan.plans import knowledge, retrieval
+
+    d = str(tmp_path)
+    spark.createDataFrame([(f"E{10 * i:08d}", f"Name{i} of Town", None, ["Town"]) for i in range(500)], "entity_id string, canonical_en string, canonical_bn string, aliases array<string>").write.parquet(f"{d}/entity_records.parquet")
+    spark.createDataFrame([(f"E{10 * i:08d}", f"E{10 * i + 10:08d}", True) for i in range(0, 498, 3)], "left_id string, right_id string, matched boolean").write.parquet(f"{d}/entity_matches.parquet")
+    spark.createDataFrame([(i, f"name{i} of" if i % 2 else None, "of town " * (i % 7) + "of all", "en") for i in range(1000)], "article_id long, title string, body string, language string").write.parquet(f"{d}/articles.parquet")
+    spark.createDataFrame([(1, "all of town"), (2, None)], "search_id long, query string").write.parquet(f"{d}/hybrid_results_labse.parquet")
+    began, small = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # joins as of large tables
+    try:
+        got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in knowledge.expanded_topk(spark, d).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert shuffled(spark) - began < 200_000
+    q = knowledge.query_expand(spark, d).select("query_id", F.col("expanded").alias("text"))
+    assert got == {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in retrieval._ranked(retrieval.index(spark, d).bm25(q)).collect()}
+    assert len(got) == 5010
